@@ -233,7 +233,7 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     each = max(1, sample // len(sizes))
     wanted = F.lit(False)
     for label, n in sizes.items():
-        wanted = wanted | ((F.col("label") == label) & (F.shiftrightunsigned(F.xxhash64("id"), 1) <= F.lit(int(min(1.0, each / n) * (2**63 - 1)))))
+        wanted = wanted | ((F.col("label") == label) & (F.shiftrightunsigned(F.xxhash64("id"), 1) <= F.lit(min(int(each / n * 2**63), 2**63 - 1))))
 
     def stretches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

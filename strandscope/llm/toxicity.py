@@ -154,7 +154,7 @@ def train(docs: DataFrame, labels: DataFrame, *, grade_col: str = "toxic", id_co
     graded = labels.where(F.col(grade_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(grade_col).cast("int").alias("grade"))
     total = graded.count()
     share = min(1.0, sample / max(1, total))
-    chosen = graded.where(F.shiftrightunsigned(F.xxhash64("id"), 1) <= F.lit(int(share * (2**63 - 1)))).orderBy(F.xxhash64("id")).limit(sample)
+    chosen = graded.where(F.shiftrightunsigned(F.xxhash64("id"), 1) <= F.lit(min(int(share * 2**63), 2**63 - 1))).orderBy(F.xxhash64("id")).limit(sample)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(chosen, "id")
 
     def marked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
