@@ -4,8 +4,8 @@ A configuration is a multiset of piece lengths that fits one sequence. The
 linear program (fewest configurations that cover the length histogram) is
 solved by multiplicative weights: lengths that are covered less weigh more, and
 a knapsack dynamic program prices the configuration of the largest weight for
-each length. The fractional solution is rounded down to whole configurations,
-the rest is priced again on what is left, and best fit places the last pieces.
+each length. The fractional solution is rounded to whole configurations, and
+best fit places the pieces that rounding leaves.
 
 Only the histogram (at most one count for each length) reaches the driver.
 """
@@ -152,35 +152,39 @@ def best_fit(counts: np.ndarray, capacity: int) -> Counter:
     return done
 
 
-def pack_histogram(counts: np.ndarray, capacity: int, *, passes: int = 4) -> Counter:
-    """Configurations (lengths in the order of their places) and how often each is used; they hold exactly ``counts``."""
-    left = counts.astype(np.int64).copy()
-    used: Counter = Counter()
-    if left[capacity]:
-        used[(capacity,)] = int(left[capacity])
-        left[capacity] = 0
-    for n in range(passes):
-        if not left.any():
-            break
-        solution = solve_configurations(left, capacity)
-        before, fullest = left.sum(), max(sum(c) for c, _ in solution)
-        # only the fullest configurations are taken up; whole parts first; what remains of a fraction is worth one configuration while its pieces last
-        for whole in (True, False):
-            for config, x in sorted(solution, key=lambda c: (sum(c[0]), c[1]), reverse=True):
-                if sum(config) < fullest:
-                    break
-                held = Counter(config)
-                times = min(int(x) if whole else 1, *(int(left[a]) // b for a, b in held.items()))
-                if times > 0:
-                    used[config] += times
-                    for a, b in held.items():
-                        left[a] -= times * b
-        if before - left.sum() < 0.02 * before:
+def _rounded(counts: np.ndarray, capacity: int, solution: list[tuple[tuple[int, ...], float]], least: float) -> Counter:
+    """Whole configurations of a fractional cover, those of ``least`` to 1 counting as one while their pieces last; best fit places the rest."""
+    left, used = counts.copy(), Counter()
+    fullest = max(sum(c) for c, _ in solution)
+    for config, x in sorted(solution, key=lambda c: (sum(c[0]), c[1] >= 1, c[0]), reverse=True):
+        if sum(config) < fullest:
             break
+        held = Counter(config)
+        times = min(int(x) or int(x >= least), *(int(left[a]) // b for a, b in held.items()))
+        if times > 0:
+            used[config] += times
+            for a, b in held.items():
+                left[a] -= times * b
     used.update(best_fit(left, capacity))
     return used
 
 
+def pack_histogram(counts: np.ndarray, capacity: int) -> Counter:
+    """Configurations (lengths in the order of their places) and how often each is used; they hold exactly ``counts``.
+
+    The solution is rounded at three thresholds, and the rounding of the fewest
+    sequences is kept: where pieces are few for each length, fractions say
+    little and best fit does most, where they are many, whole parts do.
+    """
+    left = counts.astype(np.int64).copy()
+    full = Counter({(capacity,): int(left[capacity])} if left[capacity] else {})
+    left[capacity] = 0
+    if left.any():
+        solution = solve_configurations(left, capacity)
+        full.update(min((_rounded(left, capacity, solution, least) for least in (1.0, 0.5, 0.0)), key=lambda used: sum(used.values())))
+    return full
+
+
 def _places(used: Counter, capacity: int) -> dict[int, tuple[np.ndarray, ...]]:
     """Of each length: first rank, first sequence and offset of each run of equal places."""
     rows: dict[int, list[tuple[int, int, int]]] = {}
@@ -210,7 +214,7 @@ def pack_pieces(pieces: DataFrame, capacity: int, *, rows_per_salt: int = 500_00
     for r in histogram:
         counts[r["length"]] = r["n"]
     salts = max(32, -(-int(counts.max()) // rows_per_salt))
-    # At most one run of places for each entry of a configuration: bounded by passes, rounds and capacity, not by rows.
+    # At most one run of places for each entry of a configuration: bounded by rounds and capacity, not by rows.
     places = spark.sparkContext.broadcast(_places(pack_histogram(counts, capacity), capacity))
     rows = pieces.withColumn("salt", F.pmod(salted, F.lit(salts)).cast("int"))
     sums = rows.groupBy("length", "salt").agg(F.count("*").alias("n"))
