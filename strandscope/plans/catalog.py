@@ -2,5 +2,359 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import fields, text
+from ..operators import correlate, detect_text, emit, flow, health, intervals, report
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def query(sql: str | None = None):
+    """Register a query under its function's name, with the SQL of its rows."""
+
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+def detector(name: str) -> detect_text.Detector:
+    return next(d for d in detect_text.text_detectors() if d.name == name)
+
+
+def _text_findings(spark, sf_dir, *names: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return detect_text.detect(docs, "text", detectors=[detector(n) for n in names])
+
+
+# --- detectors over documents ------------------------------------------------
+
+# RE2 has no look-around: the character after a candidate is consumed, and longer runs of digits are taken out first.
+_CARDS = """
+    cut AS (SELECT doc_id, unnest(regexp_extract_all(regexp_replace(text, '[0-9]{20,}', 'x', 'g') || ' ', '((?:[0-9][ -]?){12,18}[0-9])[^0-9]', 1)) AS raw FROM documents),
+    card AS (SELECT doc_id, regexp_replace(raw, '[ -]', '', 'g') AS digits FROM cut),
+    valid AS (
+        SELECT doc_id, digits FROM card
+        WHERE len(digits) BETWEEN 13 AND 19 AND digits <> repeat(digits[1], len(digits))
+          AND list_sum(list_transform(range(len(digits)), lambda i: CASE WHEN i % 2 = 0 THEN CAST(digits[len(digits) - i] AS INT)
+              ELSE CAST(digits[len(digits) - i] AS INT) * 2 - CASE WHEN CAST(digits[len(digits) - i] AS INT) > 4 THEN 9 ELSE 0 END END)) % 10 = 0
+    )"""
+_SECRET_NAMES = ", ".join(f"'{n}'" for n in fields.SENSITIVE_NAMES)
+_ASSIGNED = f"""
+    parts AS (SELECT doc_id, unnest(regexp_extract_all(chr(10) || text || chr(10), '(?i)[\\s{{{{,;]["'']?[a-z][a-z0-9_.-]{{1,63}}["'']?\\s*[:=]\\s*["'']?[^\\s"''&,;}}\\]]{{8,1000}}["''&,;}}\\]\\s]')) AS raw FROM documents),
+    named AS (SELECT doc_id, lower(regexp_extract(raw, '^.["'']?([A-Za-z][A-Za-z0-9_.-]*)', 1, 's')) AS name,
+                     regexp_extract(raw, '^.["'']?[A-Za-z][A-Za-z0-9_.-]*["'']?\\s*[:=]\\s*["'']?([^\\s"''&,;}}\\]]+)', 1, 's') AS value FROM parts),
+    assigned AS (SELECT doc_id, name, value FROM named WHERE name IN ({_SECRET_NAMES}) AND NOT (name = 'authorization' AND lower(value) IN ('basic', 'bearer', 'digest', 'negotiate', 'ntlm')))""".replace("{{", "{").replace("}}", "}")
+
+
+@query(f"WITH {_CARDS} SELECT doc_id, sha256(digits) AS fingerprint, count(*) AS n FROM valid GROUP BY doc_id, digits")
+def card_candidates(spark, sf_dir):
+    found = _text_findings(spark, sf_dir, "luhn_payment_card")
+    return found.groupBy("doc_id", F.sha2("material", 256).alias("fingerprint")).agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_ASSIGNED} SELECT doc_id, sha256(value) AS fingerprint, count(*) AS n FROM assigned GROUP BY doc_id, value")
+def named_secrets(spark, sf_dir):
+    found = _text_findings(spark, sf_dir, "generic_secret_assignment")
+    return found.groupBy("doc_id", F.sha2("material", 256).alias("fingerprint")).agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_CARDS}, {_ASSIGNED} SELECT 'luhn_payment_card' AS detector, 'financial' AS category, count(*) AS findings, count(DISTINCT doc_id) AS documents FROM valid HAVING count(*) > 0 UNION ALL SELECT 'generic_secret_assignment', 'secret', count(*), count(DISTINCT doc_id) FROM assigned HAVING count(*) > 0")
+def findings_by_detector(spark, sf_dir):
+    found = _text_findings(spark, sf_dir, "luhn_payment_card", "generic_secret_assignment")
+    return found.groupBy("detector", "category").agg(F.count("*").alias("findings"), F.count_distinct("doc_id").alias("documents"))
+
+
+@query()
+def text_findings(spark, sf_dir):
+    """All text detectors, redacted: SQL has no look-around, so this is tested on fixtures."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = emit.attempt_ordinal(detect_text.detect(docs, "text"), ["doc_id", "material_type"], ["start", "stop", "detector"])
+    return emit.apply_policy(found, salt="fixture").select("doc_id", "detector", "category", "confidence", "start", "stop", "attempt_ordinal", "material_fingerprint", "material_length")
+
+
+@query("SELECT doc_id, 'token' AS name, len(regexp_extract_all(text, '(?i)token')) AS n FROM documents WHERE regexp_matches(text, '(?i)token')")
+def scanner_gate(spark, sf_dir):
+    rows = report.search(table(spark, sf_dir, "documents"), "text", "token")
+    return rows.select("doc_id", F.lit("token").alias("name"), F.size(F.regexp_extract_all("text", F.lit("(?i)token"), F.lit(0))).cast("long").alias("n"))
+
+
+@query("SELECT page_id, split_part(p, '=', 1) AS name, url_decode(replace(substr(p, instr(p, '=') + 1), '+', ' ')) AS value FROM (SELECT page_id, unnest(string_split_regex(split_part(url, '?', 2), '[&;]')) AS p FROM pages WHERE contains(url, '?')) WHERE instr(p, '=') > 1")
+def url_query_fields(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").where(F.contains("url", F.lit("?")))
+    return pages.select("page_id", F.explode(text.query_fields(F.split_part("url", F.lit("?"), F.lit(2)))).alias("f")).select("page_id", "f.name", "f.value")
+
+
+@query("SELECT page_id, CASE WHEN starts_with(lower(ltrim(html)), '<!doctype') THEN 'doctype' WHEN starts_with(lower(ltrim(html)), '<html') THEN 'html' WHEN starts_with(html, '%PDF-') THEN 'pdf' WHEN starts_with(html, 'GIF8') THEN 'gif' ELSE 'other' END AS kind FROM pages")
+def file_magic(spark, sf_dir):
+    start = F.lower(F.ltrim("html"))
+    kind = F.when(start.startswith("<!doctype"), "doctype").when(start.startswith("<html"), "html").when(F.col("html").startswith("%PDF-"), "pdf").when(F.col("html").startswith("GIF8"), "gif").otherwise("other")
+    return table(spark, sf_dir, "pages").select("page_id", kind.alias("kind"))
+
+
+_ROLE_NAMES = ("Password", "user[password]", "password_policy", "newPwd", "txtUser", "login", "account.name", "emailAddress", "otp-code", "apiKey", "note", "password2", "j_username", "X-Auth", "SessionID", "loginName", "filter.name", "pwd99", "uid", "passwordEnabled")
+_ROLES = {"Password": "sensitive", "user[password]": "sensitive", "newPwd": "sensitive", "txtUser": "username", "login": "username_weak", "account.name": "username", "emailAddress": "username", "otp-code": "sensitive", "apiKey": "sensitive", "password2": "sensitive", "j_username": "username", "X-Auth": "sensitive", "SessionID": "sensitive", "loginName": "username", "filter.name": "username_weak", "pwd99": "sensitive", "uid": "username"}
+
+
+@query("SELECT p_partkey, CASE p_partkey % 20 " + " ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(_ROLE_NAMES)) + " END AS name, CASE p_partkey % 20 " + " ".join(f"WHEN {i} THEN '{_ROLES[n]}'" for i, n in enumerate(_ROLE_NAMES) if n in _ROLES) + " END AS role FROM part")
+def field_roles(spark, sf_dir):
+    name = F.get(F.array(*map(F.lit, _ROLE_NAMES)), (F.col("p_partkey") % 20).cast("int"))
+    return table(spark, sf_dir, "part").select("p_partkey", name.alias("name")).withColumn("role", fields.field_role(F.col("name")))
+
+
+@query("SELECT event_id, je.key AS name, CAST(je.value AS VARCHAR) AS value FROM events, json_each(props) AS je")
+def json_members(spark, sf_dir):
+    events = table(spark, sf_dir, "events")
+    return events.select("event_id", F.explode(F.from_json("props", "map<string,string>")).alias("name", "value"))
+
+
+# --- flows -------------------------------------------------------------------
+
+
+@query("SELECT o_orderkey, CASE WHEN s.c_name <= t.c_name THEN s.c_name ELSE t.c_name END AS a, CASE WHEN s.c_name <= t.c_name THEN t.c_name ELSE s.c_name END AS b, CASE WHEN s.c_name <= t.c_name THEN 0 ELSE 1 END AS direction FROM orders JOIN customer s ON o_custkey = s.c_custkey JOIN customer t ON t.c_custkey = 1 + o_orderkey % 100")
+def flow_key_direction(spark, sf_dir):
+    names = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", (1 + F.col("o_orderkey") % 100).alias("other"))
+    rows = rows.join(names.select(F.col("c_custkey").alias("o_custkey"), F.col("c_name").alias("src")), "o_custkey").join(names.select(F.col("c_custkey").alias("other"), F.col("c_name").alias("dst")), "other")
+    rows = flow.canonical_flow(rows.withColumns({"sport": F.lit(1), "dport": F.lit(1), "protocol": F.lit(6)}))
+    return rows.select("o_orderkey", F.col("endpoint_a.address").alias("a"), F.col("endpoint_b.address").alias("b"), "direction")
+
+
+@query("SELECT c_custkey, c_custkey * 7 AS sport, 'b' || c_custkey AS address, CAST(c_nationkey AS INT) AS port FROM customer")
+def resolved_endpoints(spark, sf_dir):
+    rows = table(spark, sf_dir, "customer")
+    ident = F.concat_ws("|", F.lit("eth0"), F.lit("-"), F.lit("6"), F.concat(F.lit("a:"), (F.col("c_custkey") * 7 % 60000).cast("string")), F.concat(F.lit("b"), F.col("c_custkey"), F.lit(":"), F.col("c_nationkey")))
+    ends = flow.flow_endpoints(ident, F.lit(0))
+    return rows.select("c_custkey", (F.col("c_custkey") * 7).alias("sport"), ends["destination"]["address"].alias("address"), ends["destination"]["port"].alias("port"))
+
+
+@query("SELECT o_orderkey, CAST(CAST('0x' || substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 8) AS BIGINT) % 16 AS INT) AS shard FROM orders")
+def stable_shard(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", flow.stable_shard(F.col("o_orderkey"), 16).alias("shard"))
+
+
+@query("SELECT event_id, user_id, CAST(sum(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS epoch FROM events")
+def flow_epochs(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
+    return flow.connection_epochs(rows, ["user_id"], ["event_id"], F.col("event_type") == "signup").drop("event_type")
+
+
+@query("""WITH g AS (SELECT event_id, user_id, ts, CASE WHEN date_diff('microsecond', lag(ts) OVER w, ts) >= 7200000000 THEN 1 ELSE 0 END AS idle FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+    s AS (SELECT *, sum(idle) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS session FROM g)
+    SELECT user_id, CAST(session AS BIGINT) AS session, count(*) AS events, min(event_id) AS first_event FROM s GROUP BY user_id, session""")
+def idle_sessions(spark, sf_dir):
+    rows = flow.idle_sessions(table(spark, sf_dir, "events"), ["user_id"], "ts", ["ts", "event_id"], 7200)
+    return rows.groupBy("user_id", "session").agg(F.count("*").alias("events"), F.min("event_id").alias("first_event"))
+
+
+# --- intervals ---------------------------------------------------------------
+
+_LENGTH = F.col("l_quantity").cast("long")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, CAST(sum(CAST(l_quantity AS BIGINT)) OVER w - CAST(l_quantity AS BIGINT) AS BIGINT) AS stream_start, CAST(sum(CAST(l_quantity AS BIGINT)) OVER w AS BIGINT) AS stream_stop FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice ROWS UNBOUNDED PRECEDING)")
+def stream_offsets(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", _LENGTH.alias("length"))
+    rows = intervals.stream_offsets(rows, ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"], "length")
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", "stream_start", "stream_stop")
+
+
+_RANGES = """r AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, (l_partkey % 40) * 5 AS a, (l_partkey % 40) * 5 + CAST(l_quantity AS BIGINT) AS b FROM lineitem),
+    m AS (SELECT *, max(b) OVER (PARTITION BY l_orderkey ORDER BY a, b, l_linenumber, l_partkey, l_suppkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reached FROM r)"""
+
+
+def _ranges(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", (F.col("l_partkey") % 40 * 5).alias("a"), (F.col("l_partkey") % 40 * 5 + _LENGTH).alias("b"))
+    return intervals.trim_retransmits(rows, ["l_orderkey"], "a", "b", ["b", "l_linenumber", "l_partkey", "l_suppkey"])
+
+
+@query(f"WITH {_RANGES} SELECT l_orderkey, CAST(sum(b - greatest(a, least(b, coalesce(reached, a)))) AS BIGINT) AS fresh_bytes, CAST(sum(b - a) AS BIGINT) AS sent_bytes FROM m GROUP BY l_orderkey")
+def retransmit_trim(spark, sf_dir):
+    return _ranges(spark, sf_dir).groupBy("l_orderkey").agg(F.sum(F.col("b") - F.col("fresh_start")).alias("fresh_bytes"), F.sum(F.col("b") - F.col("a")).alias("sent_bytes"))
+
+
+@query(f"WITH {_RANGES} SELECT l_orderkey, CAST(sum(greatest(a - coalesce(reached, a), 0)) AS BIGINT) AS gap_bytes, count(*) FILTER (WHERE a > reached) AS gaps FROM m GROUP BY l_orderkey")
+def gap_bytes(spark, sf_dir):
+    return _ranges(spark, sf_dir).groupBy("l_orderkey").agg(F.sum("gap").alias("gap_bytes"), F.count_if(F.col("gap") > 0).alias("gaps"))
+
+
+@query("SELECT l_orderkey, count(DISTINCT l_linenumber) AS pieces, min(l_linenumber) = 1 AND max(l_linenumber) = count(DISTINCT l_linenumber) AS complete FROM lineitem GROUP BY l_orderkey")
+def fragment_complete(spark, sf_dir):
+    return intervals.complete_groups(table(spark, sf_dir, "lineitem"), ["l_orderkey"], "l_linenumber")
+
+
+_SPANS = """f AS (SELECT o_orderkey, o_custkey % 50 AS k, date_diff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE)) AS s FROM orders),
+    p AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey % 50 AS k, date_diff('day', DATE '1992-01-01', CAST(l_shipdate AS DATE)) AS s FROM lineitem WHERE l_linenumber = 1)"""
+
+
+def _spans(spark, sf_dir):
+    day = lambda c: F.datediff(F.col(c).cast("date"), F.lit("1992-01-01").cast("date")).cast("long")
+    found = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 50).alias("k"), day("o_orderdate").alias("start")).withColumn("stop", F.col("start") + 3)
+    packets = table(spark, sf_dir, "lineitem").where("l_linenumber = 1").select("l_orderkey", (F.col("l_suppkey") % 50).alias("k"), day("l_shipdate").alias("start")).withColumn("stop", F.col("start") + 2)
+    return found, packets
+
+
+@query(f"WITH {_SPANS} SELECT o_orderkey, count(*) AS packets, count(DISTINCT l_orderkey) AS distinct_packets FROM f JOIN p ON f.k = p.k AND f.s < p.s + 2 AND p.s < f.s + 3 GROUP BY o_orderkey")
+def provenance_range_join(spark, sf_dir):
+    found, packets = _spans(spark, sf_dir)
+    met = intervals.range_join(found, packets, ["k"], width=8)
+    return met.groupBy("o_orderkey").agg(F.count("*").alias("packets"), F.count_distinct("r_l_orderkey").alias("distinct_packets"))
+
+
+@query(f"WITH {_SPANS} SELECT o_orderkey FROM f WHERE NOT EXISTS (SELECT 1 FROM p WHERE f.k = p.k AND f.s < p.s + 2 AND p.s < f.s + 3)")
+def verified_body_mask(spark, sf_dir):
+    found, packets = _spans(spark, sf_dir)
+    return intervals.range_join(found, packets, ["k"], width=8, how="left_anti").select("o_orderkey")
+
+
+# --- correlations ------------------------------------------------------------
+
+
+@query("SELECT event_id, user_id, last_value(CASE WHEN event_type = 'view' THEN event_id END IGNORE NULLS) OVER w AS prior_event_id FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) QUALIFY event_type = 'purchase'")
+def asof_pairing(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type")
+    kind = F.col("event_type")
+    return correlate.asof_pair(rows, ["user_id"], ["ts", "event_id"], kind == "purchase", kind == "view", ["event_id"]).select("event_id", "user_id", "prior_event_id")
+
+
+@query("""WITH t AS (SELECT event_id, user_id, event_type, sum(CASE WHEN event_type = 'view' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS turn, ts FROM events WHERE event_type IN ('view', 'purchase')),
+    n AS (SELECT *, row_number() OVER (PARTITION BY user_id, turn, event_type ORDER BY ts, event_id) AS nth, max(CASE WHEN event_type = 'view' THEN event_id END) OVER (PARTITION BY user_id, turn) AS v FROM t)
+    SELECT event_id, CASE WHEN nth = 1 THEN v END AS challenge_event_id FROM n WHERE event_type = 'purchase'""")
+def paired_once(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").where("event_type in ('view', 'purchase')").select("event_id", "user_id", "ts", "event_type")
+    kind = F.col("event_type")
+    return correlate.pair_once(rows, ["user_id"], ["ts", "event_id"], kind == "view", kind == "purchase", ["event_id"]).select("event_id", "challenge_event_id")
+
+
+@query("SELECT event_id, user_id FROM events e WHERE event_type = 'purchase' AND NOT EXISTS (SELECT 1 FROM events s WHERE s.user_id = e.user_id AND s.event_type = 'signup' AND s.value > 95)")
+def unmatched_responses(spark, sf_dir):
+    events = table(spark, sf_dir, "events")
+    return correlate.unmatched(events.where("event_type = 'purchase'"), events.where("event_type = 'signup' and value > 95").select("user_id"), ["user_id"]).select("event_id", "user_id")
+
+
+@query("SELECT event_id, user_id, last_value(CASE WHEN event_type = 'signup' THEN props END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS carried FROM events QUALIFY event_type = 'click'")
+def carry_user_to_pass(spark, sf_dir):
+    rows = table(spark, sf_dir, "events")
+    rows = correlate.carry_forward(rows, ["user_id"], ["ts", "event_id"], F.col("event_type") == "signup", "props", "carried")
+    return rows.where("event_type = 'click'").select("event_id", "user_id", "carried")
+
+
+@query("SELECT conv_id, turn, md5(coalesce(text, '')) AS step_1, md5(coalesce(t2, '')) AS step_2, md5(coalesce(t3, '')) AS step_3 FROM (SELECT *, lead(role, 1) OVER w AS r2, lead(role, 2) OVER w AS r3, lead(text, 1) OVER w AS t2, lead(text, 2) OVER w AS t3 FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE role = 'user' AND r2 = 'assistant' AND r3 = 'user'")
+def multi_step_auth(spark, sf_dir):
+    role = F.col("role")
+    out = correlate.multi_step(table(spark, sf_dir, "conversations"), ["conv_id"], ["turn"], [role == "user", role == "assistant", role == "user"], "text")
+    return out.select("conv_id", "turn", *(F.md5(F.coalesce(f"step_{n}", F.lit(""))).alias(f"step_{n}") for n in (1, 2, 3)))
+
+
+@query("""SELECT o_custkey, CASE WHEN count(*) FILTER (WHERE o_orderpriority = '1-URGENT') > 0 THEN count(*) FILTER (WHERE o_orderpriority = '1-URGENT') ELSE count(*) FILTER (WHERE o_orderpriority = '2-HIGH') END AS companions,
+    CASE WHEN count(*) FILTER (WHERE o_orderpriority = '1-URGENT') = 1 THEN max(o_orderkey) FILTER (WHERE o_orderpriority = '1-URGENT') WHEN count(*) FILTER (WHERE o_orderpriority = '1-URGENT') = 0 AND count(*) FILTER (WHERE o_orderpriority = '2-HIGH') = 1 THEN max(o_orderkey) FILTER (WHERE o_orderpriority = '2-HIGH') END AS companion FROM orders GROUP BY o_custkey""")
+def companion_identity(spark, sf_dir):
+    return correlate.sole_companion(table(spark, sf_dir, "orders"), ["o_custkey"], "o_orderpriority", "o_orderkey", "1-URGENT", "2-HIGH")
+
+
+# --- emission ----------------------------------------------------------------
+
+
+@query("SELECT event_id, user_id, value FROM (SELECT *, max(value) OVER (PARTITION BY user_id, event_type ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS high FROM events) WHERE high IS NULL OR value > high")
+def exactly_once_highwater(spark, sf_dir):
+    return emit.exactly_once(table(spark, sf_dir, "events"), ["user_id", "event_type"], ["event_id"], "value").select("event_id", "user_id", "value")
+
+
+@query("SELECT event_id, user_id, event_type, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS attempt_ordinal FROM events")
+def attempt_ordinal(spark, sf_dir):
+    return emit.attempt_ordinal(table(spark, sf_dir, "events"), ["user_id", "event_type"], ["ts", "event_id"]).select("event_id", "user_id", "event_type", "attempt_ordinal")
+
+
+@query("SELECT c_custkey, sha256('fixture' || chr(31) || c_name) AS material_fingerprint, CAST(len(c_name) AS INT) AS material_length, substr(c_name, 1, 2) || '...(' || len(c_name) || ')' AS material_preview FROM customer")
+def redacted_projection(spark, sf_dir):
+    return emit.apply_policy(table(spark, sf_dir, "customer").select("c_custkey", F.col("c_name").alias("material")), salt="fixture")
+
+
+@query("SELECT user_id, count(*) AS lines, sha256(string_agg(sha256(event_type || '|' || props), chr(10) ORDER BY event_id)) AS digest FROM events GROUP BY user_id")
+def findings_digest(spark, sf_dir):
+    return emit.digest(table(spark, sf_dir, "events"), ["user_id"], F.concat_ws("|", "event_type", "props"), ["event_id"])
+
+
+# --- health ------------------------------------------------------------------
+
+
+@query("SELECT event_type AS name, count(*) AS value FROM events GROUP BY event_type")
+def merged_counters(spark, sf_dir):
+    workers = table(spark, sf_dir, "events").groupBy("event_type", (F.col("user_id") % 8).alias("worker")).agg(F.count("*").alias("value"))
+    return health.merge_counters(workers.select(F.col("event_type").alias("name"), "value"))
+
+
+@query("SELECT user_id, max(value) AS peak FROM events GROUP BY user_id")
+def peak_values(spark, sf_dir):
+    return health.peaks(table(spark, sf_dir, "events"), ["user_id"], "value")
+
+
+@query("SELECT user_id, count(*) AS attempts, count(*) FILTER (WHERE event_type = 'error') AS errors FROM events GROUP BY user_id HAVING errors >= 5 AND errors >= 0.2 * attempts")
+def error_ratio_gate(spark, sf_dir):
+    return health.error_gate(table(spark, sf_dir, "events"), ["user_id"], F.col("event_type") == "error", least=5, ratio=0.2)
+
+
+@query("SELECT event_id, user_id, in_span FROM (SELECT event_id, user_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch_s RANGE BETWEEN 86400 PRECEDING AND CURRENT ROW) AS in_span FROM (SELECT *, CAST(floor(epoch(ts)) AS BIGINT) AS epoch_s FROM events WHERE event_type = 'error')) WHERE in_span >= 3")
+def restart_breaker(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").where("event_type = 'error'")
+    return health.burst_breaker(rows, ["user_id"], F.unix_timestamp(F.col("ts").cast("timestamp")), span=86400, limit=3).select("event_id", "user_id", "in_span")
+
+
+@query("""WITH l AS (SELECT l_orderkey AS k, count(*) AS n FROM lineitem WHERE l_linenumber <= 4 GROUP BY 1), r AS (SELECT l_orderkey AS k, count(DISTINCT l_linenumber) AS n FROM lineitem GROUP BY 1)
+    SELECT k, coalesce(l.n, 0) AS left_n, coalesce(r.n, 0) AS right_n FROM l FULL JOIN r USING (k) WHERE coalesce(l.n, 0) <> coalesce(r.n, 0)""")
+def acknowledgement_reconciliation(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "k")
+    return health.reconcile(lines.where("l_linenumber <= 4").groupBy("k").agg(F.count("*").alias("n")), lines.groupBy("k").agg(F.count_distinct("l_linenumber").alias("n")), ["k"])
+
+
+@query("SELECT s_suppkey, CASE WHEN s_suppkey % 5 = 0 THEN NULL WHEN s_suppkey % 7 = 0 THEN 'capture_statistics_unknown' WHEN s_nationkey % 3 > 0 THEN 'capture_dropped_packets' WHEN s_suppkey % 11 = 0 THEN 'capture_delivery_mismatch' END AS issue FROM supplier")
+def capture_delivery(spark, sf_dir):
+    key = F.col("s_suppkey")
+    issue = health.delivery_issue(key, F.when(key % 7 != 0, F.col("s_nationkey") % 3), key - (key % 11 == 0).cast("int"), offline=key % 5 == 0)
+    return table(spark, sf_dir, "supplier").select("s_suppkey", issue.alias("issue"))
+
+
+@query("SELECT CASE WHEN len(reasons) = 0 THEN 'complete' ELSE 'incomplete' END AS verdict, array_to_string(reasons, ';') AS reasons FROM (SELECT coalesce(list_sort(list(DISTINCT event_type || '=' || n)), []) AS reasons FROM (SELECT event_type, count(*) FILTER (WHERE value > 50) AS n FROM events WHERE event_type IN ('error', 'click') GROUP BY 1) WHERE n > 0)")
+def verdict(spark, sf_dir):
+    counters = table(spark, sf_dir, "events").where("event_type in ('error', 'click')").groupBy(F.col("event_type").alias("name")).agg(F.count_if(F.col("value") > 50).alias("value"))
+    return health.verdict(counters).select("verdict", F.array_join("reasons", ";").alias("reasons"))
+
+
+@query("SELECT time_bucket(INTERVAL '10 minutes', ts) AS bucket, event_type, count(*) AS n FROM events GROUP BY ALL")
+def heartbeat_windows(spark, sf_dir):
+    return table(spark, sf_dir, "events").groupBy(F.window("ts", "10 minutes").alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("bucket"), "event_type", "n")
+
+
+# --- reports -----------------------------------------------------------------
+
+
+@query("SELECT event_id, user_id, event_type FROM events ORDER BY event_id DESC LIMIT 50")
+def tail_page(spark, sf_dir):
+    return report.tail_page(table(spark, sf_dir, "events"), "event_id", 50).select("event_id", "user_id", "event_type")
+
+
+@query("SELECT event_id, user_id, event_type FROM events WHERE event_id > 500 ORDER BY event_id LIMIT 100")
+def keyset_page(spark, sf_dir):
+    return report.keyset_page(table(spark, sf_dir, "events"), "event_id", 500, 100).select("event_id", "user_id", "event_type")
+
+
+@query("SELECT event_id, event_type FROM events WHERE event_type = 'error' AND contains(lower(props), '7')")
+def search_filter(spark, sf_dir):
+    return report.search(table(spark, sf_dir, "events"), "props", "7", event_type="error").select("event_id", "event_type")
+
+
+@query("SELECT user_id, max(ts) AS last_seen FROM events GROUP BY user_id ORDER BY last_seen DESC, user_id LIMIT 40")
+def lru_survivors(spark, sf_dir):
+    return report.most_recent_keys(table(spark, sf_dir, "events"), ["user_id"], "ts", 40)
