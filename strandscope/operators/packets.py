@@ -27,7 +27,9 @@ _INTS = ("packet_id", "timestamp_ns", "ip_version", "protocol", "fragment_id", "
 
 
 def _frame(rows: list[dict], schema: str) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=_names(schema))
+    names = _names(schema)
+    # a value that is missing is None, not NaN, which text columns don't take
+    out = pd.DataFrame([[row.get(c) for c in names] for row in rows], columns=names)
     return out.astype({c: "Int64" for c in _INTS if c in out.columns})
 
 
