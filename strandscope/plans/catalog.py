@@ -161,12 +161,14 @@ def idle_sessions(spark, sf_dir):
 
 # --- intervals ---------------------------------------------------------------
 
-_LENGTH = F.col("l_quantity").cast("long")
+def _length():
+    return F.col("l_quantity").cast("long")
+
 
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey, CAST(sum(CAST(l_quantity AS BIGINT)) OVER w - CAST(l_quantity AS BIGINT) AS BIGINT) AS stream_start, CAST(sum(CAST(l_quantity AS BIGINT)) OVER w AS BIGINT) AS stream_stop FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice ROWS UNBOUNDED PRECEDING)")
 def stream_offsets(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", _LENGTH.alias("length"))
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", _length().alias("length"))
     rows = intervals.stream_offsets(rows, ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"], "length")
     return rows.select("l_orderkey", "l_linenumber", "l_partkey", "stream_start", "stream_stop")
 
@@ -176,7 +178,7 @@ _RANGES = """r AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, (l_par
 
 
 def _ranges(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", (F.col("l_partkey") % 40 * 5).alias("a"), (F.col("l_partkey") % 40 * 5 + _LENGTH).alias("b"))
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", (F.col("l_partkey") % 40 * 5).alias("a"), (F.col("l_partkey") % 40 * 5 + _length()).alias("b"))
     return intervals.trim_retransmits(rows, ["l_orderkey"], "a", "b", ["b", "l_linenumber", "l_partkey", "l_suppkey"])
 
 
