@@ -7,7 +7,9 @@ import os
 import numpy as np
 
 #: Words that a worker keeps; beyond it the cache starts anew, so memory is bounded on any text.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 600_000
+#: Marks that end words.
+MARKS = ".,;:!?"
 
 
 class ByteLevelEncoder:
@@ -26,18 +28,34 @@ class ByteLevelEncoder:
         self.tokenizer.encode_special_tokens = True
         self.first: dict[str, bytes] = {}  # at the start of a line
         self.later: dict[str, bytes] = {}  # after a space
+        self.marks: dict[str, bytes] = {}
         self.newline = self._ids(["\n"])[0]
+        self.break_id = int(np.frombuffer(self.newline, "<u4")[0])
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, words: set[str], known: dict[str, bytes], lead: str) -> None:
+        """Add ``words`` to ``known``. Letters and the marks after them are separate pieces, so ``word,`` is looked up as two."""
         if len(known) + len(words) > CACHE_WORDS:
             known.clear()
+        marked = [(w, core) for w in words if (core := w.rstrip(MARKS)) != w and core.isalpha()]
+        self._encode_words((words - {w for w, _ in marked}) | {core for _, core in marked if core not in known}, known, lead)
+        self._encode_words({w[len(core) :] for w, core in marked} - self.marks.keys(), self.marks, "")
+        for w, core in marked:
+            known[w] = known[core] + self.marks[w[len(core) :]]
+
+    def _encode_words(self, words: set[str], known: dict[str, bytes], lead: str) -> None:
         new = list(words)
         for at in range(0, len(new), 10_000):
             part = new[at : at + 10_000]
-            known.update(zip(part, self._ids([lead + w for w in part]), strict=True))
+            # words hold no newline, so a newline's id ends each word's ids in the text of all of them
+            raw = self._ids(["\n".join([lead + w for w in part]) + "\n"])[0]
+            ends = np.flatnonzero(np.frombuffer(raw, "<u4") == self.break_id).tolist()
+            start = 0
+            for w, end in zip(part, ends, strict=True):
+                known[w] = raw[4 * start : 4 * end]
+                start = end + 1
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
@@ -54,7 +72,7 @@ class ByteLevelEncoder:
         at = 0
         while at < len(cut):
             end, count = at, 0
-            while end < len(cut) and (end == at or count < CACHE_WORDS // 2):
+            while end < len(cut) and (end == at or count < CACHE_WORDS // 4):
                 count += sum(map(len, cut[end][1]))
                 end += 1
             here = cut[at:end]
