@@ -177,6 +177,11 @@ class Direction:
         start = place - self.base
         if start < 0:  # before the start that is known: a late beginning can't be placed
             data, start = data[-start:], 0
+        if not data:
+            return
+        if not self.ranges or start >= self.ranges[-1][1]:  # in order, as most are
+            self.ranges.append((start, start + len(data), data, packets, time))
+            return
         at, stop, fresh = start, start + len(data), []
         for a, b, held, *_ in self.ranges:
             if b <= at or a >= stop:
