@@ -29,7 +29,7 @@ class _Features(dict):
     """Feature of each word; starts anew when it has grown too large."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")) & ((1 << BITS) - 1)
         return h
