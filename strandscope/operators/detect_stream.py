@@ -192,9 +192,14 @@ def pair_ntlm(parts: DataFrame) -> DataFrame:
 
 
 def qualify_postgres(findings: DataFrame, parts: DataFrame) -> DataFrame:
-    """Password messages by the method that the server asked for last: in the clear, they are confirmed credentials."""
+    """Password messages by the method that the server asked for last: in the clear, they are confirmed credentials.
+
+    Method 0 says that the log-in is over and asks for nothing, so it counts
+    only where no method was asked for. A connection is asked once; times don't
+    tell what came before a password, as a chunk has that of its last packet.
+    """
     methods = parts.where("part = 'record' and detector = 'postgres_method'").select("session_id", "flow_id", "epoch", F.col("observed_timestamp_ns").alias("at"), "start", F.col("fields")["method"].alias("method"))
-    latest = methods.groupBy("session_id", "flow_id", "epoch").agg(F.max_by("method", F.struct("at", "start")).alias("method"))
+    latest = methods.groupBy("session_id", "flow_id", "epoch").agg(F.max_by("method", F.struct(F.col("method") != "0", "at", "start")).alias("method"))
     joined = findings.where("material_type = 'postgres_password_message'").join(latest, ["session_id", "flow_id", "epoch"], "left")
     clear = F.col("method") == "3"
     known = joined.where(F.coalesce(F.col("method").isin("3"), F.lit(True))).withColumns({"detector": F.when(clear, "postgres_cleartext_password").otherwise("postgres_password_message"), "category": F.when(clear, "credential").otherwise("authentication"), "confidence": F.when(clear, "confirmed").otherwise("medium")})

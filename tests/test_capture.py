@@ -199,6 +199,17 @@ def test_line_and_binary_protocols(spark, tmp_path):
     assert ("snmp_community", "", "private") in got and not any("secret!" in m for d, _, m in got if d == "redis_auth")
 
 
+def test_postgres_log_ins_that_succeed(spark, tmp_path):
+    records = []
+    for n, methods in enumerate(([3, 0], [3], [5, 0], [0], [])):
+        client = b"\0\0\0\x08\0\3\0\0" + b"p" + struct.pack(">I", 9) + b"pgp%d\0" % n
+        server = b"".join(b"R" + struct.pack(">II", 8, m) for m in methods) + b"Z\0\0\0\5I"
+        records += stream(client, dport=5432, sport=50010 + n) + stream(server, sport=5432, dport=50010 + n, src=SERVER, dst=CLIENT)
+    found, _ = run(spark, tmp_path, pcap(records), "pg.pcap")
+    got = {(r["detector"], r["material"], r["confidence"]) for r in found if r["detector"].startswith("postgres")}
+    assert got == {("postgres_cleartext_password", "pgp0", "confirmed"), ("postgres_cleartext_password", "pgp1", "confirmed"), ("postgres_password_message", "pgp4", "medium")}
+
+
 def challenge(n=1):
     return b"NTLMSSP\0" + struct.pack("<I", 2) + bytes(12) + bytes([n] * 8) + bytes(16)
 
