@@ -31,6 +31,16 @@ def merge_ranks(vocabulary: str) -> dict[bytes, int] | None:
     return {bytes(byte[c] for c in t): i for t, i in plain.items()}
 
 
+def is_clean(word: str) -> bool:
+    """Whether what stands between two spaces is a word without white space, but for one newline in front of it.
+
+    An empty word is a space next to a space or at an end, a bare newline one
+    next to a space or newline or at an end.
+    """
+    core = word[1:] if word[:1] == "\n" else word
+    return core.split() == [core]
+
+
 class ByteLevelEncoder:
     """Encodes as ``tokenizers`` does with this vocabulary, special strings being ordinary text.
 
@@ -98,15 +108,18 @@ class ByteLevelEncoder:
             count, seen = 0, set()
             while at < len(texts) and count < SLICE_WORDS:
                 words = ("\n" + texts[at]).replace("\n", " \n").split(" ")
-                if len(words) - 1 == len(texts[at].split()):
-                    cut.append((at, words))
-                    seen.update(words)
-                    count += len(words)
-                else:
-                    odd.append(at)
+                del words[0]
+                cut.append((at, words))
+                seen.update(words)
+                count += len(words)
                 at += 1
-            seen.discard("")
             new = seen - self.known.keys()
+            # Known words are clean, so other white space can only stand in a new one.
+            if unclean := {w for w in new if not is_clean(w)}:
+                odd += [i for i, words in cut if not unclean.isdisjoint(words)]
+                cut = [(i, words) for i, words in cut if unclean.isdisjoint(words)]
+                seen = set().union(*(words for _, words in cut))
+                new = seen - self.known.keys()
             if len(self.known) + len(new) > CACHE_WORDS:
                 self.known.clear()
                 new = seen
@@ -114,7 +127,7 @@ class ByteLevelEncoder:
                 self._learn(new)
             get = self.known.__getitem__
             for i, words in cut:
-                out[i] = b"".join(map(get, words[1:]))[len(self.newline) :]
+                out[i] = b"".join(map(get, words))[len(self.newline) :]
         for at in range(0, len(odd), 64):
             for i, ids in zip(odd[at : at + 64], self._ids([texts[i] for i in odd[at : at + 64]]), strict=True):
                 out[i] = ids

@@ -226,6 +226,22 @@ def test_packing_round_trip(spark, vocabulary):
     assert packing.pack_documents(frame(spark, []), vocabulary).count() == 0
 
 
+def test_mixed_white_space_is_encoded_as_by_tokenizers(vocabulary, monkeypatch):
+    from tokenizers import Tokenizer
+
+    from strandscope.llm import tokens
+
+    monkeypatch.setattr(tokens, "SLICE_WORDS", 30)
+    texts = ["Hello. World\xa0x", "a\n\n\nb\tc\td", "a\tb  c", "\u2028 a\u2028b", "a \nb\tc", "x\n y\x85z", " a\tb", "a\tb\n", "\t a\tb", "", "Hello. World", "a\nb", "\n\na\tb\tc"]
+    rng = random.Random(12)
+    texts += ["".join(rng.choice(["a", "Bc", "d.", "7", " ", " ", "\n", "\t", "\xa0", "\u2028"]) for _ in range(rng.randint(1, 12))) for _ in range(500)]
+    tokenizer = Tokenizer.from_file(vocabulary)
+    encoder = tokens.ByteLevelEncoder(vocabulary)
+    for _ in range(2):
+        got = [np.frombuffer(ids, "<u4").tolist() for ids in encoder.encode(texts)]
+        assert got == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_histogram_packing_is_near_the_bound():
     rng = np.random.default_rng(1)
     for draw in (rng.integers(1, 257, 3000), np.full(500, 100), rng.integers(120, 130, 400), np.array([256, 1])):
