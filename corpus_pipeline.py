@@ -23,7 +23,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without passages seen before, n_chars following the text; those of which nothing is left go."""
-    out = line_dedup.dedup_lines(docs)
+    out = line_dedup.dedup_lines(docs, short_words=50)
     changed = F.col("n_removed") > 0
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))

@@ -101,6 +101,39 @@ def test_line_dedup_against_brute_force(spark):
     assert got == lines_by_hand(rows)
 
 
+def passages_by_hand(rows, words):
+    """Three lines that are not all blank, and one or two lines of more than ``words`` words."""
+    seen, gone = set(), defaultdict(set)
+    for i, t in sorted((i, t) for i, t in rows if t is not None):
+        cut = t.split("\n")
+        for p in range(len(cut)):
+            for n in (1, 2, 3):
+                w = tuple(cut[p : p + n])
+                if len(w) == n and ("".join(w).strip(" ") if n == 3 else len(" ".join(w).split()) > words):
+                    if w in seen:
+                        gone[i] |= set(range(p, p + n))
+                    seen.add(w)
+    return {i: (sorted(gone[i]), t if t is None else "\n".join(x for p, x in enumerate(t.split("\n")) if p not in gone[i])) for i, t in rows}
+
+
+def test_long_passages_of_one_or_two_lines_go(spark):
+    rng = random.Random(15)
+    lines = [prose(20 + n, n) for n in (3, 20, 24, 27, 30, 49, 50, 51, 52, 80)] + ["", "x y", "  ".join(prose(3, 26).split()), "\t" + prose(4, 51).replace(" ", " \u00a0 ")]
+    rows = [(i, "\n".join(rng.choice([*lines, f"line {rng.random()}"]) for _ in range(rng.randint(1, 6)))) for i in range(90)] + [(99, None), (98, "")]
+    rows += [(200, prose(9, 60)), (201, prose(9, 60)), (202, f"a\n{prose(9, 60)}"), (203, f"{prose(8, 30)}\n{prose(7, 30)}"), (204, f"{prose(8, 30)}\n{prose(7, 30)}")]
+    got = {r["doc_id"]: (r["removed"], r["text"]) for r in line_dedup.dedup_lines(frame(spark, rows), short_words=50).collect()}
+    assert got == passages_by_hand(rows, 50)
+    assert [got[i][0] for i in (200, 201, 202, 203, 204)] == [[], [0], [1], [], [0, 1]]
+
+
+def test_pipeline_removes_short_long_passages(spark):
+    import corpus_pipeline
+
+    rows = [(1, prose(9, 51)), (2, prose(9, 51)), (3, f"own\n{prose(9, 51)}"), (4, prose(8, 50)), (5, prose(8, 50))]
+    out = {r["doc_id"]: r["text"] for r in corpus_pipeline.dedup_lines(spark, frame(spark, rows), "").collect()}
+    assert out == {1: rows[0][1], 3: "own", 4: rows[3][1], 5: rows[4][1]}
+
+
 def test_line_dedup_edges(spark):
     out = line_dedup.dedup_lines(frame(spark, EDGE))
     assert out.count() == len(EDGE) and out.columns[: len(DOCS.split(","))] == ["doc_id", "text", "lang", "size", "shard", "digest"]
