@@ -13,6 +13,7 @@ Only the histogram (at most one count for each length) reaches the driver.
 from __future__ import annotations
 
 import bisect
+import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -69,42 +70,49 @@ def _price(weights: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
     return best, took
 
 
-def solve_configurations(counts: np.ndarray, capacity: int, *, rounds: int = 12, step: float = 0.5) -> list[tuple[tuple[int, ...], float]]:
-    """A fractional cover of ``counts`` (index: length) by configurations, by multiplicative weights.
+def _filled(took: np.ndarray, first: int, capacity: int) -> tuple[int, ...]:
+    """The best configuration that holds ``first``, by the lengths that the knapsack took."""
+    config, room = [first], capacity - first
+    while room > 0:
+        if took[room]:
+            config.append(int(took[room]))
+        room -= int(took[room]) or 1
+    return tuple(sorted(config, reverse=True))
 
-    Each round prices, for every length still wanted, the best configuration
-    that contains it under the current weights, and lowers the weight of each
-    length by how much of it the round's configurations cover.
+
+def solve_configurations(counts: np.ndarray, capacity: int, *, rounds: int = 12, step: float = 0.3) -> tuple[list[tuple[tuple[int, ...], float]], int]:
+    """A fractional cover of ``counts`` (index: length) by configurations, by multiplicative weights, and a lower bound of every cover.
+
+    A length starts with the room that it takes as its weight. Each round
+    prices, for every length, the best configuration that contains it under the
+    weights, and multiplies the weight of a length by exp(step) to the power of
+    how much less than the average of all lengths the round has covered it. Any
+    weights give a bound: all pieces' weight over the weight of the best
+    configuration.
     """
     wanted = np.flatnonzero(counts)
-    logs = np.zeros(capacity + 1)
-    solution: dict[tuple[int, ...], float] = {}
+    weights = np.zeros(capacity + 1)
+    weights[wanted] = wanted
+    amounts: dict[tuple[int, ...], float] = {}
+    bound = 0.0
     for _ in range(rounds):
-        weights = np.zeros(capacity + 1)
-        # a length is worth the room it takes; the weights bend that towards what is covered least
-        weights[wanted] = wanted * np.exp(np.clip(logs[wanted] - logs[wanted].max(), -0.3, 0))
-        _, took = _price(weights, capacity)
+        best, took = _price(weights, capacity)
+        bound = max(bound, float(weights @ counts) / best[capacity])
         covered = np.zeros(capacity + 1)
         for length in wanted:
-            config, room = [int(length)], capacity - int(length)
-            while room > 0:
-                if took[room]:
-                    config.append(int(took[room]))
-                    room -= int(took[room])
-                else:
-                    room -= 1
-            held = Counter(config)
+            held = Counter(_filled(took, int(length), capacity))
             amount = min(counts[a] / b for a, b in held.items()) / rounds
-            key = tuple(sorted(config, reverse=True))
-            solution[key] = solution.get(key, 0.0) + amount
+            key = tuple(sorted(held.elements(), reverse=True))
+            amounts[key] = amounts.get(key, 0.0) + amount
             for a, b in held.items():
                 covered[a] += amount * b
-        logs[wanted] -= step * covered[wanted] * rounds / counts[wanted] / max(1e-9, (covered[wanted] * rounds / counts[wanted]).max())
+        share = covered[wanted] * rounds / counts[wanted]
+        weights[wanted] *= np.exp(step * (1 - share / share.mean()))
     load = np.zeros(capacity + 1)
-    for config, x in solution.items():
+    for config, x in amounts.items():
         for a in config:
             load[a] += x
-    return [(c, x / max(load[a] / counts[a] for a in c)) for c, x in solution.items()]
+    return [(c, x / max(load[a] / counts[a] for a in c)) for c, x in amounts.items()], math.ceil(bound - 1e-6)
 
 
 def best_fit(counts: np.ndarray, capacity: int) -> Counter:
@@ -152,36 +160,48 @@ def best_fit(counts: np.ndarray, capacity: int) -> Counter:
     return done
 
 
-def _rounded(counts: np.ndarray, capacity: int, solution: list[tuple[tuple[int, ...], float]], least: float) -> Counter:
-    """Whole configurations of a fractional cover, those of ``least`` to 1 counting as one while their pieces last; best fit places the rest."""
-    left, used = counts.copy(), Counter()
-    fullest = max(sum(c) for c, _ in solution)
-    for config, x in sorted(solution, key=lambda c: (sum(c[0]), c[1] >= 1, c[0]), reverse=True):
-        if sum(config) < fullest:
-            break
-        held = Counter(config)
-        times = min(int(x) or int(x >= least), *(int(left[a]) // b for a, b in held.items()))
-        if times > 0:
-            used[config] += times
-            for a, b in held.items():
-                left[a] -= times * b
-    used.update(best_fit(left, capacity))
-    return used
+def _rounded(counts: np.ndarray, capacity: int) -> tuple[Counter, Counter, int]:
+    """Whole configurations of the program, the best fit of what they leave, and the program's lower bound.
+
+    The program is solved again for what a rounding leaves. A rounding uses the
+    fullest configurations, those of long pieces first, as often as the
+    program does, once at least, and while their pieces last. It ends when the
+    configurations leave more room than best fit of the same pieces does.
+    """
+    left, used, least = counts.copy(), Counter(), 0
+    while left.any():
+        solution, bound = solve_configurations(left, capacity)
+        least = least or bound
+        rest = best_fit(left, capacity)
+        spare = (sum(rest.values()) * capacity - int(left @ np.arange(capacity + 1))) / sum(rest.values())
+        took = 0
+        for config, x in sorted(solution, key=lambda c: (sum(c[0]), c[0], c[1]), reverse=True):
+            if capacity - sum(config) > spare:
+                break
+            held = Counter(config)
+            times = min(max(1, int(x)), *(int(left[a]) // b for a, b in held.items()))
+            if times > 0:
+                used[config] += times
+                took += times
+                for a, b in held.items():
+                    left[a] -= times * b
+        if not took:
+            return used, rest, least
+    return used, Counter(), least
 
 
 def pack_histogram(counts: np.ndarray, capacity: int) -> Counter:
     """Configurations (lengths in the order of their places) and how often each is used; they hold exactly ``counts``.
 
-    The solution is rounded at three thresholds, and the rounding of the fewest
-    sequences is kept: where pieces are few for each length, fractions say
-    little and best fit does most, where they are many, whole parts do.
+    The rounded program with best fit of its rest, unless best fit of all
+    pieces needs fewer sequences.
     """
     left = counts.astype(np.int64).copy()
     full = Counter({(capacity,): int(left[capacity])} if left[capacity] else {})
     left[capacity] = 0
     if left.any():
-        solution = solve_configurations(left, capacity)
-        full.update(min((_rounded(left, capacity, solution, least) for least in (1.0, 0.5, 0.0)), key=lambda used: sum(used.values())))
+        used, rest, _ = _rounded(left, capacity)
+        full.update(min((used + rest, best_fit(left, capacity)), key=lambda c: sum(c.values())))
     return full
 
 

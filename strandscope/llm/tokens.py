@@ -42,11 +42,12 @@ def is_clean(word: str) -> bool:
 
 
 class ByteLevelEncoder:
-    """Encodes as ``tokenizers`` does with this vocabulary, special strings being ordinary text.
+    """Encodes as ``tokenizers`` does with this vocabulary, which gives the file's added strings their own ids.
 
     Byte-level BPE never merges across the space in front of a word or around
     a single newline, so a text whose white space is single spaces and newlines
-    is the concatenation of its words' ids. Any other text is encoded whole.
+    is the concatenation of its words' ids. Any other text, and a text that has
+    an added string in it, is encoded whole.
     A word that begins a line is kept with the newline in front of it.
 
     Words that are new come from ``tiktoken`` with the file's own ranks, which
@@ -59,7 +60,7 @@ class ByteLevelEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         ranks = merge_ranks(vocabulary)
         self.fast = None
         if ranks:
@@ -107,6 +108,10 @@ class ByteLevelEncoder:
             cut: list[tuple[int, list[str]]] = []
             count, seen = 0, set()
             while at < len(texts) and count < SLICE_WORDS:
+                if any(a in texts[at] for a in self.added):
+                    odd.append(at)
+                    at += 1
+                    continue
                 words = ("\n" + texts[at]).replace("\n", " \n").split(" ")
                 del words[0]
                 cut.append((at, words))

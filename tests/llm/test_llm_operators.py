@@ -340,8 +340,9 @@ def test_near_dedup_against_brute_force(spark):
     assert all(r["class_size"] == sizes[want[i]] and r["kept"] == (want[i] == i) for i, r in got.items())
 
 
-def test_buckets_of_many_classes_are_divided(spark, monkeypatch):
-    monkeypatch.setattr(near_dedup, "BUCKET", 2)
+@pytest.mark.parametrize("small", [2, 8])
+def test_pairs_in_buckets_of_many_classes_are_found(spark, monkeypatch, small):
+    monkeypatch.setattr(near_dedup, "SMALL", small)
     passage = prose(5, 150)
     rows = [(i, passage + " " + prose(700 + i, 45)) for i in range(40)]
     rows += [(100 + i, passage + " " + prose(700 + i, 45) + " end") for i in range(0, 40, 4)]
@@ -362,12 +363,45 @@ def test_signatures_are_unbiased():
     assert abs(np.mean(errors)) < 0.02 and np.std(errors) < 0.09
 
 
+def test_recall_in_a_family_around_the_bound(spark):
+    """Copies of one text on both sides of 0.8: nearly all links through others than the hub are found as well."""
+    rng = random.Random(8)
+    base = prose(77, 150).split()
+    rows = [(0, " ".join(base))]
+    for i in range(1, 400):
+        own = list(base)
+        for _ in range(rng.randint(1, 9)):
+            own[rng.randrange(len(own))] = rng.choice("abcd")
+        rows.append((i, " ".join(own)))
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(frame(spark, rows)).collect()}
+    want = classes_by_hand(rows)
+    linked = [i for i in want if Counter(want.values())[want[i]] > 1]
+    assert sum(got[i] == want[i] for i in linked) >= 0.98 * len(linked)
+    assert all(got[i] == i for i in want if i not in linked)
+
+
 def test_near_dedup_edges(spark):
     out = near_dedup.near_duplicates(frame(spark, EDGE)).collect()
-    assert Counter(r["doc_id"] for r in out) == Counter({1: 1, 2: 1, 3: 1, 4: 1, 5: 1, None: 1, 6: 1, 7: 1, 8: 1})
+    assert Counter(r["doc_id"] for r in out) == Counter(i for i, _ in EDGE)
+    assert {(r["class_id"], r["class_size"], r["copy_of"]) for r in out if r["doc_id"] in (4, 5, None)} == {(4, 4, 4)}
+    assert [r["doc_id"] for r in out if r["class_id"] == 4 and r["kept"]] == [4]
+    assert sum(r["kept"] for r in out) == len(EDGE) - 3
     assert near_dedup.near_duplicates(frame(spark, [])).count() == 0
 
 
+def test_rows_of_one_id_are_told_apart(spark):
+    """An id with a copy and a text of its own loses the copy only; of repeated rows one stays; null ids take part."""
+    a, b, c = prose(1, 50), prose(2, 50), prose(3, 50)
+    rows = [(1, a), (2, a), (2, b), (3, b), (3, b), (4, c), (4, c), (None, c), (None, prose(4, 50)), (7, ""), (7, "")]
+    want = Counter([(1, a), (2, b), (4, c), (None, prose(4, 50)), (7, ""), (7, "")])
+    for _ in range(2):
+        out = near_dedup.drop_near_duplicates(frame(spark, rows))
+        assert out.columns == ["doc_id", "text", "lang", "size", "shard", "digest"]
+        assert Counter((r["doc_id"], r["text"]) for r in out.collect()) == want
+    found = near_dedup.near_duplicates(frame(spark, [(None, a), (None, a)])).collect()
+    assert [r["class_id"] for r in found] == [None, None] and sorted(r["kept"] for r in found) == [False, True]
+
+
 # --- decontamination ---------------------------------------------------------
 
 
