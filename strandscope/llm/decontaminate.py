@@ -1,7 +1,9 @@
 """Benchmark decontamination by a BM25 inverted index of the test items, searched with block-max WAND.
 
 Every passage (overlapping window of words) of every training document is a
-query. An item's BM25 score is divided by the score that the item gets from its
+query. Items are searched with windows of their own class of length, and term
+frequencies and lengths are those of all items, so what is found of an item
+doesn't depend on the items that it is indexed with. An item's BM25 score is divided by the score that the item gets from its
 own words, so one threshold serves all items, and all items above it are
 retrieved. A retrieved item is verified on the five-word shingles of its
 question and answer that occur around the passage.
@@ -14,20 +16,21 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .workspace import passed_through
+from .workspace import Workspace, passed_through
 
 _WORD = re.compile(r"\w+")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
 SHINGLE = 5
 OVERLAP = 0.8
 THRESHOLD = 0.5
-#: Items that are indexed, and sent to the executors, at a time; more items take more passes.
+#: Items that are indexed, and sent to the executors, at a time; more items take more passes, with the same results.
 BLOCK_ITEMS = 20_000
 #: Postings of a term that share a maximum.
 POSTINGS_BLOCK = 16
@@ -56,6 +59,25 @@ def _shingles(own: list[str]) -> set[tuple[str, ...]]:
     return {tuple(own[i : i + n]) for i in range(len(own) - n + 1)} if n else set()
 
 
+@dataclass
+class Statistics:
+    """Of all items: how many there are, their mean length, and in how many each word is (of those asked for)."""
+
+    items: int
+    mean: float
+    frequency: dict[str, int]
+
+
+def statistics(items: list[tuple[int, list[str], list[str]]]) -> Statistics:
+    frequency = Counter(w for _, q, a in items for w in {*q, *a})
+    return Statistics(len(items), sum(len(q) + len(a) for _, q, a in items) / max(1, len(items)), frequency)
+
+
+def window_of(length: int) -> int:
+    """Words of the passages in which an item of ``length`` words is looked for: the power of two from there, 64 at least."""
+    return max(64, 1 << max(0, length - 1).bit_length())
+
+
 @dataclass
 class Index:
     """Term ids; for each term the items (ascending), their normalised impacts, and the largest impact of each block."""
@@ -70,14 +92,23 @@ class Index:
     window: int
 
 
-def build_index(items: list[tuple[int, list[str], list[str]]], *, k1: float = 1.2, b: float = 0.75) -> Index:
-    """``items``: id, question words, answer words. Items without words are in no posting."""
+def build_indexes(items: list[tuple[int, list[str], list[str]]], known: Statistics | None = None) -> list[Index]:
+    """An index for each class of length."""
+    known = known or statistics(items)
+    classes: dict[int, list[tuple[int, list[str], list[str]]]] = {}
+    for item in items:
+        classes.setdefault(window_of(len(item[1]) + len(item[2])), []).append(item)
+    return [build_index(own, known) for _, own in sorted(classes.items())]
+
+
+def build_index(items: list[tuple[int, list[str], list[str]]], known: Statistics | None = None, *, k1: float = 1.2, b: float = 0.75) -> Index:
+    """``items``: id, question words, answer words. Items without words are in no posting. ``known`` is of all items (default: of these)."""
+    known = known or statistics(items)
     texts = [q + a for _, q, a in items]
     counts = [Counter(t) for t in texts]
-    frequency = Counter(w for c in counts for w in c)
-    mean = sum(map(len, texts)) / max(1, len(texts)) or 1.0
-    terms = {w: i for i, w in enumerate(sorted(frequency))}
-    idf = {w: math.log(1 + (len(items) - n + 0.5) / (n + 0.5)) for w, n in frequency.items()}
+    mean = known.mean or 1.0
+    terms = {w: i for i, w in enumerate(sorted({w for c in counts for w in c}))}
+    idf = {w: math.log(1 + (known.items - (n := known.frequency[w]) + 0.5) / (n + 0.5)) for w in terms}
     postings: list[list[tuple[int, float]]] = [[] for _ in terms]
     for i, c in enumerate(counts):
         impact = {w: idf[w] * n * (k1 + 1) / (n + k1 * (1 - b + b * len(texts[i]) / mean)) for w, n in c.items()}
@@ -91,7 +122,7 @@ def build_index(items: list[tuple[int, list[str], list[str]]], *, k1: float = 1.
         for i, x in p:
             ranges[t, i // span] = max(ranges[t, i // span], x * (1 + 1e-6))
     longest = max(map(len, texts), default=0)
-    return Index(terms, [[i for i, _ in p] for p in postings], [[x for _, x in p] for p in postings], blocks, np.array([max(m) for m in blocks] + [0.0]), ranges, items, max(32, -(-longest // 32) * 32))
+    return Index(terms, [[i for i, _ in p] for p in postings], [[x for _, x in p] for p in postings], blocks, np.array([max(m) for m in blocks] + [0.0]), ranges, items, window_of(longest))
 
 
 def search(index: Index, terms: list[int], threshold: float) -> list[tuple[int, float]]:
@@ -190,44 +221,59 @@ def leaks(text: str | None, index: Index, *, threshold: float = THRESHOLD, overl
     return list(best.values())
 
 
+_HIT = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
+
+
 def _items(benchmark: DataFrame, id_col: str, text_col: str, answer_col: str | None) -> DataFrame:
-    return benchmark.select(F.col(id_col).cast("long").alias("item"), F.col(text_col).alias("question"), (F.col(answer_col) if answer_col else F.lit(None).cast("string")).alias("answer"))
+    """item, question and answer (words of each)."""
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            parts = [split_item(q) if answer_col is None else (words(q), words(a)) for q, a in zip(b["question"], b["answer"], strict=True)]
+            yield pd.DataFrame({"item": b["item"].astype("Int64"), "question": [q for q, _ in parts], "answer": [a for _, a in parts]})
+
+    rows = benchmark.select(F.col(id_col).cast("long").alias("item"), F.col(text_col).alias("question"), (F.col(answer_col) if answer_col else F.lit(None).cast("string")).alias("answer"))
+    return rows.mapInPandas(cut, "item long, question array<string>, answer array<string>")
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", question_col: str = "text", answer_col: str | None = None) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", question_col: str = "text", answer_col: str | None = None, block_items: int = BLOCK_ITEMS) -> DataFrame:
     """doc_id, item_id, score, question_overlap, answer_overlap of every verified leak of an item into a document.
 
-    Items are read in blocks of BLOCK_ITEMS, each indexed and sent out at a
-    time, so what is broadcast is bounded whatever the benchmark's size.
-    Without ``answer_col`` the answer is the last sentence of the item's text.
-    Items without words, null and empty documents match nothing. Repeated items
-    and documents give their rows again. Passages start at every half window;
-    the window is the longest item rounded up, and texts are searched whole.
-    Other columns are not read; an empty table on either side gives no rows.
+    Items are read in blocks of ``block_items``, each indexed and sent out at a
+    time, so what is broadcast is bounded whatever the benchmark's size; a block
+    is a pass over the documents. Frequencies and lengths are taken over the
+    whole benchmark first, so results don't depend on the blocks. Without
+    ``answer_col`` the answer is the last sentence of the item's text. Items
+    without words, null and empty documents match nothing. Repeated items and
+    documents give their rows again. Passages start at every half window, and
+    texts are searched whole. Other columns are not read; an empty table on
+    either side gives no rows.
     """
     spark = docs.sparkSession
+    space = Workspace(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("text is not null")
-    out = None
-    block: list[tuple[int, list[str], list[str]]] = []
+    items = space.table(_items(benchmark, item_col, question_col, answer_col), "items")
+    count, total = items.agg(F.count("*"), F.sum(F.size("question") + F.size("answer"))).first()
+    frequency = space.table(items.select(F.explode(F.array_distinct(F.concat("question", "answer"))).alias("word")).groupBy("word").agg(F.count("*").alias("n")), "frequency")
 
-    def scan(items: list[tuple[int, list[str], list[str]]]) -> DataFrame:
-        held = spark.sparkContext.broadcast(build_index(items))
+    def scan(block: list[tuple[int, list[str], list[str]]]) -> DataFrame:
+        own = sorted({w for _, q, a in block for w in (*q, *a)})
+        wanted = spark.createDataFrame([(w,) for w in own], "word string")
+        known = Statistics(count, total / count, {r["word"]: r["n"] for r in frequency.join(wanted, "word", "left_semi").collect()})
+        held = spark.sparkContext.broadcast(build_indexes(block, known))
 
         def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                found = [(d, *hit) for d, t in zip(batch["doc_id"], batch["text"], strict=True) for hit in leaks(t, held.value)]
+                found = [(d, *hit) for d, t in zip(batch["doc_id"], batch["text"], strict=True) for index in held.value for hit in leaks(t, index)]
                 yield pd.DataFrame(found, columns=["doc_id", "item_id", "score", "question_overlap", "answer_overlap"]).astype({"doc_id": "Int64", "item_id": "Int64", "score": float, "question_overlap": float, "answer_overlap": float})
 
-        return rows.mapInPandas(match, "doc_id long, item_id long, score double, question_overlap double, answer_overlap double")
+        return rows.mapInPandas(match, _HIT)
 
-    for r in _items(benchmark, item_col, question_col, answer_col).toLocalIterator():
-        question, answer = split_item(r["question"]) if answer_col is None else (words(r["question"]), words(r["answer"]))
-        block.append((r["item"], question, answer))
-        if len(block) == BLOCK_ITEMS:
-            part, block = scan(block), []
-            out = part if out is None else out.unionByName(part)
-    part = scan(block)
-    return part if out is None else out.unionByName(part)
+    out = spark.createDataFrame([], _HIT)
+    ordered = ((r["item"], list(r["question"]), list(r["answer"])) for r in items.where(F.size("question") + F.size("answer") > 0).orderBy("item", "question", "answer").toLocalIterator())
+    while block := list(islice(ordered, block_items)):
+        out = out.unionByName(scan(block))
+    return out
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", **columns: str) -> DataFrame:

@@ -11,7 +11,6 @@ Gates are piecewise linear (clipped), which costs a fraction of exponentials.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,7 +28,6 @@ CHUNK, CONTEXT = 240, 8
 #: Chunks that are read side by side.
 LANES = 1_024
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 def encode(text: str) -> bytes:
@@ -219,11 +217,12 @@ def held_out(id_col: str = "doc_id"):
     return F.pmod(F.crc32(F.encode(F.col(id_col).cast("string"), "UTF-8")), F.lit(5)) == 0
 
 
-def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", sample: int = SAMPLE) -> Network:
+def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Network:
     """Fit on at most ``sample`` documents with a label that are not held out, as many of each language as there are.
 
     Those of the smallest hashes of their ids are taken; of a longer document,
-    evenly spaced stretches of 64 bytes, SAMPLE_BYTES in all.
+    stretches of 64 bytes evenly spaced over the whole text, ``sample_bytes`` in
+    all. Of rows that repeat an id, the one of the smallest text is taken.
     """
     rows = docs.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull() & ~F.coalesce(held_out(id_col), F.lit(True)))
     rows = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).cast("string").alias("label"))
@@ -239,12 +238,12 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
         for b in batches:
             cut = []
             for text in b["text"]:
-                raw, n = encode(text), SAMPLE_BYTES // 64
-                at = [0] if len(raw) <= 64 else [int(k * (len(raw) - 64) / (n - 1)) for k in range(n)] if len(raw) > SAMPLE_BYTES else range(0, len(raw), 64)
+                raw, n = encode(text), sample_bytes // 64
+                at = [0] if len(raw) <= 64 else [int(k * (len(raw) - 64) / (n - 1)) for k in range(n)] if len(raw) > sample_bytes else range(0, len(raw), 64)
                 cut.append(b"".join(raw[a : a + 64] for a in at))
             yield pd.DataFrame({"id": b["id"].to_numpy(), "label": b["label"].to_numpy(), "raw": cut})
 
-    got = sorted(((r["id"], r["label"], bytes(r["raw"])) for r in rows.where(wanted).mapInPandas(stretches, "id long, label string, raw binary").toLocalIterator()))
+    got = sorted(((r["id"], r["label"], bytes(r["raw"])) for r in rows.where(wanted).groupBy("id").agg(F.min(F.struct("text", "label")).alias("r")).select("id", "r.text", "r.label").mapInPandas(stretches, "id long, label string, raw binary").toLocalIterator()))
     return fit([r[2] for r in got], [r[1] for r in got])
 
 
@@ -264,7 +263,7 @@ def predict(docs: DataFrame, net: Network, *, id_col: str = "doc_id", text_col:
     def label(texts: pd.Series) -> pd.DataFrame:
         net = held.value
         names, score = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))
-        known = [i for i, t in enumerate(texts) if t and _LETTER.search(t)]
+        known = [i for i, t in enumerate(texts) if t and any(map(str.isalpha, t))]
         at = 0
         while at < len(known):
             end, size = at, 0

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import text as text_functions
 from .workspace import Workspace
 
 KINDS = ("assign", "access", "hex", "random")
@@ -22,35 +23,34 @@ ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{16,}"  # maximal runs of [0-9a-f]+ that have 16 characters
 TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
 #: Alphabets in the order of their symbols' values.
-ALPHABETS = {"hex": "0123456789abcdef", "HEX": "0123456789ABCDEF", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_"}
+ALPHABETS = {
+    "hex": "0123456789abcdef",
+    "HEX": "0123456789ABCDEF",
+    "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
+    "base36": "0123456789abcdefghijklmnopqrstuvwxyz",
+    "BASE36": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ",
+    "base62": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz",
+    "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_",
+}
 
 # What ordinary words do, as the null hypothesis of the tests.
-PROSE_COINCIDENCE = 0.065  # chance that two letters of running text agree
-PROSE_TRIPLE = 0.0055  # ... that three do
+#: Chance that two letters of running text agree; in words of the letters a to f alone it is larger.
+PROSE_COINCIDENCE = {"hex": 0.2, "HEX": 0.2, "base32": 0.07}
+OTHER_COINCIDENCE = 0.065
 PROSE_SWITCH = 0.08  # chance that neighbours differ in class (lower, upper, digit, other)
+#: Chance at which a test of randomness rejects a token.
+REJECT = 0.001
 
 
-def _spans(text: Column, pattern: str, group: int, kind: str, least: int) -> Column:
-    """array<struct<start,rank,stop,value>> of the leftmost non-overlapping matches whose group has ``least`` characters.
-
-    The text between matches and the matches themselves alternate, so running
-    sums of their lengths give the positions in code points.
-    """
-    between = F.transform(F.split(text, pattern, -1), lambda p: F.length(p))
-    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    part = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
-    rank = KINDS.index(kind)
-    shape = "array<struct<start:int,rank:int,stop:int,value:string>>"
-    zipped = F.arrays_zip(F.slice(between, F.lit(1), F.size(whole)).alias("gap"), whole.alias("m"), part.alias("g"))
+_SPAN = "array<struct<start:int,rank:int,stop:int,value:string>>"
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
-        stop = start + F.length(x["m"])
-        here = F.array(F.struct(start.alias("start"), F.lit(rank).alias("rank"), stop.alias("stop"), x["m"].alias("value"))).cast(shape)
-        return F.struct(stop.alias("at"), F.when(F.length(x["g"]) >= least, F.concat(acc["out"], here)).otherwise(acc["out"]).alias("out"))
 
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(shape).alias("out"))
-    return F.when(text.rlike(pattern), F.aggregate(zipped, start, step)["out"]).otherwise(F.array().cast(shape))
+def _spans(text: Column, pattern: str, group: int, kind: str, least: int) -> Column:
+    """array<struct<start,rank,stop,value>> of the leftmost non-overlapping matches whose group has ``least`` characters; positions are code points."""
+    part = f"g{group}" if group else "whole"
+    found = F.filter(text_functions.find_all(text, pattern, (group,) if group else ()), lambda m: F.length(m[part]) >= least)
+    rank = F.lit(KINDS.index(kind))
+    return F.transform(found, lambda m: F.struct(m["start"].alias("start"), rank.alias("rank"), m["stop"].alias("stop"), m["whole"].alias("value"))).cast(_SPAN)
 
 
 def _upper_tail(z: Column) -> Column:
@@ -64,25 +64,31 @@ def _upper_tail(z: Column) -> Column:
 def randomness(tokens: DataFrame) -> DataFrame:
     """Add encoding, n, p_uniform, p_runs, p_serial and evidence_p to rows with ``token``.
 
-    * uniformity: the chi-squared statistic of the symbol counts, which grows
-      with the number of coinciding pairs of symbols, lies below what prose has;
-    * runs: classes of characters alternate more often than in words;
-    * serial correlation of neighbouring symbol values: near 0 unless the
-      token counts up, repeats or is a ramp (two-sided).
+    The encoding is the smallest alphabet that has all of the token's symbols.
+    Tests of the token as a random one of its encoding, which it must pass:
+
+    * uniformity: chi-squared of the symbol counts against the alphabet;
+    * serial correlation of neighbouring symbol values, which is near 0 unless
+      the token counts up, repeats or is a ramp (two-sided).
 
-    ``evidence_p`` is the chance that prose shows so much of both kinds of
-    evidence (Stouffer). Tokens of digits only, and tokens that the serial test
-    rejects at 0.001, are no evidence: 1.
+    Evidence that it isn't prose of the same alphabet: fewer coinciding pairs
+    of symbols than prose has (the same statistic, by its distance from prose)
+    and runs of character classes that are shorter (``p_runs``).
+    ``evidence_p`` is the chance that prose shows so much of both (Stouffer).
+    Tokens of digits only, and tokens that a test of randomness rejects at
+    REJECT, are no evidence: 1.
     """
     core = F.regexp_replace("token", "=+$", "")
-    encoding = (
-        F.when(core.rlike("^[0-9]*$"), "decimal").when(core.rlike("^[0-9a-f]+$"), "hex").when(core.rlike("^[0-9A-F]+$"), "HEX").when(core.rlike("^[A-Z2-7]+$"), "base32").otherwise("base64")
-    )
-    rows = tokens.withColumn("encoding", encoding).withColumn("symbols", F.split(core, "")).withColumn("symbols", F.filter("symbols", lambda c: c != ""))
-    alphabet = F.lit(ALPHABETS["base64"])
-    for name in ("hex", "HEX", "base32"):
+    classes = (("decimal", "0-9"), ("hex", "0-9a-f"), ("HEX", "0-9A-F"), ("base32", "A-Z2-7"), ("base36", "0-9a-z"), ("BASE36", "0-9A-Z"), ("base62", "0-9A-Za-z"))
+    encoding = F.lit("base64")
+    alphabet, chance = F.lit(ALPHABETS["base64"]), F.lit(OTHER_COINCIDENCE)
+    for name, symbols in reversed(classes):
+        encoding = F.when(core.rlike(f"^[{symbols}]*$"), name).otherwise(encoding)
+    for name in PROSE_COINCIDENCE.keys() | ALPHABETS.keys():
         alphabet = F.when(F.col("encoding") == name, ALPHABETS[name]).otherwise(alphabet)
-    rows = rows.withColumn("alphabet", alphabet).withColumn("n", F.size("symbols")).withColumn("ordered", F.array_sort("symbols"))
+        chance = F.when(F.col("encoding") == name, PROSE_COINCIDENCE.get(name, OTHER_COINCIDENCE)).otherwise(chance)
+    rows = tokens.withColumn("encoding", encoding).withColumn("symbols", F.filter(F.split(core, ""), lambda c: c != ""))
+    rows = rows.withColumns({"alphabet": alphabet, "chance": chance, "n": F.size("symbols"), "ordered": F.array_sort("symbols")})
     n = F.col("n").cast("double")
     # sum over symbols of c(c-1)/2 = sum over the sorted symbols of the number of equal ones before each
     pairs = F.aggregate(
@@ -91,9 +97,15 @@ def randomness(tokens: DataFrame) -> DataFrame:
         lambda a, c: F.struct(c.alias("last"), F.when(a["last"] == c, a["run"] + 1).otherwise(F.lit(0)).alias("run"), (a["pairs"] + F.when(a["last"] == c, a["run"] + 1).otherwise(F.lit(0)).cast("long")).alias("pairs")),
     )["pairs"]
     rows = rows.withColumn("pairs", pairs.cast("double"))
-    k = PROSE_COINCIDENCE
-    mean, var = n * (n - 1) / 2 * k, n * (n - 1) / 2 * k * (1 - k) + n * (n - 1) * (n - 2) * max(PROSE_TRIPLE - k * k, 0)
-    z_uniform = (mean - F.col("pairs") - 0.5) / F.sqrt(var)
+    # base64 comes with one or the other pair of its last symbols
+    size = F.when(F.col("encoding") == "base64", 64.0).otherwise(F.length("alphabet").cast("double"))
+    freedom = size - 1
+    chi = size / n * (2 * F.col("pairs") + n) - n
+    z_chi = (F.pow(F.greatest(chi, F.lit(0.0)) / freedom, F.lit(1 / 3)) - 1 + 2 / (9 * freedom)) / F.sqrt(2 / (9 * freedom))  # Wilson and Hilferty
+    k = F.col("chance")
+    # three letters of text agree with about the power 1.86 of the chance of two
+    mean, var = n * (n - 1) / 2 * k, n * (n - 1) / 2 * k * (1 - k) + n * (n - 1) * (n - 2) * F.greatest(F.pow(k, F.lit(1.86)) - k * k, F.lit(0.0))
+    z_prose = (mean - F.col("pairs") - 0.5) / F.sqrt(var)
     klass = lambda c: F.when(c.between("a", "z"), 0).when(c.between("A", "Z"), 1).when(c.between("0", "9"), 2).otherwise(3)
     zero = F.struct(F.lit(-1).alias("k"), F.lit(0).alias("switches"), F.lit(None).cast("double").alias("x"), *(F.lit(0.0).alias(c) for c in ("sx", "sxx", "sxy", "first")))
     values = F.transform(F.col("symbols"), lambda c: F.struct(klass(c).alias("k"), F.call_function("instr", F.col("alphabet"), c).cast("double").alias("x")))
@@ -117,10 +129,10 @@ def randomness(tokens: DataFrame) -> DataFrame:
     lagged = F.col("walk.sxy") + F.col("walk.x") * F.col("walk.first") - F.col("walk.sx") * F.col("walk.sx") / n
     r = F.when(spread > 0, lagged / spread).otherwise(1.0)
     p_serial = 2 * _upper_tail(F.abs(r + 1 / m) * F.sqrt(n))
-    rows = rows.withColumn("p_uniform", _upper_tail(z_uniform)).withColumn("p_runs", _upper_tail(z_runs)).withColumn("p_serial", F.least(p_serial, F.lit(1.0)))
-    z = (z_uniform + z_runs) / math.sqrt(2)
-    usable = (F.col("encoding") != "decimal") & (F.col("p_serial") >= 0.001)
-    return rows.withColumn("evidence_p", F.when(usable, _upper_tail(z)).otherwise(1.0)).drop("symbols", "ordered", "alphabet", "walk", "pairs")
+    rows = rows.withColumn("p_uniform", _upper_tail(z_chi)).withColumn("p_runs", _upper_tail(z_runs)).withColumn("p_serial", F.least(p_serial, F.lit(1.0)))
+    z = (z_prose + z_runs) / math.sqrt(2)
+    usable = (F.col("encoding") != "decimal") & (F.col("p_serial") >= REJECT) & (F.col("p_uniform") >= REJECT)
+    return rows.withColumn("evidence_p", F.when(usable, _upper_tail(z)).otherwise(1.0)).drop("symbols", "ordered", "alphabet", "chance", "walk", "pairs")
 
 
 def discoveries(scored: DataFrame, rate: float) -> DataFrame:
@@ -145,16 +157,17 @@ def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     Positions are code points from 0, ends exclusive; ``rank`` indexes KINDS.
     The base kinds are as their patterns say. A token of 20 characters or more
     of the base64 alphabets that overlaps no base span is added as ``random``
-    if the tests accept it. Null and empty texts have no spans. Rows that share
-    an id share the added spans. Other columns are not read; an empty table
+    if the tests accept it. Null and empty texts have no spans. Every row is
+    scanned for itself, whatever ids repeat or are null. Other columns are not read; an empty table
     gives no rows. Very long texts are scanned whole.
     """
     space = Workspace(docs.sparkSession)
     text = F.coalesce(F.col("text"), F.lit(""))
-    base = F.concat(F.when(text.rlike(ASSIGN_HINT), _spans(text, ASSIGN, 2, "assign", 12)).otherwise(F.array().cast("array<struct<start:int,rank:int,stop:int,value:string>>")), _spans(text, ACCESS, 0, "access", 18), _spans(text, HEX, 0, "hex", 16))
+    none = F.array().cast(_SPAN)
+    base = F.concat(F.when(text.rlike(ASSIGN_HINT), _spans(text, ASSIGN, 2, "assign", 12)).otherwise(none), _spans(text, ACCESS, 0, "access", 18), _spans(text, HEX, 0, "hex", 16))
     found = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).select("doc_id", F.array_sort(base).alias("base"), _spans(text, TOKEN, 0, "random", 20).alias("tokens"))
-    found = space.table(found, "found")
-    tokens = found.where(F.size("tokens") > 0).select("doc_id", F.explode(F.filter("tokens", lambda t: ~F.exists("base", lambda b: (b["start"] < t["stop"]) & (t["start"] < b["stop"])))).alias("span"))
-    added = discoveries(randomness(tokens.withColumn("token", F.col("span.value"))), rate).groupBy("doc_id").agg(F.collect_set("span").alias("added"))
-    joined = found.drop("tokens").join(added, "doc_id", "left")
-    return joined.select("doc_id", "base", F.array_sort(F.concat("base", F.coalesce("added", F.array().cast("array<struct<start:int,rank:int,stop:int,value:string>>")))).alias("spans"))
+    found = space.table(found.withColumn("row", F.monotonically_increasing_id()), "found")
+    tokens = found.where(F.size("tokens") > 0).select("row", F.explode(F.filter("tokens", lambda t: ~F.exists("base", lambda b: (b["start"] < t["stop"]) & (t["start"] < b["stop"])))).alias("span"))
+    added = discoveries(randomness(tokens.withColumn("token", F.col("span.value"))), rate).groupBy("row").agg(F.collect_set("span").alias("added"))
+    joined = found.drop("tokens").join(added, "row", "left")
+    return joined.select("doc_id", "base", F.array_sort(F.concat("base", F.coalesce("added", none))).alias("spans"))

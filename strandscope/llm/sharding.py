@@ -1,7 +1,8 @@
 """Byte-balanced sharding by histogram sort, in DataFrame operations only.
 
 Documents are ordered by (hash of the text, document id), so equal texts are
-neighbours and only a group that straddles a boundary is divided. The
+neighbours, and only a group that straddles a boundary and outweighs every
+single document is divided. The
 boundaries are found without sorting: every round counts the exact bytes below
 a set of candidate boundaries over all partitions, and replaces the candidates
 by finer ones inside the interval that holds each target, until the interval is
@@ -41,7 +42,7 @@ def find_splitters(keys: DataFrame, shards: int, tolerance: float) -> list[int]:
     in a round is at most 2**12 counts for each of the shards' boundaries,
     whatever the number of rows.
     """
-    total = keys.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")).first()["bytes"]
+    total, largest = keys.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.max("size"), F.lit(0))).first()
     slack = tolerance * total / shards
     active = {j: (0, 0) for j in range(1, shards)}  # boundary -> (prefix, bytes below it)
     found: dict[int, int] = {}
@@ -75,7 +76,8 @@ def find_splitters(keys: DataFrame, shards: int, tolerance: float) -> list[int]:
                 if base + size > goal or n == len(cells) - 1:
                     break
                 base += size
-            if size <= slack or held == 1 or bits == 128:
+            # a whole text hash is a group of equal texts: one that weighs no more than a document isn't divided
+            if size <= slack or held == 1 or bits == 128 or (bits == 64 and size <= largest):
                 found[j] = (cell + (goal - base > size / 2)) << (128 - bits)
             else:
                 nearer[j] = (cell, base)
@@ -114,7 +116,8 @@ def shard_documents(docs: DataFrame, shards: int = 24, *, id_col: str = "doc_id"
     low, high, rows = keys.agg(F.min("ident"), F.max("ident"), F.count("*")).first()
     low, high = low or 0, high or 0
     shift = 64 - max(1, (high - low).bit_length())
-    scaled = lambda c: F.shiftleft(c - F.lit(low), shift).bitwiseXOR(F.lit(-_TOP))
+    # ids that span more than 2**63 can't be shifted, nor need they be
+    scaled = lambda c: F.shiftleft(c - F.lit(low), shift).bitwiseXOR(F.lit(-_TOP)) if shift else c
     keys = keys.withColumn("id_key", scaled(F.col("ident")))
     splitters = find_splitters(keys, shards, tolerance)
     salts = min(4096, max(8, -(-rows // (512 * rows_per_cell))))
@@ -129,5 +132,4 @@ def shard_documents(docs: DataFrame, shards: int = 24, *, id_col: str = "doc_id"
     others = passed_through(docs, "size", "shard", "slot", "__ss_hash", "__ss_id", "__ss_cell", "__ss_salt", "__ss_start")
     dealt = docs.select(*others, size.alias("size"), F.xxhash64(text).alias("__ss_hash"), scaled(ident).alias("__ss_id")).select(*others, "size", "__ss_hash", "__ss_id", *placed)
     local = F.row_number().over(W.partitionBy(*cell).orderBy("__ss_hash", "__ss_id")) - 1
-    # At most 512 * 4096 + 24 cells exist, whatever the number of rows.
-    return dealt.withColumn("__ss_local", local).join(F.broadcast(starts), cell).select(*others, "size", "shard", (F.col("__ss_start") + F.col("__ss_local")).alias("slot"))
+    return dealt.withColumn("__ss_local", local).join(starts, cell).select(*others, "size", "shard", (F.col("__ss_start") + F.col("__ss_local")).alias("slot"))

@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 from statistics import NormalDist
 
 import numpy as np
@@ -149,13 +150,14 @@ def train(docs: DataFrame, labels: DataFrame, *, grade_col: str = "toxic", id_co
     """Fit on at most ``sample`` labelled documents, those of the smallest hashes of their ids; whole texts are read.
 
     Labels without a grade and repeated labels of a document (all but the
-    highest grade) are left out; near copies weigh as one document. What reaches the driver are word hashes.
+    highest grade) are left out, as are all but the smallest text of an id; near copies weigh as one document. What reaches the driver are word hashes.
     """
     graded = labels.where(F.col(grade_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(grade_col).cast("int").alias("grade"))
     total = graded.count()
     share = min(1.0, sample / max(1, total))
     chosen = graded.where(F.shiftrightunsigned(F.xxhash64("id"), 1) <= F.lit(min(int(share * 2**63), 2**63 - 1))).orderBy(F.xxhash64("id")).limit(sample)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(chosen, "id")
+    texts = texts.groupBy("id", "grade").agg(F.min("text").alias("text"))
 
     def marked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -172,30 +174,32 @@ def score_documents(docs: DataFrame, model: OrdinalModel, *, id_col: str = "doc_
     ``severity`` is the expected severity: the sum over thresholds of the
     probability that the grade is above, 0 to the number of grades less 1.
     ``grade`` is the most probable grade. A document is ``rejected`` if its
-    severity reaches ``at``. Null and empty texts, and texts without a known
-    word, have severity 0 and the lowest grade. Input columns named like a
-    result are replaced; an empty table gives an empty result.
+    severity reaches ``at``. Null and empty texts have severity 0 and the lowest
+    grade; a text without a known word has what the thresholds alone give.
+    Input columns named like a result are replaced; an empty table gives an
+    empty result.
     """
     from .workspace import passed_through
 
     others = passed_through(docs, "severity", "grade", "rejected")
-    column = dict(zip(model.columns.tolist(), model.weights.tolist(), strict=True))
-    held = docs.sparkSession.sparkContext.broadcast(column)  # at most 2**BITS weights
     thresholds, grades = model.thresholds, model.grades
+    held = docs.sparkSession.sparkContext.broadcast((model.columns, model.weights))  # at most 2**BITS weights
 
     @F.pandas_udf("severity double, grade int")
-    def severity(text: pd.Series) -> pd.DataFrame:
-        weights = held.value
-        known = weights.keys()
-        out = np.zeros((len(text), 2))
-        out[:, 1] = grades[0]
-        for i, t in enumerate(text):
-            # a word that the model doesn't know says nothing for or against the document
-            if t and (hit := known & set(features(t))):
-                above = _sigmoid(sum(weights[c] for c in hit) - thresholds)
-                edges = np.r_[1, above, 0]
-                out[i] = above.sum(), grades[int(np.argmax(edges[:-1] - edges[1:]))]
-        return pd.DataFrame({"severity": out[:, 0], "grade": out[:, 1].astype(np.int32)})
+    def severity(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        weights = np.zeros(1 << BITS)
+        weights[held.value[0]] = held.value[1]
+        for text in batches:
+            marks = [features(t) for t in text]
+            counts = [len(m) for m in marks]
+            owner = np.repeat(np.arange(len(marks)), counts)
+            flat = np.fromiter(chain.from_iterable(marks), np.int64, sum(counts))
+            score = np.bincount(owner, weights[flat], len(marks)) if len(flat) else np.zeros(len(marks))
+            above = _sigmoid(score[:, None] - thresholds[None, :])
+            edges = np.c_[np.ones(len(marks)), above, np.zeros(len(marks))]
+            grade = grades[(edges[:, :-1] - edges[:, 1:]).argmax(axis=1)]
+            blank = np.array([t is None or t == "" for t in text], bool)
+            yield pd.DataFrame({"severity": np.where(blank, 0.0, above.sum(axis=1)), "grade": np.where(blank, grades[0], grade).astype(np.int32)})
 
     rows = docs.select(*others, severity(F.col(text_col)).alias("__tx"))
     return rows.select(*others, "__tx.severity", "__tx.grade", (F.col("__tx.severity") >= at).alias("rejected"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,13 +12,15 @@ _OPEN: list["Workspace"] = []
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """Folder named by ``spark.checkpoint.dir``; a local one is set only where the session has none."""
+    """Folder named by ``spark.checkpoint.dir``. Where there is none, a local session gets a temporary one; a cluster's is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if root:
         return root.rstrip("/")
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return held.get().rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir is not set: executors need a folder that they share")
     root = "file://" + tempfile.mkdtemp(prefix="strandscope-")
     spark.sparkContext.setCheckpointDir(root)
     return root
@@ -47,9 +50,14 @@ class Workspace:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def purge() -> None:
-    """Delete every workspace of this process. Call it when no result that reads one is still needed."""
-    while _OPEN:
+def opened() -> int:
+    """How many workspaces are open, as a mark for ``purge``."""
+    return len(_OPEN)
+
+
+def purge(since: int = 0) -> None:
+    """Delete the workspaces opened since a mark. Call it when no result that reads one is still needed."""
+    while len(_OPEN) > since:
         _OPEN.pop().drop()
 
 
