@@ -8,12 +8,14 @@ provenance, order) is joins and windows.
 
 from __future__ import annotations
 
+import bisect
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import fields as roles
@@ -44,7 +46,7 @@ KINDS = {
     "http_file_signature": ("file_signature", "http", "file_signature", "high"),
     "http_text_login_field": ("credential", "http", "http_text_login_field", "medium"),
 }
-HEADER_DETECTORS = ("http_basic", "http_bearer", "http_digest", "http_cookie")
+HEADER_DETECTORS = ("http_basic", "http_bearer", "http_digest", "http_cookie", "sip_digest")
 CARD_DETECTORS = ("luhn_payment_card",)
 
 
@@ -98,20 +100,23 @@ def _parts_of(chunk, max_body: int) -> Iterator[dict]:
         yield {"part": "raw", "base": base, "text": wire.latin(data), "ends": ends}
         for r in wire.line_protocols(data, ports, ends):
             yield record(r)
-    binary: list[Iterator[wire.Record]] = [wire.ntlm_raw(bytes(masked)), wire.ntlm_http(data), wire.ldap(data), wire.kerberos(data)]
+    binary: dict[str, Iterator[wire.Record]] = {"ntlm_raw": wire.ntlm_raw(bytes(masked)), "ntlm_http": wire.ntlm_http(data), "ldap": wire.ldap(data), "kerberos": wire.kerberos(data)}
     if ends:
-        binary.append(wire.snmp(data))
-    if data[:1] == b"\x10":
-        binary.append(wire.tds(data))
+        binary["snmp"] = wire.snmp(data)
+    if data[:1] in (wire.TDS_LOGIN, wire.TDS_PRELOGIN):
+        binary["tds"] = wire.tds(data)
     if chunk.dport == 6379:
-        binary.append(wire.redis(data, counters))
+        binary["redis"] = wire.redis(data, counters)
     if chunk.dport == 5432:
-        binary.append(wire.postgres_client(data, counters))
+        binary["postgres_client"] = wire.postgres_client(data, counters)
     if chunk.sport == 5432:
-        binary.append(wire.postgres_server(data))
-    for parser in binary:
-        for r in parser:
-            yield record(r)
+        binary["postgres_server"] = wire.postgres_server(data)
+    for name, parser in binary.items():
+        try:
+            for r in parser:
+                yield record(r)
+        except Exception:  # noqa: BLE001 a parser that fails on hostile bytes must not end the others
+            counters[f"parser_error:{name}"] += 1
     for name, value in counters.items():
         yield {"part": "counter", "counter": name, "value": value}
 
@@ -124,21 +129,26 @@ def parse_chunks(chunks: DataFrame, *, max_body: int = 131_072) -> DataFrame:
             rows = []
             for chunk in batch.itertuples(index=False):
                 key = {"session_id": chunk.session_id, "flow_id": chunk.flow_id, "epoch": chunk.epoch, "direction": chunk.direction, "is_datagram": chunk.is_datagram, "completeness": chunk.completeness, "observed_timestamp_ns": chunk.last_timestamp_ns}
-                rows += [key | part for part in _parts_of(chunk, max_body)]
+                starts, times = [s["start"] for s in chunk.spans], [s["time"] for s in chunk.spans]
+                for part in _parts_of(chunk, max_body):
+                    if part.get("stop") is not None and starts:  # seen when its last byte came
+                        part["observed_timestamp_ns"] = times[max(0, bisect.bisect_right(starts, part["stop"] - 1) - 1)]
+                    rows.append(key | part)
             out = pd.DataFrame([[row.get(c) for c in names] for row in rows], columns=names)
             yield out.astype({c: "Int64" for c in ("epoch", "direction", "observed_timestamp_ns", "message", "base", "start", "stop", "value")} | {"ends": "boolean", "is_datagram": "boolean"})
 
-    needed = [*STREAM, "sport", "dport", "stream_offset", "data", "last_timestamp_ns", "completeness", "is_datagram"]
+    needed = [*STREAM, "sport", "dport", "stream_offset", "data", "last_timestamp_ns", "completeness", "is_datagram", "spans"]
     return chunks.select(*needed).mapInPandas(parse, PART)
 
 
 _OUT = [*STREAM, "is_datagram", "completeness", "observed_timestamp_ns", "detector", "category", "protocol", "material_type", "confidence", "start", "stop", "material", "username"]
 
 
-def _text_findings(parts: DataFrame, kinds: tuple[str, ...], names: Iterable[str], extra: Iterable[str]) -> DataFrame:
-    wanted = [d for d in detect_text.text_detectors(extra) if d.name in set(names)]
-    rows = parts.where(F.col("part").isin(*kinds)).select(*STREAM, "is_datagram", "completeness", "observed_timestamp_ns", "base", "ends", "text")
-    found = detect_text.detect(rows, "text", detectors=wanted, ends=F.col("ends"))
+def _text_findings(parts: DataFrame, kinds: dict[str, tuple[str, ...]], extra: Iterable[str]) -> DataFrame:
+    """Findings of the detectors named in ``kinds`` in the parts of their kinds, by one scan."""
+    wanted = [d for d in detect_text.text_detectors(extra) if d.name in kinds]
+    rows = parts.where(F.col("part").isin(*sorted({k for held in kinds.values() for k in held}))).select(*STREAM, "is_datagram", "completeness", "observed_timestamp_ns", "part", "base", "ends", "text")
+    found = detect_text.detect(rows, "text", detectors=wanted, ends=F.col("ends"), where=lambda d: F.col("part").isin(*kinds[d.name]))
     return found.select(*_OUT[: _OUT.index("start")], (F.col("base") + F.col("start")).alias("start"), (F.col("base") + F.col("stop")).alias("stop"), "material", "username")
 
 
@@ -176,8 +186,10 @@ def _record_findings(parts: DataFrame) -> DataFrame:
 def pair_ntlm(parts: DataFrame) -> DataFrame:
     """Responses with the challenge of the other direction that came last before them in the same connection and session.
 
-    A challenge answers one response. A response of session 0 pairs only if its
-    connection has a single challenge.
+    Records stand in the order of the packets that completed them, whatever
+    their directions sent later. A challenge answers one response. In session
+    0, which several log-ins may share, a second challenge before the first is
+    answered makes the rest of the connection ambiguous: nothing pairs there.
     """
     rows = parts.where("part = 'record' and detector in ('ntlm_type2_challenge', 'ntlm_type3_response')")
     rows = rows.withColumns({"is_challenge": F.col("detector") == "ntlm_type2_challenge", "session": F.coalesce(F.col("fields")["session"], F.lit(""))})
@@ -186,9 +198,13 @@ def pair_ntlm(parts: DataFrame) -> DataFrame:
     rows = rows.select(*STREAM, "is_datagram", "completeness", "observed_timestamp_ns", "start", "stop", "side", "session", "is_challenge", F.col("fields")["material"].alias("material"), F.col("fields")["username"].alias("username"), F.col("fields")["version"].alias("version"))
     order = ["observed_timestamp_ns", F.desc("is_challenge"), "start"]
     paired = correlate.pair_once(rows.withColumn("challenge", F.col("material")), ["session_id", "flow_id", "epoch", "side", "session"], order, F.col("is_challenge"), ~F.col("is_challenge"), ["challenge"], prefix="its_")
-    zero = F.col("session").rlike("^0*$")
+    zero = F.col("session").rlike("^0+$")
+    by_order = W.partitionBy("session_id", "flow_id", "epoch", "side").orderBy(*[c if isinstance(c, str) else c for c in order])
+    zeros = rows.where(zero).withColumn("open", F.lag(F.when(F.col("is_challenge"), F.col("material"))).over(by_order))
+    mixed = zeros.where(F.col("is_challenge") & (F.col("open") != F.col("material"))).groupBy("session_id", "flow_id", "epoch", "side").agg(F.min("observed_timestamp_ns").alias("mixed_at"))
+    paired = paired.join(mixed, ["session_id", "flow_id", "epoch", "side"], "left").where(~zero | F.col("mixed_at").isNull() | (F.col("observed_timestamp_ns") < F.col("mixed_at")))
     found = paired.where(F.col("its_challenge").isNotNull() & F.col("version").isin("netntlmv1", "netntlmv2"))
-    return found.select(*STREAM, "is_datagram", "completeness", "observed_timestamp_ns", F.lit("ntlm_challenge_response_correlation").alias("detector"), F.lit("credential").alias("category"), F.lit("ntlm").alias("protocol"), F.col("version").alias("material_type"), F.when(zero & (F.col("session") != ""), "high").otherwise("confirmed").alias("confidence"), "start", "stop", "material", "username")
+    return found.select(*STREAM, "is_datagram", "completeness", "observed_timestamp_ns", F.lit("ntlm_challenge_response_correlation").alias("detector"), F.lit("credential").alias("category"), F.lit("ntlm").alias("protocol"), F.col("version").alias("material_type"), F.when(zero, "high").otherwise("confirmed").alias("confidence"), "start", "stop", "material", "username")
 
 
 def qualify_postgres(findings: DataFrame, parts: DataFrame) -> DataFrame:
@@ -226,18 +242,12 @@ def detect_streams(chunks: DataFrame, *, extra_names: Iterable[str] = (), generi
     """
     extra = tuple(extra_names)
     parts = parse_chunks(chunks) if parts is None else parts
-    generic = [d.name for d in detect_text.text_detectors() if d.name not in (*HEADER_DETECTORS, *CARD_DETECTORS, "sensitive_field")]
-    found = [
-        _text_findings(parts, ("header", "raw"), HEADER_DETECTORS, extra),
-        _text_findings(parts, ("raw",), ("sensitive_field",), extra),
-        _field_findings(parts, extra),
-        _record_findings(parts),
-        pair_ntlm(parts),
-    ]
+    kinds = {d: ("header", "raw") for d in HEADER_DETECTORS} | {"sensitive_field": ("raw",)}
     if generic_secret_scan:
-        found.append(_text_findings(parts, ("message", "raw"), generic, extra))
+        kinds |= {d.name: ("message", "raw") for d in detect_text.text_detectors() if d.name not in kinds and d.name not in CARD_DETECTORS}
     if credit_card_scan:
-        found.append(_text_findings(parts, ("message", "raw"), CARD_DETECTORS, extra))
+        kinds |= dict.fromkeys(CARD_DETECTORS, ("message", "raw"))
+    found = [_text_findings(parts, kinds, extra), _field_findings(parts, extra), _record_findings(parts), pair_ntlm(parts)]
     every = qualify_postgres(reduce(DataFrame.unionByName, found), parts)
     scope = [*STREAM, "detector", "material_type"]
     once = emit.exactly_once(every, scope, ["start", "stop"], "stop")

@@ -14,7 +14,7 @@ from . import flow
 _ADDRESS = "session_id string, packet_id long, timestamp_ns long, interface string, ip_version int, src string, dst string, protocol int, vlan_ids array<int>"
 DATAGRAM = _ADDRESS + ", network_payload binary, truncated boolean, fragment_id long, fragment_offset int, more_fragments boolean, source_packet_ids array<long>, error string"
 SEGMENT = _ADDRESS + ", truncated boolean, sport int, dport int, tcp_seq long, tcp_ack long, tcp_flags int, payload binary, source_packet_ids array<long>, error string"
-CHUNK = "session_id string, flow_id string, epoch long, direction int, sport int, dport int, stream_offset long, data binary, first_timestamp_ns long, last_timestamp_ns long, completeness string, is_datagram boolean, spans array<struct<start:long,stop:long,packet_ids:array<long>>>, retransmitted long, conflicts long"
+CHUNK = "session_id string, flow_id string, epoch long, direction int, sport int, dport int, stream_offset long, data binary, first_timestamp_ns long, last_timestamp_ns long, completeness string, is_datagram boolean, spans array<struct<start:long,stop:long,packet_ids:array<long>,time:long>>, retransmitted long, conflicts long"
 MAX_DATAGRAM = 2 << 20
 FIN, SYN, RST, ACK = 1, 2, 4, 16
 
@@ -150,6 +150,8 @@ class Direction:
         self.midstream = False
         self.ranges: list[tuple[int, int, bytes, list[int], int]] = []  # start, stop, data, packets, time; disjoint
         self.repeated = self.conflicts = 0
+        self.acked = -1  # how far the peer has acknowledged, as a stream offset
+        self.fin = False
 
     def unwrap(self, seq: int) -> int:
         """The number equal to ``seq`` modulo 2**32 that is nearest to the last one seen."""
@@ -212,7 +214,8 @@ def reassemble_flow(group: pd.DataFrame) -> list[dict]:
     """Chunks of all connections of one flow from its segments.
 
     A SYN with another sequence number, or after a close, opens a new epoch.
-    One byte below the next one expected is a keep-alive. Holes stay: what
+    One byte below the next one expected is a keep-alive if the peer has
+    acknowledged it. Holes stay: what
     follows one is a chunk of its own, marked gapped, at its true offset.
     """
     epochs: list[dict] = []
@@ -237,13 +240,15 @@ def reassemble_flow(group: pd.DataFrame) -> list[dict]:
                 syn[d] = seq
                 sides[d].open(seq)
             seq = (seq + 1) & 0xFFFFFFFF
-        side = sides[d]
-        keep_alive = len(data) == 1 and side.base is not None and side.unwrap(seq) - side.base == side.reached() - 1 >= 0
+        side, peer = sides[d], sides[1 - d]
+        if flags & ACK and peer.base is not None:
+            peer.acked = max(peer.acked, peer.unwrap(int(r.tcp_ack)) - peer.base)
+        probe = len(data) == 1 and flags & ACK and not flags & (SYN | FIN | RST) and side.base is not None
+        keep_alive = probe and side.unwrap(seq) - side.base == (reached := side.reached()) - 1 >= 0 and side.acked >= reached
         if data and not keep_alive:
             side.add(seq, data, list(r.source_packet_ids), int(r.timestamp_ns))
-        closed = closed or bool(flags & RST) or (bool(flags & FIN) and bool(getattr(side, "fin", False) or any(getattr(s, "fin", False) for s in sides if s is not side)))
-        if flags & FIN:
-            side.fin = True
+        closed = closed or bool(flags & RST) or (bool(flags & FIN) and (side.fin or peer.fin))
+        side.fin = side.fin or bool(flags & FIN)
     rows = []
     kept = [e for e in epochs if any(s.ranges for s in e["sides"])]
     for number, epoch in enumerate(kept):
@@ -253,7 +258,7 @@ def reassemble_flow(group: pd.DataFrame) -> list[dict]:
                 rows.append(
                     {"epoch": number, "direction": d, "sport": epoch["ports"][d][0], "dport": epoch["ports"][d][1], "stream_offset": run[0][0], "data": b"".join(x[2] for x in run)}
                     | {"first_timestamp_ns": min(x[4] for x in run), "last_timestamp_ns": max(x[4] for x in run), "completeness": "gapped" if gapped else "midstream" if side.midstream else "complete"}
-                    | {"is_datagram": False, "spans": [{"start": x[0], "stop": x[1], "packet_ids": x[3]} for x in run], "retransmitted": side.repeated if n == 0 else 0, "conflicts": side.conflicts if n == 0 else 0}
+                    | {"is_datagram": False, "spans": [{"start": x[0], "stop": x[1], "packet_ids": x[3], "time": x[4]} for x in run], "retransmitted": side.repeated if n == 0 else 0, "conflicts": side.conflicts if n == 0 else 0}
                 )
     return rows
 
@@ -261,22 +266,42 @@ def reassemble_flow(group: pd.DataFrame) -> list[dict]:
 def reassemble(segments: DataFrame) -> DataFrame:
     """Chunks (CHUNK) of contiguous bytes of every TCP connection and direction, and of every UDP datagram.
 
-    A TCP flow is one group of one task: its order of packets matters. Flows
-    are spread by hash, and datagrams, which need no group, don't move.
+    A TCP flow is read by one task: its order of packets matters. Flows are
+    spread by hash, many to a task, and datagrams, which need no order, don't
+    move.
     """
     rows = flow.canonical_flow(segments.where("error is null"))
     tcp = rows.where(F.col("protocol") == frames.TCP)
 
-    def build(group: pd.DataFrame) -> pd.DataFrame:
-        out = pd.DataFrame(reassemble_flow(group), columns=[c for c in _names(CHUNK.split(", spans")[0]) if c not in ("session_id", "flow_id")] + ["spans", "retransmitted", "conflicts"])
-        out.insert(0, "flow_id", group["flow_id"].iloc[0])
-        out.insert(0, "session_id", group["session_id"].iloc[0])
-        return out
+    names = [*_names(CHUNK.split(", spans")[0]), "spans", "retransmitted", "conflicts"]
+
+    def chunks_of(held: list[pd.DataFrame]) -> pd.DataFrame:
+        rows = []
+        for (session, name), group in pd.concat(held, ignore_index=True).groupby(["session_id", "flow_id"], sort=False):
+            rows += [{"session_id": session, "flow_id": name} | r for r in reassemble_flow(group)]
+        return pd.DataFrame([[r[c] for c in names] for r in rows], columns=names)
 
-    needed = ["session_id", "flow_id", "direction", "packet_id", "timestamp_ns", "sport", "dport", "tcp_seq", "tcp_flags", "payload", "source_packet_ids"]
-    streams = tcp.select(*needed).groupBy("session_id", "flow_id").applyInPandas(build, CHUNK)
+    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Flows come one after the other, many in a batch; the last one of a batch may go on in the next."""
+        held: list[pd.DataFrame] = []
+        for batch in batches:
+            if not len(batch):
+                continue
+            last = batch["flow_id"].iloc[-1], batch["session_id"].iloc[-1]
+            going_on = ((batch["flow_id"] == last[0]) & (batch["session_id"] == last[1])).to_numpy()
+            cut = len(batch) if not going_on.any() else int(going_on.argmax())
+            if cut or (held and (held[-1]["flow_id"].iloc[-1], held[-1]["session_id"].iloc[-1]) != last):
+                whole = [*held, batch.iloc[:cut]]
+                held = []
+                yield chunks_of([b for b in whole if len(b)])
+            held.append(batch.iloc[cut:])
+        if held:
+            yield chunks_of(held)
+
+    needed = ["session_id", "flow_id", "direction", "packet_id", "timestamp_ns", "sport", "dport", "tcp_seq", "tcp_ack", "tcp_flags", "payload", "source_packet_ids"]
+    streams = tcp.select(*needed).repartition("session_id", "flow_id").sortWithinPartitions("session_id", "flow_id", "packet_id").mapInPandas(build, CHUNK)
     size = F.length("payload").cast("long")
-    span = F.struct(F.lit(0).cast("long").alias("start"), size.alias("stop"), F.col("source_packet_ids").alias("packet_ids"))
+    span = F.struct(F.lit(0).cast("long").alias("start"), size.alias("stop"), F.col("source_packet_ids").alias("packet_ids"), F.col("timestamp_ns").alias("time"))
     datagrams = rows.where((F.col("protocol") == frames.UDP) & (size > 0)).select(
         "session_id", "flow_id", F.col("packet_id").alias("epoch"), "direction", "sport", "dport", F.lit(0).cast("long").alias("stream_offset"), F.col("payload").alias("data"),
         F.col("timestamp_ns").alias("first_timestamp_ns"), F.col("timestamp_ns").alias("last_timestamp_ns"), F.when(F.col("truncated"), "truncated").otherwise("complete").alias("completeness"),

@@ -198,13 +198,13 @@ def fragment_complete(spark, sf_dir):
 
 
 _SPANS = """f AS (SELECT o_orderkey, o_custkey % 50 AS k, date_diff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE)) AS s FROM orders),
-    p AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey % 50 AS k, date_diff('day', DATE '1992-01-01', CAST(l_shipdate AS DATE)) AS s FROM lineitem WHERE l_linenumber = 1)"""
+    p AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey % 50 AS k, date_diff('day', DATE '1992-01-01', CAST(l_shipdate AS DATE)) AS s FROM lineitem)"""
 
 
 def _spans(spark, sf_dir):
     day = lambda c: F.datediff(F.col(c).cast("date"), F.lit("1992-01-01").cast("date")).cast("long")
     found = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 50).alias("k"), day("o_orderdate").alias("start")).withColumn("stop", F.col("start") + 3)
-    packets = table(spark, sf_dir, "lineitem").where("l_linenumber = 1").select("l_orderkey", (F.col("l_suppkey") % 50).alias("k"), day("l_shipdate").alias("start")).withColumn("stop", F.col("start") + 2)
+    packets = table(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_suppkey") % 50).alias("k"), day("l_shipdate").alias("start")).withColumn("stop", F.col("start") + 2)
     return found, packets
 
 

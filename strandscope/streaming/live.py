@@ -9,6 +9,7 @@ position is reported once however the capture is cut into files.
 
 from __future__ import annotations
 
+import heapq
 import pickle
 from collections import Counter
 from collections.abc import Iterator
@@ -36,7 +37,8 @@ class Side:
         self.waiting: list[tuple[int, bytes, list[int], int]] = []
         self.tail, self.tail_start = b"", 0
         self.tail_spans: list[dict] = []
-        self.midstream = self.gapped = False
+        self.midstream = self.gapped = self.fin = False
+        self.acked = -1  # how far the peer has acknowledged
         self.ports: tuple[int | None, int | None] = (None, None)
 
     def place(self, seq: int) -> int:
@@ -53,20 +55,27 @@ class FlowState:
 
 
 def _take(side: Side, fresh: list[tuple[int, bytes, list[int], int]], counters: Counter) -> None:
-    """Move waiting ranges that continue what is contiguous to ``fresh``; bytes seen first stay."""
-    moved = True
-    while moved:
-        moved = False
-        for n, (start, data, ids, at) in enumerate(side.waiting):
-            if start <= side.next:
-                del side.waiting[n]
-                new = data[side.next - start :]
-                counters["retransmitted_bytes"] += len(data) - len(new)
-                if new:
-                    fresh.append((side.next, new, ids, at))
-                    side.next += len(new)
-                moved = True
-                break
+    """Move waiting ranges that continue what is contiguous to ``fresh``; of several, the one that came first."""
+    order = sorted(range(len(side.waiting)), key=lambda n: side.waiting[n][0])
+    ready: list[int] = []
+    moved: set[int] = set()
+    at = 0
+    while True:
+        while at < len(order) and side.waiting[order[at]][0] <= side.next:
+            heapq.heappush(ready, order[at])
+            at += 1
+        if not ready:
+            break
+        n = heapq.heappop(ready)
+        moved.add(n)
+        start, data, ids, time = side.waiting[n]
+        new = data[side.next - start :]
+        counters["retransmitted_bytes"] += len(data) - len(new)
+        if new:
+            fresh.append((side.next, new, ids, time))
+            side.next += len(new)
+    if moved:
+        side.waiting = [w for n, w in enumerate(side.waiting) if n not in moved]
 
 
 def _skip(side: Side, counters: Counter) -> None:
@@ -90,7 +99,7 @@ def _emit(state: FlowState, d: int, fresh: list[tuple[int, bytes, list[int], int
         joined = side.tail_start + len(side.tail) == run[0][0]
         start = side.tail_start if joined else run[0][0]
         data = (side.tail if joined else b"") + b"".join(r[1] for r in run)
-        spans = (side.tail_spans if joined else []) + [{"start": r[0], "stop": r[0] + len(r[1]), "packet_ids": r[2]} for r in run]
+        spans = (side.tail_spans if joined else []) + [{"start": r[0], "stop": r[0] + len(r[1]), "packet_ids": r[2], "time": r[3]} for r in run]
         yield {
             "epoch": state.epoch, "fresh_start": run[0][0], "direction": d, "sport": side.ports[0], "dport": side.ports[1], "stream_offset": start, "data": data,
             "first_timestamp_ns": min(r[3] for r in run), "last_timestamp_ns": max(r[3] for r in run), "completeness": "gapped" if side.gapped else "midstream" if side.midstream else "complete",
@@ -115,7 +124,9 @@ def advance(state: FlowState, rows: pd.DataFrame, settings: Settings) -> list[di
             out += finish(state, settings, counters)
             state.epoch += 1
             state.sides, state.syn, state.closed = [Side(), Side()], [None, None], False
-        side = state.sides[d]
+        side, peer = state.sides[d], state.sides[1 - d]
+        if flags & packets.ACK and peer.base is not None:
+            peer.acked = max(peer.acked, peer.place(int(r.tcp_ack)) - peer.base)
         side.ports = (int(r.sport), int(r.dport))
         if flags & packets.SYN and state.syn[d] is None:
             state.syn[d] = seq
@@ -128,7 +139,8 @@ def advance(state: FlowState, rows: pd.DataFrame, settings: Settings) -> list[di
             place = side.place(seq)
             side.reference = max(side.reference, place)
             start = place - side.base
-            if not (len(data) == 1 and start == side.next - 1):  # else a keep-alive
+            probe = len(data) == 1 and flags & packets.ACK and not flags & (packets.SYN | packets.FIN | packets.RST)
+            if not (probe and start == side.next - 1 and side.acked >= side.next):  # else a keep-alive
                 if start < 0:
                     data, start = data[-start:], 0
                 side.waiting.append((start, data, [int(i) for i in r.source_packet_ids], int(r.timestamp_ns)))
@@ -138,7 +150,8 @@ def advance(state: FlowState, rows: pd.DataFrame, settings: Settings) -> list[di
             _skip(side, counters)
             _take(side, fresh, counters)
         out += _emit(state, d, fresh, counters, settings.overlap_bytes)
-        state.closed = state.closed or bool(flags & packets.RST)
+        state.closed = state.closed or bool(flags & packets.RST) or (bool(flags & packets.FIN) and (side.fin or peer.fin))
+        side.fin = side.fin or bool(flags & packets.FIN)
     if counters and out:
         out[-1]["counters"] = dict(Counter(out[-1]["counters"]) + counters)
     return out
@@ -159,7 +172,7 @@ def finish(state: FlowState, settings: Settings, counters: Counter | None = None
 
 def reassemble_stream(segments: DataFrame, settings: Settings) -> DataFrame:
     """Chunks of a stream of segments; a flow that is idle in event time is flushed and forgotten."""
-    names = [part.split()[0] for part in CHUNK.replace("struct<start:long,stop:long,packet_ids:array<long>>", "struct").split(", ")]
+    names = [part.split()[0] for part in CHUNK.replace("struct<start:long,stop:long,packet_ids:array<long>,time:long>", "struct").split(", ")]
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
         state: FlowState = pickle.loads(held.get[0]) if held.exists else FlowState()
@@ -176,7 +189,7 @@ def reassemble_stream(segments: DataFrame, settings: Settings) -> DataFrame:
 
     rows = flow.canonical_flow(segments.where(f"error is null and protocol = {frames.TCP}"))
     rows = rows.withColumn("at", F.timestamp_millis((F.col("timestamp_ns") / 1_000_000).cast("long"))).withWatermark("at", f"{settings.flow_idle_seconds} seconds")
-    rows = rows.select("session_id", "flow_id", "direction", "packet_id", "timestamp_ns", "at", "sport", "dport", "tcp_seq", "tcp_flags", "payload", "source_packet_ids")
+    rows = rows.select("session_id", "flow_id", "direction", "packet_id", "timestamp_ns", "at", "sport", "dport", "tcp_seq", "tcp_ack", "tcp_flags", "payload", "source_packet_ids")
     return rows.groupBy("session_id", "flow_id").applyInPandasWithState(step, CHUNK, "state binary", "append", GroupStateTimeout.EventTimeTimeout)
 
 
