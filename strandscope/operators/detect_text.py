@@ -157,6 +157,17 @@ def _found(text: Column, d: Detector, ends: Column) -> Column:
     return F.transform(matches, finding)
 
 
+def _in_context(text: Column, d: Detector, ends: Column) -> Column:
+    """As ``_found``, with what two detectors want to know of the whole text, which is looked at once."""
+    if d.name == "sensitive_field":
+        of_http = lambda http: replace(d, columns=d.columns | {"protocol": lambda m: F.when(http, "http").otherwise("generic"), "confidence": lambda m: F.when(http, "high").otherwise("medium")})
+        return T.let(text.rlike(START_LINE), lambda http: _found(text, of_http(http), ends))
+    if d.name == "luhn_payment_card":
+        but_ranges = lambda ranged: replace(d, accept=lambda m: _card(m) & ~(ranged & in_byte_range_header(text, m["start"])))
+        return T.let(text.rlike("(?mi)^(?:content-)?range[ \t]*:"), lambda ranged: _found(text, but_ranges(ranged), ends))
+    return _found(text, d, ends)
+
+
 _SHAPE = "array<struct<detector:string,category:string,protocol:string,material_type:string,confidence:string,start:int,stop:int,material:string,username:string>>"
 
 
@@ -171,16 +182,10 @@ def detect(rows: DataFrame, text: str, *, detectors: Iterable[Detector] | None =
     """
     ends = F.lit(True) if ends is None else ends
     subject = F.col(text)
-    http = subject.rlike(START_LINE)
     found = []
     for d in tuple(text_detectors() if detectors is None else detectors):
-        if d.name == "sensitive_field":
-            d = replace(d, columns=d.columns | {"protocol": lambda m: F.when(http, "http").otherwise("generic"), "confidence": lambda m: F.when(http, "high").otherwise("medium")})
-        if d.name == "luhn_payment_card":
-            ranged = subject.rlike("(?mi)^(?:content-)?range[ \t]*:")
-            d = replace(d, accept=lambda m: _card(m) & ~(ranged & in_byte_range_header(subject, m["start"])))
         runs = [c for c in (where(d), subject.rlike(d.gate) if d.gate else None, ~subject.rlike(d.unless) if d.unless else None, F.col("is_datagram") if d.datagram_only else None) if c is not None]
-        spans = _found(subject, d, ends).cast(_SHAPE)
+        spans = _in_context(subject, d, ends).cast(_SHAPE)
         found.append(F.when(reduce(lambda a, b: a & b, runs), spans).otherwise(F.array().cast(_SHAPE)) if runs else spans)
     others = [c for c in rows.columns if c != text]
     every = rows.where(subject.isNotNull()).select(*others, F.explode(F.concat(*found)).alias("__finding"))
