@@ -279,3 +279,86 @@ def test_json_and_files():
     raw = b"HTTP/1.1 200 OK\r\nContent-Type: image/jpeg\r\nContent-Length: %d\r\n\r\n" % len(body) + body
     (t,) = http1.transfers(http1.frame(raw, Counter()), Counter())
     assert (t["kind"], t["mismatch"], raw[t["start"] : t["start"] + 4]) == ("png", True, b"\x89PNG")
+
+
+# --- exchanges ---------------------------------------------------------------
+
+BACK = {"sport": 445, "dport": 50000, "src": SERVER, "dst": CLIENT}
+
+
+def smb(token, session):
+    head = b"\xfeSMB\x40\x00" + bytes(34) + struct.pack("<Q", session) + bytes(16)
+    return struct.pack(">I", len(head) + len(token)) + head + token
+
+
+def exchange(parts):
+    """One connection in which both sides speak in turns: (from the server, bytes)."""
+    at = {False: 1000, True: 5000}
+    records = [tcp(seq=999, flags=2, dport=445), tcp(seq=4999, flags=18, **BACK)]
+    for back, data in parts:
+        records.append(tcp(data, seq=at[back], **(BACK if back else {"dport": 445})))
+        at[back] += len(data)
+    return pcap(records)
+
+
+@pytest.mark.parametrize(
+    ("case", "parts", "want"),
+    [
+        ("server goes on", [(True, challenge(1)), (False, response("a")), (True, b"OK")], ["a"]),
+        ("two in turn", [(True, challenge(1)), (False, response("a")), (True, b"no"), (True, challenge(2)), (False, response("b")), (True, b"OK")], ["a", "b"]),
+        ("one answers once", [(True, challenge(1)), (False, response("a")), (False, response("b"))], ["a"]),
+        ("challenge comes late", [(False, response("a")), (True, challenge(1))], []),
+        ("sessions", [(True, smb(challenge(1), 7)), (True, smb(challenge(2), 9)), (False, smb(response("b"), 9)), (False, smb(response("a"), 7)), (True, b"x")], ["a", "b"]),
+        ("other session", [(True, smb(challenge(1), 7)), (False, smb(response("a"), 8))], []),
+        ("session zero", [(True, smb(challenge(1), 0)), (False, smb(response("a"), 0)), (True, smb(challenge(2), 0)), (False, smb(response("b"), 0))], ["a", "b"]),
+        ("session zero is shared", [(True, smb(challenge(1), 0)), (True, smb(challenge(2), 0)), (False, smb(response("a"), 0))], []),
+    ],
+)
+def test_exchanges_pair_in_order(spark, tmp_path, case, parts, want):
+    found, _ = run(spark, tmp_path, exchange(parts), "x.pcap")
+    assert sorted(r["username"] for r in found if r["detector"].endswith("correlation")) == want
+
+
+def acked(payload, *, seq, ack, **more):
+    raw = bytearray(tcp(payload, seq=seq, flags=0x10, **more))
+    raw[42:46] = struct.pack(">I", ack)
+    return bytes(raw)
+
+
+def test_keep_alives_only_if_acknowledged():
+    import pandas as pd
+
+    def flow(acknowledged):
+        rows = [(0, 1, 999, 0, 2, b""), (0, 2, 1000, 0, 0x18, b"abcd"), *([(1, 3, 5000, 1004, 0x10, b"")] if acknowledged else []), (0, 4, 1003, 5000, 0x10, b"Z")]
+        rows = [(1, 0, 4999, 1000, 18, b""), *rows]
+        return pd.DataFrame([{"direction": d, "packet_id": n, "timestamp_ns": n, "sport": 1, "dport": 2, "tcp_seq": s, "tcp_ack": a, "tcp_flags": f, "payload": p, "source_packet_ids": [n]} for d, n, s, a, f, p in rows])
+
+    for acknowledged, conflicts in ((True, 0), (False, 1)):
+        (chunk,) = packets.reassemble_flow(flow(acknowledged))
+        assert chunk["data"] == b"abcd" and chunk["conflicts"] == conflicts
+
+
+def test_a_byte_below_a_gap_is_data():
+    """One unacknowledged byte in front of what is expected is a byte of the stream, not a probe."""
+    import pandas as pd
+
+    rows = [(0, 1, 999, 2, b""), (0, 2, 1001, 0x18, b"bc"), (0, 3, 1000, 0x18, b"a")]
+    frame_ = pd.DataFrame([{"direction": d, "packet_id": n, "timestamp_ns": n, "sport": 1, "dport": 2, "tcp_seq": s, "tcp_ack": 0, "tcp_flags": f, "payload": p, "source_packet_ids": [n]} for d, n, s, f, p in rows])
+    (chunk,) = packets.reassemble_flow(frame_)
+    assert chunk["data"] == b"abc"
+
+
+def test_a_failing_parser_does_not_end_the_others(spark, tmp_path, monkeypatch):
+    from collections import namedtuple
+
+    from strandscope.operators import detect_stream
+
+    def broken(data):
+        raise RecursionError
+        yield
+
+    monkeypatch.setattr(wire, "ldap", broken)
+    names = "session_id flow_id epoch direction sport dport stream_offset data last_timestamp_ns completeness is_datagram spans"
+    chunk = namedtuple("chunk", names)("s", "f", 0, 0, 50000, 8443, 0, challenge(), 1, "complete", False, [])
+    parts = list(detect_stream._parts_of(chunk, 1000))
+    assert {p.get("counter") for p in parts} >= {"parser_error:ldap"} and any(p.get("detector") == "raw_ntlmssp" for p in parts)
