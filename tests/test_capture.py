@@ -291,32 +291,41 @@ def smb(token, session):
     return struct.pack(">I", len(head) + len(token)) + head + token
 
 
-def exchange(parts):
+def exchange(parts, port):
     """One connection in which both sides speak in turns: (from the server, bytes)."""
     at = {False: 1000, True: 5000}
-    records = [tcp(seq=999, flags=2, dport=445), tcp(seq=4999, flags=18, **BACK)]
+    ends = {False: {"sport": port, "dport": 445}, True: BACK | {"dport": port}}
+    records = [tcp(seq=999, flags=2, **ends[False]), tcp(seq=4999, flags=18, **ends[True])]
     for back, data in parts:
-        records.append(tcp(data, seq=at[back], **(BACK if back else {"dport": 445})))
+        records.append(tcp(data, seq=at[back], **ends[back]))
         at[back] += len(data)
-    return pcap(records)
-
-
-@pytest.mark.parametrize(
-    ("case", "parts", "want"),
-    [
-        ("server goes on", [(True, challenge(1)), (False, response("a")), (True, b"OK")], ["a"]),
-        ("two in turn", [(True, challenge(1)), (False, response("a")), (True, b"no"), (True, challenge(2)), (False, response("b")), (True, b"OK")], ["a", "b"]),
-        ("one answers once", [(True, challenge(1)), (False, response("a")), (False, response("b"))], ["a"]),
-        ("challenge comes late", [(False, response("a")), (True, challenge(1))], []),
-        ("sessions", [(True, smb(challenge(1), 7)), (True, smb(challenge(2), 9)), (False, smb(response("b"), 9)), (False, smb(response("a"), 7)), (True, b"x")], ["a", "b"]),
-        ("other session", [(True, smb(challenge(1), 7)), (False, smb(response("a"), 8))], []),
-        ("session zero", [(True, smb(challenge(1), 0)), (False, smb(response("a"), 0)), (True, smb(challenge(2), 0)), (False, smb(response("b"), 0))], ["a", "b"]),
-        ("session zero is shared", [(True, smb(challenge(1), 0)), (True, smb(challenge(2), 0)), (False, smb(response("a"), 0))], []),
-    ],
-)
-def test_exchanges_pair_in_order(spark, tmp_path, case, parts, want):
-    found, _ = run(spark, tmp_path, exchange(parts), "x.pcap")
-    assert sorted(r["username"] for r in found if r["detector"].endswith("correlation")) == want
+    return records
+
+
+# what is sent, and whose responses have a challenge
+EXCHANGES = {
+    "goes-on": ([(True, challenge(1)), (False, "a"), (True, b"OK")], "a"),
+    "in-turn": ([(True, challenge(1)), (False, "a"), (True, b"no"), (True, challenge(2)), (False, "b"), (True, b"OK")], "ab"),
+    "once": ([(True, challenge(1)), (False, "a"), (False, "b")], "a"),
+    "late": ([(False, "a"), (True, challenge(1))], ""),
+    "sessions": ([(True, smb(challenge(1), 7)), (True, smb(challenge(2), 9)), (False, "b", 9), (False, "a", 7), (True, b"x")], "ab"),
+    "other": ([(True, smb(challenge(1), 7)), (False, "a", 8)], ""),
+    "zero": ([(True, smb(challenge(1), 0)), (False, "a", 0), (True, smb(challenge(2), 0)), (False, "b", 0)], "ab"),
+    "shared-zero": ([(True, smb(challenge(1), 0)), (True, smb(challenge(2), 0)), (False, "a", 0)], ""),
+}
+
+
+def test_exchanges_pair_in_order(spark, tmp_path):
+    records, want = [], set()
+    for n, (case, (parts, paired)) in enumerate(EXCHANGES.items()):
+        sent = []
+        for back, data, *session in parts:
+            token = data if back else response(f"{case}-{data}")
+            sent.append((back, smb(token, *session) if session else token))
+        records += exchange(sent, 50_000 + n)
+        want |= {f"{case}-{name}" for name in paired}
+    found, _ = run(spark, tmp_path, pcap(records), "x.pcap")
+    assert sorted(r["username"] for r in found if r["detector"].endswith("correlation")) == sorted(want)
 
 
 def acked(payload, *, seq, ack, **more):
@@ -361,4 +370,4 @@ def test_a_failing_parser_does_not_end_the_others(spark, tmp_path, monkeypatch):
     names = "session_id flow_id epoch direction sport dport stream_offset data last_timestamp_ns completeness is_datagram spans"
     chunk = namedtuple("chunk", names)("s", "f", 0, 0, 50000, 8443, 0, challenge(), 1, "complete", False, [])
     parts = list(detect_stream._parts_of(chunk, 1000))
-    assert {p.get("counter") for p in parts} >= {"parser_error:ldap"} and any(p.get("detector") == "raw_ntlmssp" for p in parts)
+    assert {p.get("counter") for p in parts} >= {"parser_error:ldap"} and any(p.get("detector") == "ntlm_type2_challenge" for p in parts)
