@@ -9,8 +9,9 @@ provenance, order) is joins and windows.
 from __future__ import annotations
 
 import bisect
+import re
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
 
 import pandas as pd
@@ -48,6 +49,24 @@ KINDS = {
 }
 HEADER_DETECTORS = ("http_basic", "http_bearer", "http_digest", "http_cookie", "sip_digest")
 CARD_DETECTORS = ("luhn_payment_card",)
+#: Every line that a line protocol reports has one of these words; on mail ports, lines of NTLM have none.
+LINE_WORDS = re.compile(rb"(?i)user|pass|nick|log[io]n|auth")
+MAIL_PORTS = {25, 110, 143, 587}
+#: Records that belong to exchanges which later bytes may go on.
+EXCHANGED = ("ntlm_type2_challenge", "ntlm_type3_response", "postgres_method")
+
+
+def may_have_lines(data: bytes, ports: set[int]) -> bool:
+    """Whether line protocols have to be looked for at all: a superset test, cheaper than splitting into lines."""
+    return bool(ports & MAIL_PORTS) or LINE_WORDS.search(data) is not None
+
+
+def _guarded(name: str, parse: Callable[[], Iterable], counters: Counter) -> Iterator:
+    """What a parser gives until it fails: one that fails on hostile bytes is counted and doesn't end the others."""
+    try:
+        yield from parse()
+    except Exception:  # noqa: BLE001
+        counters[f"parser_error:{name}"] += 1
 
 
 def _parts_of(chunk, max_body: int) -> Iterator[dict]:
@@ -59,9 +78,9 @@ def _parts_of(chunk, max_body: int) -> Iterator[dict]:
     def record(r: wire.Record) -> dict:
         return {"part": "record", "base": base, "start": base + r.start, "stop": base + r.stop, "detector": r.kind, "fields": {k: str(v) for k, v in r.values.items()}}
 
-    messages = http1.frame(data, counters, max_body=max_body)
+    messages = list(_guarded("http_framing", lambda: http1.frame(data, counters, max_body=max_body), counters))
     masked = bytearray(data)
-    for t in http1.transfers(messages, counters):
+    for t in _guarded("http_transfers", lambda: http1.transfers(messages, counters), counters):
         yield record(wire.Record("http_file_signature", t["start"], t["stop"], {"material": t["kind"], "declared": t["declared"], "mismatch": str(t["mismatch"]).lower(), "file_name": t["file_name"] or "", "partial": str(not t["complete"]).lower()}))
         masked[t["body_start"] : t["body_end"]] = bytes(t["body_end"] - t["body_start"])
     for n, m in enumerate(messages):
@@ -98,8 +117,9 @@ def _parts_of(chunk, max_body: int) -> Iterator[dict]:
             yield {"part": "field", "message": n, "base": base, "text": f.value, "encoded": f.encoded, "name": f.name, "source": source, "start": base + start, "stop": base + stop}
     if not messages:
         yield {"part": "raw", "base": base, "text": wire.latin(data), "ends": ends}
-        for r in wire.line_protocols(data, ports, ends):
-            yield record(r)
+        if may_have_lines(data, ports):
+            for r in _guarded("line_protocols", lambda: wire.line_protocols(data, ports, ends), counters):
+                yield record(r)
     binary: dict[str, Iterator[wire.Record]] = {"ntlm_raw": wire.ntlm_raw(bytes(masked)), "ntlm_http": wire.ntlm_http(data), "ldap": wire.ldap(data), "kerberos": wire.kerberos(data)}
     if ends:
         binary["snmp"] = wire.snmp(data)
@@ -112,11 +132,8 @@ def _parts_of(chunk, max_body: int) -> Iterator[dict]:
     if chunk.sport == 5432:
         binary["postgres_server"] = wire.postgres_server(data)
     for name, parser in binary.items():
-        try:
-            for r in parser:
-                yield record(r)
-        except Exception:  # noqa: BLE001 a parser that fails on hostile bytes must not end the others
-            counters[f"parser_error:{name}"] += 1
+        for r in _guarded(name, lambda parser=parser: parser, counters):
+            yield record(r)
     for name, value in counters.items():
         yield {"part": "counter", "counter": name, "value": value}
 
@@ -208,15 +225,22 @@ def pair_ntlm(parts: DataFrame) -> DataFrame:
 
 
 def qualify_postgres(findings: DataFrame, parts: DataFrame) -> DataFrame:
-    """Password messages by the method that the server asked for last: in the clear, they are confirmed credentials.
+    """Password messages by the method that the server asked for last before them: in the clear, they are confirmed credentials.
 
     Method 0 says that the log-in is over and asks for nothing, so it counts
-    only where no method was asked for. A connection is asked once; times don't
-    tell what came before a password, as a chunk has that of its last packet.
+    only where no method was asked for. Where the capture has no method before
+    a password, as its directions may be captured apart, the connection's last
+    one counts.
     """
     methods = parts.where("part = 'record' and detector = 'postgres_method'").select("session_id", "flow_id", "epoch", F.col("observed_timestamp_ns").alias("at"), "start", F.col("fields")["method"].alias("method"))
     latest = methods.groupBy("session_id", "flow_id", "epoch").agg(F.max_by("method", F.struct(F.col("method") != "0", "at", "start")).alias("method"))
-    joined = findings.where("material_type = 'postgres_password_message'").join(latest, ["session_id", "flow_id", "epoch"], "left")
+    passwords = findings.where("material_type = 'postgres_password_message'")
+    both = passwords.withColumn("asked", F.lit(None).cast("string")).unionByName(
+        methods.where("method <> '0'").select("session_id", "flow_id", "epoch", F.col("at").alias("observed_timestamp_ns"), "start", F.col("method").alias("asked")), allowMissingColumns=True
+    )
+    order = ["observed_timestamp_ns", F.col("asked").isNull(), "start"]
+    before = correlate.carry_forward(both, ["session_id", "flow_id", "epoch"], order, F.col("asked").isNotNull(), "asked", "before").where("asked is null").drop("asked")
+    joined = before.join(latest, ["session_id", "flow_id", "epoch"], "left").withColumn("method", F.coalesce("before", "method")).drop("before")
     clear = F.col("method") == "3"
     known = joined.where(F.coalesce(F.col("method").isin("3"), F.lit(True))).withColumns({"detector": F.when(clear, "postgres_cleartext_password").otherwise("postgres_password_message"), "category": F.when(clear, "credential").otherwise("authentication"), "confidence": F.when(clear, "confirmed").otherwise("medium")})
     return findings.where("material_type <> 'postgres_password_message'").unionByName(known.drop("method"))

@@ -43,6 +43,12 @@ def finding_id(*columns: str) -> Column:
     return F.sha2(F.concat_ws("\x1f", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns)), 256)
 
 
+def json_line(rows: DataFrame) -> Column:
+    """A row as one line of JSON, columns by name; bytes as their encoding and hexadecimal digits, which text would garble."""
+    shown = lambda c, kind: F.struct(F.lit("hex").alias("encoding"), F.lower(F.hex(c)).alias("data")) if kind == "binary" else F.col(c)
+    return F.to_json(F.struct(*(shown(c, kind).alias(c) for c, kind in sorted(rows.dtypes))))
+
+
 def digest(rows: DataFrame, keys: list[str], line: Column, order: list[str]) -> DataFrame:
     """keys, lines and digest: SHA-256 over each key's lines in a canonical order.
 

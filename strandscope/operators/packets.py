@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import frames
@@ -99,23 +100,22 @@ def defragment(datagrams: DataFrame, *, idle_seconds: int = 30) -> DataFrame:
     """
     is_part = F.col("fragment_id").isNotNull()
     keys = ["session_id", "interface", "vlan_ids", "ip_version", "src", "dst", "protocol", "fragment_id"]
-    parts = datagrams.where(is_part)
+    seen = W.partitionBy(*keys).orderBy("packet_id")
+    rests = F.col("timestamp_ns") - F.lag("timestamp_ns").over(seen) >= idle_seconds * 1_000_000_000
+    # an id comes back after 65,536 datagrams: its uses are told apart before they are grouped, so that a task holds one datagram
+    parts = datagrams.where(is_part).withColumn("__rests", rests).withColumn("__use", F.count_if("__rests").over(seen))
 
     def join(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("packet_id")
-        lives = (group["timestamp_ns"].diff().fillna(0) >= idle_seconds * 1_000_000_000).cumsum()
-        rows = []
-        for _, life in group.groupby(lives):
-            payload, problem = join_fragments([(r.packet_id, r.fragment_offset, bytes(r.network_payload), r.more_fragments, r.truncated) for r in life.itertuples(index=False)])
-            last = life.iloc[-1]
-            row = {c: last[c] for c in _names(_ADDRESS)} | {"truncated": False, "source_packet_ids": sorted({i for ids in life["source_packet_ids"] for i in ids}), "error": problem, "network_payload": payload}
-            if payload is not None and last["ip_version"] == 6:
-                kind, at, _ = frames.skip_extensions(int(last["protocol"]), payload, 0)
-                row |= {"protocol": kind, "network_payload": payload[at:]}
-            rows.append(row | {"timestamp_ns": life["timestamp_ns"].max(), "packet_id": life["packet_id"].max(), "fragment_offset": 0, "more_fragments": False})
-        return _frame(rows, DATAGRAM)
-
-    return datagrams.where(~is_part).unionByName(parts.groupBy(*keys).applyInPandas(join, DATAGRAM))
+        use = group.sort_values("packet_id")
+        payload, problem = join_fragments([(r.packet_id, r.fragment_offset, bytes(r.network_payload), r.more_fragments, r.truncated) for r in use.itertuples(index=False)])
+        last = use.iloc[-1]
+        row = {c: last[c] for c in _names(_ADDRESS)} | {"truncated": False, "source_packet_ids": sorted({i for ids in use["source_packet_ids"] for i in ids}), "error": problem, "network_payload": payload}
+        if payload is not None and last["ip_version"] == 6:
+            kind, at, _ = frames.skip_extensions(int(last["protocol"]), payload, 0)
+            row |= {"protocol": kind, "network_payload": payload[at:]}
+        return _frame([row | {"timestamp_ns": use["timestamp_ns"].max(), "packet_id": use["packet_id"].max(), "fragment_offset": 0, "more_fragments": False}], DATAGRAM)
+
+    return datagrams.where(~is_part).unionByName(parts.groupBy(*keys, "__use").applyInPandas(join, DATAGRAM))
 
 
 def decode_segments(datagrams: DataFrame) -> DataFrame:

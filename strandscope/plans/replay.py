@@ -20,6 +20,7 @@ class Replay:
     counters: DataFrame
     verdict: DataFrame
     chunks: DataFrame
+    reasons: DataFrame
 
 
 def replay_packets(rows: DataFrame, settings: Settings | None = None, scratch: str | None = None) -> Replay:
@@ -42,9 +43,11 @@ def replay_packets(rows: DataFrame, settings: Settings | None = None, scratch: s
     cut = segments.where("truncated").agg(F.count("*").alias("value")).select(F.lit("packets_truncated").alias("name"), "value")
     counters = errors.unionByName(cut).unionByName(detect_stream.stream_counters(chunks, parts)).unionByName(detect_stream.unmatched_responses(parts))
     counters = health.merge_counters(counters).where("value > 0")
-    return Replay(found, counters, health.verdict(counters), chunks)
+    failing = health.error_gate(segments, ["session_id"], F.col("error").isNotNull(), least=settings.error_floor, ratio=settings.error_ratio)
+    reasons = failing.select(F.concat(F.lit("decode_errors:"), F.col("session_id")).alias("reason"))
+    return Replay(found, counters, health.verdict(counters, reasons), chunks, reasons)
 
 
-def replay(spark: SparkSession, path: str, settings: Settings | None = None, scratch: str | None = None) -> Replay:
+def replay(spark: SparkSession, path: str, settings: Settings | None = None, scratch: str | None = None, kept: capture.CaptureFilter = capture.ALL) -> Replay:
     """``path`` names capture files on any file system that Spark reads."""
-    return replay_packets(capture.read_captures(spark, path), settings, scratch)
+    return replay_packets(capture.read_captures(spark, path, kept), settings, scratch)

@@ -4,7 +4,9 @@ Flows are reassembled with one state for each flow, bounded in bytes and
 segments; what a bound or a timeout gives up is emitted as a gap and counted,
 never dropped silently. A trigger's chunks start with the bytes that a detector
 may still need, and only findings that end in new bytes are kept, so each
-position is reported once however the capture is cut into files.
+position is reported once however the capture is cut into files. Exchanges that
+a trigger leaves open, such as a challenge without its response, are carried to
+the next one for as long as a flow may rest.
 """
 
 from __future__ import annotations
@@ -17,12 +19,13 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.listener import QueryIdleEvent, QueryProgressEvent, QueryStartedEvent, QueryTerminatedEvent, StreamingQueryListener
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..config import Settings
 from ..functions import frames, http1
-from ..operators import detect_stream, emit, flow, packets
+from ..operators import detect_stream, emit, flow, health, packets
 
 CHUNK = packets.CHUNK.replace("epoch long", "epoch long, fresh_start long") + ", counters map<string,long>"
 
@@ -196,10 +199,10 @@ def reassemble_stream(segments: DataFrame, settings: Settings) -> DataFrame:
 def live(spark: SparkSession, folder: str, output: str, settings: Settings | None = None, *, files_per_trigger: int = 8, available_now: bool = False) -> StreamingQuery:
     """Start a query over files moved into ``folder`` (any file system of Spark); findings go to ``output``, one folder for each batch.
 
-    A batch that is run again after a failure replaces its own folder, so
-    findings are written once. The session of all files is ``live``. Fragments
-    of datagrams are not joined here (``replay`` does); the query's
-    progress reports them and undecoded frames as ``observedMetrics``.
+    A batch that is run again after a failure replaces its own folders, so
+    findings and counters are written once. The session of all files is
+    ``live``. Fragments of datagrams are not joined here (``replay`` does);
+    ``Losses`` counts them, undecoded frames and rows behind the watermark.
     """
     import io
     import os
@@ -222,7 +225,16 @@ def live(spark: SparkSession, folder: str, output: str, settings: Settings | Non
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{output}/chunks/batch={number}")
         held = spark.read.schema(batch.schema).parquet(f"{output}/chunks/batch={number}")
-        found = detect_stream.detect_streams(held.drop("fresh_start", "counters"), extra_names=settings.extra_sensitive_field_names)
+        new = held.drop("fresh_start", "counters")
+        detect_stream.parse_chunks(new, max_body=settings.max_body_bytes).write.mode("overwrite").parquet(f"{output}/parts/batch={number}")
+        parts = spark.read.schema(detect_stream.PART).parquet(f"{output}/parts/batch={number}")
+        if number:
+            parts = with_open_exchanges(parts, spark.read.schema(detect_stream.PART).parquet(f"{output}/open/batch={number - 1}"))
+        open_exchanges(parts, settings.flow_idle_seconds).write.mode("overwrite").parquet(f"{output}/open/batch={number}")
+        batch_counters(held).write.mode("overwrite").parquet(f"{output}/counters/batch={number}")
+        found = detect_stream.detect_streams(
+            new, extra_names=settings.extra_sensitive_field_names, generic_secret_scan=settings.generic_secret_scan, credit_card_scan=settings.credit_card_scan, parts=parts
+        )
         fresh = held.groupBy(*detect_stream.STREAM).agg(F.min("fresh_start").alias("fresh_start"))
         found = found.join(fresh, detect_stream.STREAM).where("stop > fresh_start").drop("fresh_start", "attempt_ordinal")
         emit.apply_policy(found, policy=settings.material_policy, salt=settings.fingerprint_salt).write.mode("overwrite").parquet(f"{output}/findings/batch={number}")
@@ -231,6 +243,74 @@ def live(spark: SparkSession, folder: str, output: str, settings: Settings | Non
     return query.trigger(availableNow=True).start() if available_now else query.start()
 
 
+def open_exchanges(parts: DataFrame, seconds: int) -> DataFrame:
+    """Records of exchanges that later bytes may go on: those of the last ``seconds`` before the latest record. The time bounds their number."""
+    rows = parts.where((F.col("part") == "record") & F.col("detector").isin(*detect_stream.EXCHANGED))
+    latest = parts.agg(F.max("observed_timestamp_ns")).first()[0] or 0
+    return rows.where(F.col("observed_timestamp_ns") >= latest - seconds * 1_000_000_000)
+
+
+def with_open_exchanges(parts: DataFrame, before: DataFrame) -> DataFrame:
+    """``parts`` and the records carried to them; a record in bytes that are read again is taken once."""
+    again = before.join(parts.where("part = 'record'").select(*detect_stream.STREAM, "detector", "start", "stop"), [*detect_stream.STREAM, "detector", "start", "stop"], "left_anti")
+    return parts.unionByName(again)
+
+
+def batch_counters(chunks: DataFrame) -> DataFrame:
+    """name and value of what reassembly gave up or met in a batch."""
+    given = chunks.where("counters is not null").select(F.explode("counters").alias("name", "value"))
+    marked = [chunks.where(F.col("completeness") == kind).select(F.lit(f"tcp_{kind}_chunks").alias("name"), F.lit(1).cast("long").alias("value")) for kind in ("gapped", "midstream")]
+    return health.merge_counters(given.unionByName(marked[0]).unionByName(marked[1]))
+
+
+class Losses(StreamingQueryListener):
+    """What a query's progress tells of loss and time: add it to ``spark.streams`` before the query starts.
+
+    Rows behind the watermark are dropped by Spark and only counted in the
+    progress. A batch that is run again counts once, by its last run.
+    """
+
+    def __init__(self) -> None:
+        self.batches: dict[tuple[str, int], dict[str, int]] = {}
+
+    def onQueryStarted(self, event: QueryStartedEvent) -> None:
+        """Nothing to count yet."""
+
+    def onQueryProgress(self, event: QueryProgressEvent) -> None:
+        p = event.progress
+        skipped = p.observedMetrics.get("skipped")
+        self.batches[str(p.id), p.batchId] = {
+            "late_rows": sum(s.numRowsDroppedByWatermark for s in p.stateOperators),
+            "fragments_not_joined": skipped["fragments"] if skipped else 0,
+            "undecoded_frames": skipped["undecoded"] if skipped else 0,
+            "milliseconds": p.batchDuration,
+        }
+
+    def onQueryIdle(self, event: QueryIdleEvent) -> None:
+        """An idle query loses nothing."""
+
+    def onQueryTerminated(self, event: QueryTerminatedEvent) -> None:
+        """What was counted stays."""
+
+    def _of(self, query: str) -> list[dict[str, int]]:
+        return [held for (name, _), held in self.batches.items() if name == query]
+
+    def counters(self, spark: SparkSession, query: str) -> DataFrame:
+        names = ("late_rows", "fragments_not_joined", "undecoded_frames")
+        return spark.createDataFrame([(n, sum(b[n] for b in self._of(query))) for n in names], "name string, value long")
+
+    def timing(self, query: str) -> dict[str, int]:
+        """Batches, and milliseconds in all and of the longest."""
+        took = [b["milliseconds"] for b in self._of(query)]
+        return {"batches": len(took), "total": sum(took), "longest": max(took, default=0)}
+
+
+def live_verdict(spark: SparkSession, output: str, losses: Losses, query: str) -> DataFrame:
+    """The verdict on all batches that a query has written, with its ``losses`` since they were first listened to."""
+    written = spark.read.schema("name string, value long").parquet(f"{output}/counters")
+    return health.verdict(health.merge_counters(written.select("name", "value").unionByName(losses.counters(spark, query))))
+
+
 def heartbeats(events: DataFrame, time: str, *, lateness: str = "1 minute", width: str = "10 seconds") -> DataFrame:
     """Counts of events in fixed windows of event time, each emitted once when the watermark has passed it."""
     return events.withWatermark(time, lateness).groupBy(F.window(time, width)).agg(F.count("*").alias("events"))

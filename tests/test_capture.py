@@ -371,3 +371,102 @@ def test_a_failing_parser_does_not_end_the_others(spark, tmp_path, monkeypatch):
     chunk = namedtuple("chunk", names)("s", "f", 0, 0, 50000, 8443, 0, challenge(), 1, "complete", False, [])
     parts = list(detect_stream._parts_of(chunk, 1000))
     assert {p.get("counter") for p in parts} >= {"parser_error:ldap"} and any(p.get("detector") == "ntlm_type2_challenge" for p in parts)
+
+
+def test_every_parser_is_isolated(monkeypatch):
+    from collections import namedtuple
+
+    from strandscope.operators import detect_stream
+
+    def broken(*_, **__):
+        raise RecursionError
+
+    names = "session_id flow_id epoch direction sport dport stream_offset data last_timestamp_ns completeness is_datagram spans"
+    chunk = namedtuple("chunk", names)("s", "f", 0, 0, 50000, 21, 0, b"USER a\r\nPASS b\r\n" + challenge(), 1, "complete", False, [])
+    for name, module, function in (("http_framing", http1, "frame"), ("http_transfers", http1, "transfers"), ("line_protocols", wire, "line_protocols")):
+        with monkeypatch.context() as patch:
+            patch.setattr(module, function, broken)
+            parts = list(detect_stream._parts_of(chunk, 1000))
+        assert f"parser_error:{name}" in {p.get("counter") for p in parts} and any(p.get("detector") == "ntlm_type2_challenge" for p in parts)
+
+
+def test_line_gate_is_a_superset():
+    from strandscope.operators import detect_stream
+
+    rng = random.Random(11)
+    words = [b"USER", b"pass", b"NICK", b"login:", b"logon =", b"a1 LOGIN", b"AUTH PLAIN", b"x AUTHENTICATE LOGIN", b"passcode:", b"hello", b"AGEAYg==", b"bob", b"JOIN", b"\r\n", b"\n", b" "]
+    for _ in range(3_000):
+        data = b" ".join(rng.choices(words, k=rng.randint(1, 8))) + b"\r\n"
+        ports = {rng.choice((21, 23, 25, 80, 6667))}
+        if list(wire.line_protocols(data, ports, True)):
+            assert detect_stream.may_have_lines(data, ports)
+
+
+def test_postgres_methods_before_each_password(spark, tmp_path):
+    """Two log-ins of one connection: the first is asked for a hash, the second for the password itself."""
+    ask = lambda m: b"R" + struct.pack(">II", 8, m)
+    say = lambda p: b"p" + struct.pack(">I", 5 + len(p)) + p + b"\0"
+    first = b"\0\0\0\x08\0\3\0\0"
+    to, back = {"sport": 50030, "dport": 5432}, {"sport": 5432, "dport": 50030, "src": SERVER, "dst": CLIENT}
+    at, their, records = 1000, 1000, [tcp(seq=999, flags=2, **to), tcp(seq=999, flags=18, **back)]
+    for from_client, data in ((True, first), (False, ask(5)), (True, say(b"md5hash")), (False, ask(3)), (True, say(b"clear")), (False, ask(0))):
+        records.append(tcp(data, seq=at if from_client else their, **(to if from_client else back)))
+        at, their = at + len(data) * from_client, their + len(data) * (not from_client)
+    found, _ = run(spark, tmp_path, pcap(records), "pg2.pcap")
+    assert [(r["detector"], r["material"]) for r in found if r["detector"].startswith("postgres")] == [("postgres_cleartext_password", "clear")]
+
+
+def test_fragment_ids_that_come_back(spark):
+    """An id used again after the idle time is another datagram."""
+    body = struct.pack(">HHHH", 40000, 161, 8 + 16, 0) + bytes(16)
+    parts = [ether(ipv4(body[a:b], protocol=17, ident=7, offset=a, more=b < 24)) for a, b in ((0, 8), (8, 24))]
+    rows = [("s", n + 1, at * 1_000_000_000, "i", 1, len(raw), len(raw), raw, None) for n, (at, raw) in enumerate([(0, parts[0]), (1, parts[1]), (50, parts[1]), (51, parts[0]), (99, parts[0])])]
+    whole = packets.defragment(packets.decode_datagrams(spark.createDataFrame(rows, capture.SCHEMA))).collect()
+    assert sorted((r["source_packet_ids"], r["error"]) for r in whole) == [([1, 2], None), ([3, 4], None), ([5], "fragment_incomplete")]
+
+
+def test_sources_filter_packets(spark, tmp_path):
+    (tmp_path / "a.pcap").write_bytes(pcap(stream(BASIC, cuts=[10, 20, 30])))
+    (tmp_path / "b.pcap").write_bytes(pcap(stream(BASIC))[:-1])
+    times = [1_700_000_000_000_000_000 + n * 1_000_001_000 for n in range(5)]
+    want = {("a.pcap", 2), ("a.pcap", 3), ("b.pcap", None)}  # the broken file still tells
+    names = lambda rows: {(r["session_id"].rsplit("/", 1)[1], r["packet_id"]) for r in rows.collect()}
+    kept = capture.CaptureFilter(since_ns=times[1], until_ns=times[3], datalinks=frozenset([1, 113]))
+    assert names(capture.read_captures(spark, str(tmp_path), kept)) == want
+    capture.register(spark)
+    source = spark.read.format("capture").option("sinceNs", times[1]).option("untilNs", times[3])
+    assert names(source.option("datalinks", "1,113").load(str(tmp_path))) == want
+    assert names(source.option("datalinks", "12").load(str(tmp_path))) == {("b.pcap", None)}
+
+
+def test_failing_captures_are_named(spark, tmp_path):
+    from strandscope.config import Settings
+
+    bad = ether(b"\x45" + bytes(3))
+    (tmp_path / "bad.pcap").write_bytes(pcap([bad] * 6 + stream(BASIC)))
+    reasons = lambda **s: replay(spark, str(tmp_path / "bad.pcap"), Settings(**s), str(tmp_path / f"s{s['error_floor']}")).reasons.collect()
+    assert [r["reason"].split(":")[0] for r in reasons(error_floor=6)] == ["decode_errors"] and reasons(error_floor=7) == []
+
+
+def test_preflight(spark, tmp_path, capsys):
+    from strandscope import cli, preflight
+
+    (tmp_path / "a.pcap").write_bytes(pcap(stream(b"nothing here", dport=9000)))
+    (tmp_path / "short.pcap").write_bytes(b"abc")
+    assert cli.main(["doctor", str(tmp_path / "a.pcap"), str(tmp_path / "out")]) == 0
+    assert cli.main(["doctor", str(tmp_path / "none.pcap"), str(tmp_path / "out")]) == 2
+    assert cli.main(["doctor", str(tmp_path / "*.pcap"), str(tmp_path / "out")]) == 2 and "not_a_capture" in capsys.readouterr().out
+    assert cli.main(["replay", str(tmp_path / "a.pcap"), str(tmp_path / "out")]) == 0
+    assert cli.main(["validate", str(tmp_path / "out")]) == 0 and cli.main(["report", str(tmp_path / "out")]) == 0  # no findings
+    (tmp_path / "out").chmod(0o755)
+    assert cli.main(["validate", str(tmp_path / "out")]) == 1
+    (tmp_path / "link").symlink_to(tmp_path / "out")
+    assert [p.split(":")[0] for p in preflight.claim(str(tmp_path / "link"))] == ["link"]
+    assert preflight.exposed("s3a://bucket/out") == []
+
+
+def test_json_lines_show_bytes(spark):
+    from strandscope.operators import emit
+
+    rows = spark.createDataFrame([(bytearray(b"\xff\0a"), "x", [1])], "raw binary, text string, ids array<int>")
+    assert rows.select(emit.json_line(rows)).first()[0] == '{"ids":[1],"raw":{"encoding":"hex","data":"ff0061"},"text":"x"}'

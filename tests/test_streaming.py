@@ -5,11 +5,11 @@ from __future__ import annotations
 import random
 
 import pandas as pd
-from test_capture import BASIC, FORM, pcap, stream, tcp
+from test_capture import BASIC, CLIENT, FORM, SERVER, challenge, pcap, response, stream, tcp
 
 from strandscope.config import Settings
 from strandscope.functions import frames
-from strandscope.operators import packets
+from strandscope.operators import detect_stream, packets
 from strandscope.streaming import live
 
 
@@ -60,3 +60,52 @@ def test_live_folder(spark, tmp_path):
     assert query.exception() is None
     found = spark.read.parquet(str(tmp_path / "out/findings")).collect()
     assert sorted((r["detector"], r["material"]) for r in found) == [("http_basic", "alice:wonder")] * 2
+
+
+def test_exchanges_go_on_in_the_next_trigger(spark, tmp_path):
+    """A challenge in one file and its response in the next are a pair, which later triggers don't report again."""
+    back = {"sport": 445, "dport": 50000, "src": SERVER, "dst": CLIENT}
+    files = [stream(challenge(), **back), stream(response(), dport=445), stream(b"nothing of interest here", dport=9000, sport=50001)]
+    (tmp_path / "in").mkdir()
+    for n, records in enumerate(files):
+        (tmp_path / f"in/eth0-{n}.pcap").write_bytes(pcap(records))
+        losses = live.Losses()
+        spark.streams.addListener(losses)
+        query = live.live(spark, str(tmp_path / "in"), str(tmp_path / "out"), Settings(material_policy="raw"), files_per_trigger=1, available_now=True)
+        query.awaitTermination(240)
+        assert query.exception() is None
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        spark.streams.removeListener(losses)
+    found = spark.read.parquet(str(tmp_path / "out/findings")).where("detector = 'ntlm_challenge_response_correlation'").collect()
+    assert [r["username"] for r in found] == ["eve"]
+    verdict = live.live_verdict(spark, str(tmp_path / "out"), losses, query.id).first()
+    assert verdict["verdict"] == "complete" and losses.timing(query.id)["longest"] > 0
+
+
+def test_counters_of_a_stream(spark):
+    from collections import namedtuple
+
+    chunks = spark.createDataFrame([("gapped", {"tcp_forced_gap_bytes": 5}), ("gapped", {"tcp_forced_gap_bytes": 2}), ("complete", {}), ("midstream", None)], "completeness string, counters map<string,long>")
+    assert {r["name"]: r["value"] for r in live.batch_counters(chunks).collect()} == {"tcp_forced_gap_bytes": 7, "tcp_gapped_chunks": 2, "tcp_midstream_chunks": 1}
+    operator = namedtuple("operator", "numRowsDroppedByWatermark")
+    progress = namedtuple("progress", "id batchId stateOperators observedMetrics batchDuration")
+    event = namedtuple("event", "progress")
+    losses = live.Losses()
+    for late in (4, 3):  # batch 0 twice, as after a failure
+        losses.onQueryProgress(event(progress("q", 0, [operator(late)], {"skipped": {"fragments": 1, "undecoded": 0}}, 30)))
+    losses.onQueryProgress(event(progress("q", 1, [operator(2)], {}, 50)))
+    losses.onQueryProgress(event(progress("other", 0, [operator(9)], {}, 9)))
+    assert {r["name"]: r["value"] for r in losses.counters(spark, "q").collect()} == {"late_rows": 5, "fragments_not_joined": 1, "undecoded_frames": 0}
+    assert losses.timing("q") == {"batches": 2, "total": 80, "longest": 50}
+
+
+def test_exchanges_are_open_for_a_time(spark):
+    def rows(*given):
+        named = [dict(zip(("observed_timestamp_ns", "detector", "stop"), g)) | {"session_id": "s", "flow_id": "f", "epoch": 0, "direction": 0, "part": "record", "start": 0} for g in given]
+        return spark.createDataFrame([tuple(r.get(c.split()[0]) for c in detect_stream.PART.split(", ")) for r in named], detect_stream.PART)
+
+    parts = rows((1_000_000_000, "ntlm_type2_challenge", 8), (5_000_000_000, "postgres_method", 9), (6_000_000_000, "redis_auth", 10))
+    assert [r["detector"] for r in live.open_exchanges(parts, 3).collect()] == ["postgres_method"]
+    assert live.open_exchanges(parts, 5).count() == 2 and live.open_exchanges(rows(), 5).count() == 0
+    both = live.with_open_exchanges(parts, rows((5_000_000_000, "postgres_method", 9), (4_000_000_000, "postgres_method", 7)))
+    assert sorted(r["stop"] for r in both.collect()) == [7, 8, 9, 10]
