@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -81,12 +82,15 @@ def join_fragments(parts: list[tuple[int, int, bytes, bool, bool]]) -> tuple[byt
         if stop > len(held):
             held.extend(bytes(stop - len(held)))
             have.extend(bytes(stop - len(have)))
+        if 1 not in have[offset:stop]:  # nothing seen here before, as is usual
+            held[offset:stop], have[offset:stop] = payload, b"\1" * len(payload)
+            continue
         for i, b in enumerate(payload, offset):
             if have[i] and held[i] != b:
                 return None, "fragment_conflicting_overlap"
             if not have[i]:
                 held[i], have[i] = b, 1
-    if end is None or len(held) > end or not all(have):
+    if end is None or len(held) > end or 0 in have:
         return None, "fragment_incomplete" if end is None or len(held) <= end else "fragment_conflicting_end"
     return bytes(held), None
 
@@ -148,7 +152,8 @@ class Direction:
         self.base: int | None = None  # unwrapped sequence number of stream offset 0
         self.reference = 0
         self.midstream = False
-        self.ranges: list[tuple[int, int, bytes, list[int], int]] = []  # start, stop, data, packets, time; disjoint
+        self.ranges: list[tuple[int, int, bytes, list[int], int]] = []  # start, stop, data, packets, time; disjoint and ascending
+        self.reached = 0  # where the bytes from offset 0 on are contiguous to
         self.repeated = self.conflicts = 0
         self.acked = -1  # how far the peer has acknowledged, as a stream offset
         self.fin = False
@@ -161,14 +166,11 @@ class Direction:
     def open(self, seq: int) -> None:
         self.base = self.reference = (1 << 32) + seq + 1
 
-    def reached(self) -> int:
-        """Where the bytes from offset 0 on are contiguous to."""
-        at = 0
-        for start, stop, *_ in self.ranges:
-            if start > at:
-                break
-            at = max(at, stop)
-        return at
+    def _advance(self) -> None:
+        n = bisect_left(self.ranges, self.reached, key=lambda r: r[0])
+        while n < len(self.ranges) and self.ranges[n][0] == self.reached:
+            self.reached = self.ranges[n][1]
+            n += 1
 
     def add(self, seq: int, data: bytes, packets: list[int], time: int) -> None:
         if self.base is None:
@@ -183,11 +185,14 @@ class Direction:
             return
         if not self.ranges or start >= self.ranges[-1][1]:  # in order, as most are
             self.ranges.append((start, start + len(data), data, packets, time))
+            if start == self.reached:
+                self.reached = start + len(data)
             return
         at, stop, fresh = start, start + len(data), []
-        for a, b, held, *_ in self.ranges:
-            if b <= at or a >= stop:
-                continue
+        first = bisect_right(self.ranges, start, key=lambda r: r[1])
+        last = bisect_left(self.ranges, stop, lo=first, key=lambda r: r[0])
+        met = self.ranges[first:last]
+        for a, b, held, *_ in met:
             if a > at:
                 fresh.append((at, a))
             lo, hi = max(a, at), min(b, stop)
@@ -196,8 +201,9 @@ class Direction:
             at = max(at, hi)
         if at < stop:
             fresh.append((at, stop))
-        self.ranges += [(a, b, data[a - start : b - start], packets, time) for a, b in fresh if a < b]
-        self.ranges.sort(key=lambda r: r[0])
+        new = [(a, b, data[a - start : b - start], packets, time) for a, b in fresh if a < b]
+        self.ranges[first:last] = sorted([*met, *new], key=lambda r: r[0])
+        self._advance()
 
     def runs(self) -> list[list[tuple[int, int, bytes, list[int], int]]]:
         """Maximal runs of contiguous ranges."""
@@ -244,7 +250,7 @@ def reassemble_flow(group: pd.DataFrame) -> list[dict]:
         if flags & ACK and peer.base is not None:
             peer.acked = max(peer.acked, peer.unwrap(int(r.tcp_ack)) - peer.base)
         probe = len(data) == 1 and flags & ACK and not flags & (SYN | FIN | RST) and side.base is not None
-        keep_alive = probe and side.unwrap(seq) - side.base == (reached := side.reached()) - 1 >= 0 and side.acked >= reached
+        keep_alive = probe and side.unwrap(seq) - side.base == side.reached - 1 >= 0 and side.acked >= side.reached
         if data and not keep_alive:
             side.add(seq, data, list(r.source_packet_ids), int(r.timestamp_ns))
         closed = closed or bool(flags & RST) or (bool(flags & FIN) and (side.fin or peer.fin))

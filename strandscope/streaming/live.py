@@ -117,13 +117,21 @@ def _emit(state: FlowState, d: int, fresh: list[tuple[int, bytes, list[int], int
 
 
 def advance(state: FlowState, rows: pd.DataFrame, settings: Settings) -> list[dict]:
-    """Chunks of the flow's new segments."""
+    """Chunks of the flow's new segments: one for each direction, unless a gap or a new connection parts them."""
     out: list[dict] = []
     counters: Counter = Counter()
+    fresh: tuple[list, list] = ([], [])
+
+    def flush(d: int) -> None:
+        out.extend(_emit(state, d, fresh[d], counters, settings.overlap_bytes))
+        fresh[d].clear()
+
     for r in rows.sort_values(["timestamp_ns", "packet_id"]).itertuples(index=False):
         d, flags, seq, data = int(r.direction), int(r.tcp_flags), int(r.tcp_seq), bytes(r.payload)
         state.last = max(state.last, int(r.timestamp_ns))
         if flags & packets.SYN and not flags & packets.ACK and (state.closed or (state.syn[d] is not None and state.syn[d] != seq) or (state.syn[d] is None and state.sides[d].base is not None)):
+            flush(0)
+            flush(1)
             out += finish(state, settings, counters)
             state.epoch += 1
             state.sides, state.syn, state.closed = [Side(), Side()], [None, None], False
@@ -147,14 +155,15 @@ def advance(state: FlowState, rows: pd.DataFrame, settings: Settings) -> list[di
                 if start < 0:
                     data, start = data[-start:], 0
                 side.waiting.append((start, data, [int(i) for i in r.source_packet_ids], int(r.timestamp_ns)))
-        fresh: list = []
-        _take(side, fresh, counters)
+        _take(side, fresh[d], counters)
         while side.waiting and (sum(len(w[1]) for w in side.waiting) > settings.max_pending_bytes or len(side.waiting) > settings.max_pending_segments):
+            flush(d)
             _skip(side, counters)
-            _take(side, fresh, counters)
-        out += _emit(state, d, fresh, counters, settings.overlap_bytes)
+            _take(side, fresh[d], counters)
         state.closed = state.closed or bool(flags & packets.RST) or (bool(flags & packets.FIN) and (side.fin or peer.fin))
         side.fin = side.fin or bool(flags & packets.FIN)
+    flush(0)
+    flush(1)
     if counters and out:
         out[-1]["counters"] = dict(Counter(out[-1]["counters"]) + counters)
     return out

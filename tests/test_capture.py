@@ -141,6 +141,47 @@ def test_fragments():
     assert packets.join_fragments([part(1, 8, b"x", False), part(2, 8, b"xy", False)])[1] == "fragment_conflicting_end"
 
 
+def test_fragments_in_any_order_and_repeated():
+    rng = random.Random(4)
+    for _ in range(100):
+        whole = bytes(rng.choices(b"ab", k=rng.randint(9, 90)))
+        edges = [0, *sorted(rng.sample(range(8, len(whole), 8), rng.randint(1, (len(whole) - 1) // 8))), len(whole)]
+        parts = [(a, whole[a:b], b < len(whole), False) for a, b in zip(edges, edges[1:], strict=False)]
+        parts += [(0, whole[:16], len(whole) > 16, False), rng.choice(parts)]
+        rng.shuffle(parts)
+        assert packets.join_fragments([(n, *p) for n, p in enumerate(parts)]) == (whole, None)
+
+
+def test_ranges_hold_the_first_bytes_of_each_place():
+    """Against a map from place to byte, whatever order ranges come in and however they overlap."""
+    rng = random.Random(5)
+    for _ in range(300):
+        side, first, repeated = packets.Direction(), {}, 0
+        side.open(99)
+        for n in range(rng.randint(1, 25)):
+            at, data = rng.randrange(60), bytes(rng.choices(b"ab", k=rng.randint(1, 12)))
+            repeated += sum(at + i in first for i in range(len(data)))
+            for i, b in enumerate(data, at):
+                first.setdefault(i, b)
+            side.add(100 + at, data, [n], n)
+            assert side.reached == next(i for i in range(100) if i not in first)
+        held = [(a + i, b) for a, _, data, *_ in side.ranges for i, b in enumerate(data)]
+        assert held == sorted(first.items()) and side.repeated == repeated
+
+
+def test_single_bytes_of_a_long_session_are_read_in_linear_time():
+    import time
+
+    import pandas as pd
+
+    n = 100_000
+    rows = pd.DataFrame({"direction": 0, "packet_id": range(n), "timestamp_ns": range(n), "sport": 1024, "dport": 23, "tcp_seq": range(1000, 1000 + n), "tcp_ack": 0, "tcp_flags": 0x18, "payload": [b"k"] * n, "source_packet_ids": [[i] for i in range(n)]})
+    began = time.monotonic()
+    (chunk,) = packets.reassemble_flow(rows)
+    assert chunk["data"] == b"k" * n and time.monotonic() - began < 30
+
+
+
 # --- streams -----------------------------------------------------------------
 
 

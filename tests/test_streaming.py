@@ -39,6 +39,14 @@ def test_every_way_of_cutting_into_batches_gives_the_stream():
         assert batch["data"] == data
 
 
+def test_a_trigger_gives_one_chunk_for_each_connection():
+    """However many segments it has, so that the bytes kept for detectors are written once."""
+    rows = rows_of([*stream(BASIC * 3, cuts=range(1, 150, 7)), *stream(FORM, cuts=[20], seq=70_000)])
+    out = live.advance(live.FlowState(), rows, Settings())
+    assert [(c["epoch"], c["fresh_start"], c["data"]) for c in out] == [(0, 0, BASIC * 3), (1, 0, FORM)]
+    assert [s["packet_ids"] for s in out[0]["spans"]] == [[n] for n in range(2, 25)]  # 22 cuts, after the SYN
+
+
 def test_bounds_force_gaps_that_are_counted():
     settings = Settings(max_pending_bytes=10)
     state = live.FlowState()
