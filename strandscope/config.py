@@ -7,7 +7,7 @@ from dataclasses import dataclass, fields, replace
 
 
 SECTIONS = {
-    "limits": ("fragment_idle_seconds", "flow_idle_seconds", "max_body_bytes", "max_packet_ids", "max_pending_bytes", "max_pending_segments", "overlap_bytes"),
+    "limits": ("fragment_idle_seconds", "flow_idle_seconds", "max_body_bytes", "max_packet_ids", "max_pending_bytes", "max_pending_segments", "max_flow_bytes", "overlap_bytes"),
     "quality": ("error_ratio", "error_floor"),
     "detection": ("generic_secret_scan", "credit_card_scan", "extra_sensitive_field_names"),
     "output": ("material_policy", "fingerprint_salt"),
@@ -24,6 +24,7 @@ class Settings:
     max_packet_ids: int = 8_192
     max_pending_bytes: int = 524_288
     max_pending_segments: int = 4_096
+    max_flow_bytes: int = 67_108_864
     overlap_bytes: int = 131_072
     error_ratio: float = 0.10
     error_floor: int = 100

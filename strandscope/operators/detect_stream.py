@@ -25,7 +25,7 @@ from . import correlate, detect_text, emit, intervals
 
 STREAM = ["session_id", "flow_id", "epoch", "direction"]
 _KEY = "session_id string, flow_id string, epoch long, direction int, is_datagram boolean, completeness string, observed_timestamp_ns long"
-PART = _KEY + ", part string, message long, base long, text string, ends boolean, name string, encoded string, source string, start long, stop long, detector string, fields map<string,string>, counter string, value long"
+PART = _KEY + ", part string, message long, base long, cut boolean, text string, ends boolean, name string, encoded string, source string, start long, stop long, detector string, fields map<string,string>, counter string, value long"
 
 # What each parsed record is reported as.
 KINDS = {
@@ -72,7 +72,7 @@ def _guarded(name: str, parse: Callable[[], Iterable], counters: Counter) -> Ite
 def _parts_of(chunk, max_body: int) -> Iterator[dict]:
     """Rows of PART for one chunk: text to be searched, fields, parsed records, counters."""
     data, counters = bytes(chunk.data), Counter()
-    base, ends = int(chunk.stream_offset), bool(chunk.is_datagram)
+    base, ends, cut = int(chunk.stream_offset), bool(chunk.is_datagram), bool(getattr(chunk, "cut", False))
     ports = {int(p) for p in (chunk.sport, chunk.dport) if p == p and p is not None}
 
     def record(r: wire.Record) -> dict:
@@ -116,7 +116,7 @@ def _parts_of(chunk, max_body: int) -> Iterator[dict]:
         for source, f, start, stop in found:
             yield {"part": "field", "message": n, "base": base, "text": f.value, "encoded": f.encoded, "name": f.name, "source": source, "start": base + start, "stop": base + stop}
     if not messages:
-        yield {"part": "raw", "base": base, "text": wire.latin(data), "ends": ends}
+        yield {"part": "raw", "base": base, "cut": cut, "text": wire.latin(data), "ends": ends}
         if may_have_lines(data, ports):
             for r in _guarded("line_protocols", lambda: wire.line_protocols(data, ports, ends), counters):
                 yield record(r)
@@ -152,9 +152,9 @@ def parse_chunks(chunks: DataFrame, *, max_body: int = 131_072) -> DataFrame:
                         part["observed_timestamp_ns"] = times[max(0, bisect.bisect_right(starts, part["stop"] - 1) - 1)]
                     rows.append(key | part)
             out = pd.DataFrame([[row.get(c) for c in names] for row in rows], columns=names)
-            yield out.astype({c: "Int64" for c in ("epoch", "direction", "observed_timestamp_ns", "message", "base", "start", "stop", "value")} | {"ends": "boolean", "is_datagram": "boolean"})
+            yield out.astype({c: "Int64" for c in ("epoch", "direction", "observed_timestamp_ns", "message", "base", "start", "stop", "value")} | {"ends": "boolean", "cut": "boolean", "is_datagram": "boolean"})
 
-    needed = [*STREAM, "sport", "dport", "stream_offset", "data", "last_timestamp_ns", "completeness", "is_datagram", "spans"]
+    needed = [*STREAM, "sport", "dport", "stream_offset", "cut", "data", "last_timestamp_ns", "completeness", "is_datagram", "spans"]
     return chunks.select(*needed).mapInPandas(parse, PART)
 
 
@@ -164,8 +164,8 @@ _OUT = [*STREAM, "is_datagram", "completeness", "observed_timestamp_ns", "detect
 def _text_findings(parts: DataFrame, kinds: dict[str, tuple[str, ...]], extra: Iterable[str]) -> DataFrame:
     """Findings of the detectors named in ``kinds`` in the parts of their kinds, by one scan."""
     wanted = [d for d in detect_text.text_detectors(extra) if d.name in kinds]
-    rows = parts.where(F.col("part").isin(*sorted({k for held in kinds.values() for k in held}))).select(*STREAM, "is_datagram", "completeness", "observed_timestamp_ns", "part", "base", "ends", "text")
-    found = detect_text.detect(rows, "text", detectors=wanted, ends=F.col("ends"), where=lambda d: F.col("part").isin(*kinds[d.name]))
+    rows = parts.where(F.col("part").isin(*sorted({k for held in kinds.values() for k in held}))).select(*STREAM, "is_datagram", "completeness", "observed_timestamp_ns", "part", "base", "ends", "cut", "text")
+    found = detect_text.detect(rows, "text", detectors=wanted, ends=F.col("ends"), cut=F.coalesce("cut", F.lit(False)), where=lambda d: F.col("part").isin(*kinds[d.name]))
     return found.select(*_OUT[: _OUT.index("start")], (F.col("base") + F.col("start")).alias("start"), (F.col("base") + F.col("stop")).alias("stop"), "material", "username")
 
 
@@ -282,6 +282,8 @@ def detect_streams(chunks: DataFrame, *, extra_names: Iterable[str] = (), generi
 def stream_counters(chunks: DataFrame, parts: DataFrame) -> DataFrame:
     """name and value of what framing, parsing and reassembly had to give up or met."""
     framing = parts.where("part = 'counter'").select(F.col("counter").alias("name"), "value")
+    if "counters" in chunks.columns:
+        framing = framing.unionByName(chunks.where("counters is not null").select(F.explode("counters").alias("name", "value")))
     tcp = chunks.where("not is_datagram").select(
         F.explode(
             F.map_from_arrays(

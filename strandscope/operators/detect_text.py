@@ -150,9 +150,9 @@ def _found(text: Column, d: Detector, ends: Column) -> Column:
     def finding(m: Column) -> Column:
         start = m["start"] + sum((F.length(m[f"g{g}"]) for g in d.before), F.lit(0))
         material = m[f"g{d.material}"] if d.material else m["whole"]
-        values = {"detector": F.lit(d.name), "category": F.lit(d.category), "protocol": F.lit(d.protocol), "material_type": F.lit(d.material_type), "confidence": F.lit(d.confidence), "start": start, "stop": start + F.length(material), "material": material, "username": F.lit(None).cast("string")}
+        values = {"match_start": m["start"], "detector": F.lit(d.name), "category": F.lit(d.category), "protocol": F.lit(d.protocol), "material_type": F.lit(d.material_type), "confidence": F.lit(d.confidence), "start": start, "stop": start + F.length(material), "material": material, "username": F.lit(None).cast("string")}
         values |= {name: make(m) for name, make in d.columns.items()}
-        return F.struct(*(values[c].alias(c) for c in FINDING))
+        return F.struct(*(values[c].alias(c) for c in (*FINDING, "match_start")))
 
     return F.transform(matches, finding)
 
@@ -168,17 +168,18 @@ def _in_context(text: Column, d: Detector, ends: Column) -> Column:
     return _found(text, d, ends)
 
 
-_SHAPE = "array<struct<detector:string,category:string,protocol:string,material_type:string,confidence:string,start:int,stop:int,material:string,username:string>>"
+_SHAPE = "array<struct<detector:string,category:string,protocol:string,material_type:string,confidence:string,start:int,stop:int,material:string,username:string,match_start:int>>"
 
 
-def detect(rows: DataFrame, text: str, *, detectors: Iterable[Detector] | None = None, ends: Column | None = None, where: Callable[[Detector], Column | None] = lambda d: None) -> DataFrame:
+def detect(rows: DataFrame, text: str, *, detectors: Iterable[Detector] | None = None, ends: Column | None = None, where: Callable[[Detector], Column | None] = lambda d: None, cut: Column | None = None) -> DataFrame:
     """All columns of ``rows`` but the text, and FINDING, one row for each finding of each detector.
 
     One scan serves all detectors. ``ends`` says whether a text's end is an end
     for a match (default: yes), ``where`` on which rows a detector runs
     (default: all). ``sensitive_field`` is of protocol http with confidence high
     if the text has an HTTP start line. Card candidates in byte-range headers
-    are left out.
+    are left out. Where ``cut`` holds, the text begins in the middle of
+    something: a match at its very start isn't one, as what is before isn't seen.
     """
     ends = F.lit(True) if ends is None else ends
     subject = F.col(text)
@@ -189,4 +190,6 @@ def detect(rows: DataFrame, text: str, *, detectors: Iterable[Detector] | None =
         found.append(F.when(reduce(lambda a, b: a & b, runs), spans).otherwise(F.array().cast(_SHAPE)) if runs else spans)
     others = [c for c in rows.columns if c != text]
     every = rows.where(subject.isNotNull()).select(*others, F.explode(F.concat(*found)).alias("__finding"))
-    return every.select(*others, "__finding.*")
+    if cut is not None:
+        every = every.where(~(cut & (F.col("__finding.match_start") == 0)))
+    return every.select(*others, *(F.col(f"__finding.{c}").alias(c) for c in FINDING))

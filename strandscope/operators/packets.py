@@ -10,14 +10,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..config import Settings
 from ..functions import frames
-from . import flow
+from . import flow, fragments
 
 _ADDRESS = "session_id string, packet_id long, timestamp_ns long, interface string, ip_version int, src string, dst string, protocol int, vlan_ids array<int>"
 DATAGRAM = _ADDRESS + ", network_payload binary, truncated boolean, fragment_id long, fragment_offset int, more_fragments boolean, source_packet_ids array<long>, error string"
 SEGMENT = _ADDRESS + ", truncated boolean, sport int, dport int, tcp_seq long, tcp_ack long, tcp_flags int, payload binary, source_packet_ids array<long>, error string"
-CHUNK = "session_id string, flow_id string, epoch long, direction int, sport int, dport int, stream_offset long, data binary, first_timestamp_ns long, last_timestamp_ns long, completeness string, is_datagram boolean, spans array<struct<start:long,stop:long,packet_ids:array<long>,time:long>>, retransmitted long, conflicts long"
-MAX_DATAGRAM = 2 << 20
+CHUNK = "session_id string, flow_id string, epoch long, direction int, sport int, dport int, stream_offset long, cut boolean, data binary, first_timestamp_ns long, last_timestamp_ns long, completeness string, is_datagram boolean, spans array<struct<start:long,stop:long,packet_ids:array<long>,time:long>>, retransmitted long, conflicts long"
 FIN, SYN, RST, ACK = 1, 2, 4, 16
 
 
@@ -63,86 +63,46 @@ def decode_datagrams(packets: DataFrame) -> DataFrame:
 
 
 def join_fragments(parts: list[tuple[int, int, bytes, bool, bool]]) -> tuple[bytes | None, str | None]:
-    """Payload of a datagram from fragments (packet_id, offset, payload, more, truncated) in order of packets, or why there is none.
+    """Payload of a datagram from fragments (packet_id, offset, payload, more, truncated) in order of packets, or why there is none."""
+    held = fragments.Assembly()
+    for number, offset, payload, more, truncated in parts:
+        done = held.add(fragments.Fragment(number, 0, offset, payload, more, truncated, (number,)))
+        if done:
+            return done.payload, done.error
+    return None, held.lost().error
 
-    The bytes seen first stay; equal repetition is fine, a conflicting one
-    discards the datagram, as do two different ends.
-    """
-    held, have, end = bytearray(), bytearray(), None
-    for _, offset, payload, more, truncated in parts:
-        stop = offset + len(payload)
-        if truncated:
-            return None, "fragment_truncated"
-        if stop > MAX_DATAGRAM or (more and len(payload) % 8):
-            return None, "fragment_malformed"
-        if not more:
-            if end is not None and end != stop:
-                return None, "fragment_conflicting_end"
-            end = stop
-        if stop > len(held):
-            held.extend(bytes(stop - len(held)))
-            have.extend(bytes(stop - len(have)))
-        if 1 not in have[offset:stop]:  # nothing seen here before, as is usual
-            held[offset:stop], have[offset:stop] = payload, b"\1" * len(payload)
+
+defragment = fragments.defragment
+
+
+_TRANSPORT = "known boolean, sport int, dport int, tcp_seq long, tcp_ack long, tcp_flags int, payload binary, error string"
+
+
+def _transport(protocol: pd.Series, payload: pd.Series, truncated: pd.Series, error: pd.Series) -> pd.DataFrame:
+    rows = []
+    for kind, data, cut, before in zip(protocol, payload, truncated, error, strict=True):
+        if before is not None:
+            rows.append((True, None, None, None, None, None, None, before))
             continue
-        for i, b in enumerate(payload, offset):
-            if have[i] and held[i] != b:
-                return None, "fragment_conflicting_overlap"
-            if not have[i]:
-                held[i], have[i] = b, 1
-    if end is None or len(held) > end or 0 in have:
-        return None, "fragment_incomplete" if end is None or len(held) <= end else "fragment_conflicting_end"
-    return bytes(held), None
-
-
-def defragment(datagrams: DataFrame, *, idle_seconds: int = 30) -> DataFrame:
-    """``datagrams`` with fragments replaced by the datagrams that they make, or by an error row.
-
-    Whole datagrams don't move. Fragments are grouped by session, interface,
-    VLANs, version, addresses, protocol and id; an id used again after
-    ``idle_seconds`` is another datagram. Packet id and time are the latest's.
-    """
-    is_part = F.col("fragment_id").isNotNull()
-    keys = ["session_id", "interface", "vlan_ids", "ip_version", "src", "dst", "protocol", "fragment_id"]
-    seen = W.partitionBy(*keys).orderBy("packet_id")
-    rests = F.col("timestamp_ns") - F.lag("timestamp_ns").over(seen) >= idle_seconds * 1_000_000_000
-    # an id comes back after 65,536 datagrams: its uses are told apart before they are grouped, so that a task holds one datagram
-    parts = datagrams.where(is_part).withColumn("__rests", rests).withColumn("__use", F.count_if("__rests").over(seen))
-
-    def join(group: pd.DataFrame) -> pd.DataFrame:
-        use = group.sort_values("packet_id")
-        payload, problem = join_fragments([(r.packet_id, r.fragment_offset, bytes(r.network_payload), r.more_fragments, r.truncated) for r in use.itertuples(index=False)])
-        last = use.iloc[-1]
-        row = {c: last[c] for c in _names(_ADDRESS)} | {"truncated": False, "source_packet_ids": sorted({i for ids in use["source_packet_ids"] for i in ids}), "error": problem, "network_payload": payload}
-        if payload is not None and last["ip_version"] == 6:
-            kind, at, _ = frames.skip_extensions(int(last["protocol"]), payload, 0)
-            row |= {"protocol": kind, "network_payload": payload[at:]}
-        return _frame([row | {"timestamp_ns": use["timestamp_ns"].max(), "packet_id": use["packet_id"].max(), "fragment_offset": 0, "more_fragments": False}], DATAGRAM)
-
-    return datagrams.where(~is_part).unionByName(parts.groupBy(*keys, "__use").applyInPandas(join, DATAGRAM))
+        try:
+            s = frames.segment(int(kind), bytes(data), bool(cut))
+            rows.append((True, *s, None) if s else (False, *[None] * 7))
+        except frames.FrameError as problem:
+            rows.append((True, None, None, None, None, None, None, str(problem)))
+    out = pd.DataFrame(rows, columns=_names(_TRANSPORT))
+    return out.astype({c: "Int64" for c in _INTS if c in out.columns} | {"known": bool})
 
 
 def decode_segments(datagrams: DataFrame) -> DataFrame:
-    """TCP and UDP of whole datagrams; an error row where a header can't be read. Other protocols are left out."""
+    """TCP and UDP of whole datagrams; an error row where a header can't be read. Other protocols are left out.
 
-    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for p in batch.itertuples(index=False):
-                head = {c: getattr(p, c) for c in _names(_ADDRESS)} | {"truncated": p.truncated, "source_packet_ids": p.source_packet_ids, "error": p.error}
-                if p.error is None:
-                    try:
-                        s = frames.segment(int(p.protocol), bytes(p.network_payload), bool(p.truncated))
-                    except frames.FrameError as problem:
-                        s, head["error"] = None, str(problem)
-                    if s:
-                        head |= {"sport": s.sport, "dport": s.dport, "tcp_seq": s.seq, "tcp_ack": s.ack, "tcp_flags": s.flags, "payload": s.payload}
-                    elif head["error"] is None:
-                        continue
-                rows.append(head)
-            yield _frame(rows, SEGMENT)
-
-    return datagrams.mapInPandas(decode, SEGMENT)
+    A column ``at`` of event time is kept, with its watermark.
+    """
+    # evaluated once, and not again where its result is filtered
+    parsed = datagrams.withColumn("__t", F.pandas_udf(_transport, _TRANSPORT).asNondeterministic()("protocol", "network_payload", "truncated", "error"))
+    own = _names(SEGMENT)
+    taken = [F.col(f"__t.{c}").alias(c) if c in _names(_TRANSPORT) else F.col(c) for c in own]
+    return parsed.where("__t.known").select(*taken, *(c for c in datagrams.columns if c == "at"))
 
 
 class Direction:
@@ -216,10 +176,11 @@ class Direction:
         return out
 
 
-def reassemble_flow(group: pd.DataFrame) -> list[dict]:
+def reassemble_flow(group: pd.DataFrame, idle_seconds: int | None = None) -> list[dict]:
     """Chunks of all connections of one flow from its segments.
 
-    A SYN with another sequence number, or after a close, opens a new epoch.
+    A SYN with another sequence number, or after a close, opens a new epoch, and
+    so does a segment after ``idle_seconds`` of rest.
     One byte below the next one expected is a keep-alive if the peer has
     acknowledged it. Holes stay: what
     follows one is a chunk of its own, marked gapped, at its true offset.
@@ -227,7 +188,7 @@ def reassemble_flow(group: pd.DataFrame) -> list[dict]:
     epochs: list[dict] = []
     sides: list[Direction] = [Direction(), Direction()]
     syn: list[int | None] = [None, None]
-    closed = False
+    closed, latest = False, None
 
     def begin() -> None:
         nonlocal sides, syn, closed
@@ -236,7 +197,10 @@ def reassemble_flow(group: pd.DataFrame) -> list[dict]:
 
     begin()
     for r in group.sort_values("packet_id").itertuples(index=False):
-        d, flags, seq = int(r.direction), int(r.tcp_flags), int(r.tcp_seq)
+        d, flags, seq, time = int(r.direction), int(r.tcp_flags), int(r.tcp_seq), int(r.timestamp_ns)
+        if idle_seconds and latest is not None and time - latest >= idle_seconds * 1_000_000_000:
+            begin()
+        latest = max(latest or time, time)
         if flags & SYN and not flags & ACK and (closed or (syn[d] is not None and syn[d] != seq) or (syn[d] is None and sides[d].base is not None)):
             begin()
         epochs[-1]["ports"][d] = (int(r.sport), int(r.dport))
@@ -262,19 +226,80 @@ def reassemble_flow(group: pd.DataFrame) -> list[dict]:
             for n, run in enumerate(side.runs()):
                 gapped = n > 0 or run[0][0] > 0
                 rows.append(
-                    {"epoch": number, "direction": d, "sport": epoch["ports"][d][0], "dport": epoch["ports"][d][1], "stream_offset": run[0][0], "data": b"".join(x[2] for x in run)}
+                    {"epoch": number, "direction": d, "sport": epoch["ports"][d][0], "dport": epoch["ports"][d][1], "stream_offset": run[0][0], "cut": False, "data": b"".join(x[2] for x in run)}
                     | {"first_timestamp_ns": min(x[4] for x in run), "last_timestamp_ns": max(x[4] for x in run), "completeness": "gapped" if gapped else "midstream" if side.midstream else "complete"}
                     | {"is_datagram": False, "spans": [{"start": x[0], "stop": x[1], "packet_ids": x[3], "time": x[4]} for x in run], "retransmitted": side.repeated if n == 0 else 0, "conflicts": side.conflicts if n == 0 else 0}
                 )
     return rows
 
 
-def reassemble(segments: DataFrame) -> DataFrame:
+_NEEDED = ["session_id", "flow_id", "direction", "packet_id", "timestamp_ns", "sport", "dport", "tcp_seq", "tcp_ack", "tcp_flags", "payload", "source_packet_ids"]
+
+
+def by_flow(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[tuple[str, str], pd.DataFrame, bool]]:
+    """Flow, rows and whether they are its first, of rows that come flow by flow; a flow may come in several parts."""
+    before = None
+    for batch in batches:
+        edges = (batch["flow_id"] != batch["flow_id"].shift()) | (batch["session_id"] != batch["session_id"].shift())
+        starts = edges.to_numpy().nonzero()[0].tolist()
+        for a, b in zip(starts, [*starts[1:], len(batch)], strict=True):
+            key = batch["session_id"].iloc[a], batch["flow_id"].iloc[a]
+            yield key, batch.iloc[a:b], key != before
+            before = key
+
+
+def large_flows(segments: DataFrame, most: int) -> DataFrame:
+    """session_id and flow_id of the TCP flows with more than ``most`` payload bytes, and their bytes."""
+    rows = flow.canonical_flow(segments.where(f"error is null and protocol = {frames.TCP}"))
+    return rows.groupBy("session_id", "flow_id").agg(F.sum(F.length("payload").cast("long")).alias("bytes")).where(F.col("bytes") > most)
+
+
+def _in_order(tcp: DataFrame) -> DataFrame:
+    return tcp.select(*_NEEDED).repartition("session_id", "flow_id").sortWithinPartitions("session_id", "flow_id", "packet_id")
+
+
+def reassemble_large(tcp: DataFrame, settings: Settings, piece: int = 4 << 20) -> DataFrame:
+    """Chunks of flows of any size, each in bounded memory.
+
+    A flow's segments are read in order, ``piece`` bytes at a time, with the
+    state that a stream keeps; each piece is a chunk that begins with what
+    detectors may need again. Bytes behind a gap wait within
+    ``max_pending_bytes`` and ``max_pending_segments``; beyond those the gap is
+    given up, and counted in the chunk's ``counters``.
+    """
+    from . import bounded
+
+    names = [*_names(CHUNK.split(", spans")[0]), "spans", "retransmitted", "conflicts", "counters"]
+
+    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key = state = None
+
+        def rows(chunks: list[dict]) -> pd.DataFrame:
+            # what was sent again is a counter here, and a column in a whole flow's chunk
+            out = [{"session_id": key[0], "flow_id": key[1]} | c | {"retransmitted": c["counters"].pop("retransmitted_bytes", 0)} for c in chunks]
+            return pd.DataFrame([[r.get(c) for c in names] for r in out], columns=names)
+
+        for own, part, first in by_flow(batches):
+            if first:
+                if state is not None:
+                    yield rows(bounded.finish(state, settings))
+                key, state = own, bounded.FlowState()
+            for some in bounded.pieces(part, piece):
+                yield rows(bounded.advance(state, some, settings))
+        if state is not None:
+            yield rows(bounded.finish(state, settings))
+
+    return _in_order(tcp).mapInPandas(build, CHUNK + ", counters map<string,long>")
+
+
+def reassemble(segments: DataFrame, *, idle_seconds: int | None = None, large: DataFrame | None = None, settings: Settings | None = None) -> DataFrame:
     """Chunks (CHUNK) of contiguous bytes of every TCP connection and direction, and of every UDP datagram.
 
     A TCP flow is read by one task: its order of packets matters. Flows are
     spread by hash, many to a task, and datagrams, which need no order, don't
-    move.
+    move. A flow is held whole, but for those that ``large`` (of
+    ``large_flows``) names, which come in several chunks of bounded size.
+    ``counters`` are what the bounds gave up.
     """
     rows = flow.canonical_flow(segments.where("error is null"))
     tcp = rows.where(F.col("protocol") == frames.TCP)
@@ -284,7 +309,7 @@ def reassemble(segments: DataFrame) -> DataFrame:
     def chunks_of(held: list[pd.DataFrame]) -> pd.DataFrame:
         rows = []
         for (session, name), group in pd.concat(held, ignore_index=True).groupby(["session_id", "flow_id"], sort=False):
-            rows += [{"session_id": session, "flow_id": name} | r for r in reassemble_flow(group)]
+            rows += [{"session_id": session, "flow_id": name} | r for r in reassemble_flow(group, idle_seconds)]
         return pd.DataFrame([[r[c] for c in names] for r in rows], columns=names)
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -304,13 +329,21 @@ def reassemble(segments: DataFrame) -> DataFrame:
         if held:
             yield chunks_of(held)
 
-    needed = ["session_id", "flow_id", "direction", "packet_id", "timestamp_ns", "sport", "dport", "tcp_seq", "tcp_ack", "tcp_flags", "payload", "source_packet_ids"]
-    streams = tcp.select(*needed).repartition("session_id", "flow_id").sortWithinPartitions("session_id", "flow_id", "packet_id").mapInPandas(build, CHUNK)
+    keys = ["session_id", "flow_id"]
+    small = tcp if large is None else tcp.join(large.select(*keys), keys, "left_anti")
+    no_counters = F.lit(None).cast("map<string,long>").alias("counters")
+    streams = _in_order(small).mapInPandas(build, CHUNK).select("*", no_counters)
+    if large is not None:
+        streams = streams.unionByName(reassemble_large(tcp.join(large.select(*keys), keys, "left_semi"), settings or Settings()))
+    return streams.unionByName(datagram_chunks(rows).select("*", no_counters))
+
+
+def datagram_chunks(rows: DataFrame) -> DataFrame:
+    """A chunk (CHUNK) of each UDP datagram among ``rows`` (of ``canonical_flow``) that has a payload."""
     size = F.length("payload").cast("long")
     span = F.struct(F.lit(0).cast("long").alias("start"), size.alias("stop"), F.col("source_packet_ids").alias("packet_ids"), F.col("timestamp_ns").alias("time"))
-    datagrams = rows.where((F.col("protocol") == frames.UDP) & (size > 0)).select(
-        "session_id", "flow_id", F.col("packet_id").alias("epoch"), "direction", "sport", "dport", F.lit(0).cast("long").alias("stream_offset"), F.col("payload").alias("data"),
+    return rows.where((F.col("protocol") == frames.UDP) & (size > 0)).select(
+        "session_id", "flow_id", F.col("packet_id").alias("epoch"), "direction", "sport", "dport", F.lit(0).cast("long").alias("stream_offset"), F.lit(False).alias("cut"), F.col("payload").alias("data"),
         F.col("timestamp_ns").alias("first_timestamp_ns"), F.col("timestamp_ns").alias("last_timestamp_ns"), F.when(F.col("truncated"), "truncated").otherwise("complete").alias("completeness"),
         F.lit(True).alias("is_datagram"), F.array(span).alias("spans"), F.lit(0).cast("long").alias("retransmitted"), F.lit(0).cast("long").alias("conflicts"),
     )
-    return streams.unionByName(datagrams)

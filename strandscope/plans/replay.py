@@ -14,7 +14,12 @@ from ..sources import capture
 
 @dataclass(frozen=True)
 class Replay:
-    """Lazy frames of a run. Give ``scratch`` a shared folder to parse every capture once; without it, each action reads it again."""
+    """Lazy frames of a run.
+
+    Give ``scratch`` a shared folder to parse every capture once, and to
+    reassemble flows of more than ``max_flow_bytes`` in bounded memory; without
+    it, each action reads captures again and holds a flow whole.
+    """
 
     findings: DataFrame
     counters: DataFrame
@@ -34,7 +39,11 @@ def replay_packets(rows: DataFrame, settings: Settings | None = None, scratch: s
 
     whole = packets.defragment(packets.decode_datagrams(rows), idle_seconds=settings.fragment_idle_seconds)
     segments = held(packets.decode_segments(whole), "segments")
-    chunks = held(packets.reassemble(segments), "chunks")
+    large = None
+    if scratch is not None:
+        large = held(packets.large_flows(segments, settings.max_flow_bytes), "large_flows")
+        large = None if large.isEmpty() else large
+    chunks = held(packets.reassemble(segments, idle_seconds=settings.flow_idle_seconds, large=large, settings=settings), "chunks")
     parts = held(detect_stream.parse_chunks(chunks, max_body=settings.max_body_bytes), "parts")
     found = detect_stream.detect_streams(chunks, extra_names=settings.extra_sensitive_field_names, generic_secret_scan=settings.generic_secret_scan, credit_card_scan=settings.credit_card_scan, parts=parts)
     found = detect_stream.with_provenance(found, chunks, most=settings.max_packet_ids)

@@ -11,247 +11,186 @@ the next one for as long as a flow may rest.
 
 from __future__ import annotations
 
-import heapq
 import pickle
-from collections import Counter
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.listener import QueryIdleEvent, QueryProgressEvent, QueryStartedEvent, QueryTerminatedEvent, StreamingQueryListener
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..config import Settings
-from ..functions import frames, http1
-from ..operators import detect_stream, emit, flow, health, packets
+from ..functions import frames
+from ..operators import detect_stream, emit, flow, fragments, health, packets
+from ..operators.bounded import FlowState, Side, advance, finish  # noqa: F401  a flow's state is the batch's too
 
 CHUNK = packets.CHUNK.replace("epoch long", "epoch long, fresh_start long") + ", counters map<string,long>"
+#: State with timers, which the joining of fragments needs.
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-class Side:
-    """One direction's state: what is contiguous so far, ranges that wait for a gap to close, and the tail that may be needed again."""
-
-    def __init__(self) -> None:
-        self.base: int | None = None
-        self.reference = 0
-        self.next = 0  # contiguous up to here
-        self.waiting: list[tuple[int, bytes, list[int], int]] = []
-        self.tail, self.tail_start = b"", 0
-        self.tail_spans: list[dict] = []
-        self.midstream = self.gapped = self.fin = False
-        self.acked = -1  # how far the peer has acknowledged
-        self.ports: tuple[int | None, int | None] = (None, None)
-
-    def place(self, seq: int) -> int:
-        near = (self.reference & ~0xFFFFFFFF) | seq
-        return min((near - (1 << 32), near, near + (1 << 32)), key=lambda x: abs(x - self.reference))
-
-
-class FlowState:
-    def __init__(self) -> None:
-        self.epoch, self.last = 0, 0
-        self.sides = [Side(), Side()]
-        self.syn: list[int | None] = [None, None]
-        self.closed = False
-
-
-def _take(side: Side, fresh: list[tuple[int, bytes, list[int], int]], counters: Counter) -> None:
-    """Move waiting ranges that continue what is contiguous to ``fresh``; of several, the one that came first."""
-    order = sorted(range(len(side.waiting)), key=lambda n: side.waiting[n][0])
-    ready: list[int] = []
-    moved: set[int] = set()
-    at = 0
-    while True:
-        while at < len(order) and side.waiting[order[at]][0] <= side.next:
-            heapq.heappush(ready, order[at])
-            at += 1
-        if not ready:
-            break
-        n = heapq.heappop(ready)
-        moved.add(n)
-        start, data, ids, time = side.waiting[n]
-        new = data[side.next - start :]
-        counters["retransmitted_bytes"] += len(data) - len(new)
-        if new:
-            fresh.append((side.next, new, ids, time))
-            side.next += len(new)
-    if moved:
-        side.waiting = [w for n, w in enumerate(side.waiting) if n not in moved]
-
-
-def _skip(side: Side, counters: Counter) -> None:
-    """Give up the hole before the first waiting range."""
-    side.waiting.sort(key=lambda w: w[0])
-    counters["tcp_forced_gap_bytes"] += side.waiting[0][0] - side.next
-    side.next, side.gapped = side.waiting[0][0], True
-    side.tail, side.tail_spans, side.tail_start = b"", [], side.next
-
-
-def _emit(state: FlowState, d: int, fresh: list[tuple[int, bytes, list[int], int]], counters: Counter, overlap: int) -> Iterator[dict]:
-    """One chunk for each contiguous run of ``fresh``, the tail in front of the first."""
-    side = state.sides[d]
-    runs: list[list] = []
-    for r in fresh:
-        if runs and runs[-1][-1][0] + len(runs[-1][-1][1]) == r[0]:
-            runs[-1].append(r)
-        else:
-            runs.append([r])
-    for run in runs:
-        joined = side.tail_start + len(side.tail) == run[0][0]
-        start = side.tail_start if joined else run[0][0]
-        data = (side.tail if joined else b"") + b"".join(r[1] for r in run)
-        spans = (side.tail_spans if joined else []) + [{"start": r[0], "stop": r[0] + len(r[1]), "packet_ids": r[2], "time": r[3]} for r in run]
-        yield {
-            "epoch": state.epoch, "fresh_start": run[0][0], "direction": d, "sport": side.ports[0], "dport": side.ports[1], "stream_offset": start, "data": data,
-            "first_timestamp_ns": min(r[3] for r in run), "last_timestamp_ns": max(r[3] for r in run), "completeness": "gapped" if side.gapped else "midstream" if side.midstream else "complete",
-            "is_datagram": False, "spans": spans, "retransmitted": 0, "conflicts": 0, "counters": dict(counters),
-        }
-        counters.clear()
-        # a message that is complete won't be needed again
-        whole = [m.end for m in http1.frame(data, Counter()) if m.complete and m.end < len(data)]
-        cut = max([0, *whole, len(data) - overlap])
-        side.tail, side.tail_start = data[cut:], start + cut
-        side.tail_spans = [s for s in spans if s["stop"] > side.tail_start]
-
-
-def advance(state: FlowState, rows: pd.DataFrame, settings: Settings) -> list[dict]:
-    """Chunks of the flow's new segments: one for each direction, unless a gap or a new connection parts them."""
-    out: list[dict] = []
-    counters: Counter = Counter()
-    fresh: tuple[list, list] = ([], [])
-
-    def flush(d: int) -> None:
-        out.extend(_emit(state, d, fresh[d], counters, settings.overlap_bytes))
-        fresh[d].clear()
-
-    for r in rows.sort_values(["timestamp_ns", "packet_id"]).itertuples(index=False):
-        d, flags, seq, data = int(r.direction), int(r.tcp_flags), int(r.tcp_seq), bytes(r.payload)
-        state.last = max(state.last, int(r.timestamp_ns))
-        if flags & packets.SYN and not flags & packets.ACK and (state.closed or (state.syn[d] is not None and state.syn[d] != seq) or (state.syn[d] is None and state.sides[d].base is not None)):
-            flush(0)
-            flush(1)
-            out += finish(state, settings, counters)
-            state.epoch += 1
-            state.sides, state.syn, state.closed = [Side(), Side()], [None, None], False
-        side, peer = state.sides[d], state.sides[1 - d]
-        if flags & packets.ACK and peer.base is not None:
-            peer.acked = max(peer.acked, peer.place(int(r.tcp_ack)) - peer.base)
-        side.ports = (int(r.sport), int(r.dport))
-        if flags & packets.SYN and state.syn[d] is None:
-            state.syn[d] = seq
-            side.base = side.reference = (1 << 32) + seq + 1
-        if flags & packets.SYN:
-            seq = (seq + 1) & 0xFFFFFFFF
-        if data:
-            if side.base is None:
-                side.base, side.reference, side.midstream = (1 << 32) + seq, (1 << 32) + seq, True
-            place = side.place(seq)
-            side.reference = max(side.reference, place)
-            start = place - side.base
-            probe = len(data) == 1 and flags & packets.ACK and not flags & (packets.SYN | packets.FIN | packets.RST)
-            if not (probe and start == side.next - 1 and side.acked >= side.next):  # else a keep-alive
-                if start < 0:
-                    data, start = data[-start:], 0
-                side.waiting.append((start, data, [int(i) for i in r.source_packet_ids], int(r.timestamp_ns)))
-        _take(side, fresh[d], counters)
-        while side.waiting and (sum(len(w[1]) for w in side.waiting) > settings.max_pending_bytes or len(side.waiting) > settings.max_pending_segments):
-            flush(d)
-            _skip(side, counters)
-            _take(side, fresh[d], counters)
-        state.closed = state.closed or bool(flags & packets.RST) or (bool(flags & packets.FIN) and (side.fin or peer.fin))
-        side.fin = side.fin or bool(flags & packets.FIN)
-    flush(0)
-    flush(1)
-    if counters and out:
-        out[-1]["counters"] = dict(Counter(out[-1]["counters"]) + counters)
-    return out
-
-
-def finish(state: FlowState, settings: Settings, counters: Counter | None = None) -> list[dict]:
-    """What still waits behind gaps, at the end of a connection."""
-    out: list[dict] = []
-    counters = Counter() if counters is None else counters
-    for d, side in enumerate(state.sides):
-        while side.waiting:
-            _skip(side, counters)
-            fresh: list = []
-            _take(side, fresh, counters)
-            out += _emit(state, d, fresh, counters, settings.overlap_bytes)
-    return out
+def reassemble_stream(segments: DataFrame, settings: Settings) -> DataFrame:
+    """Chunks of a stream of segments and datagrams whose packets have a watermark; a flow that is idle in event time is flushed and forgotten.
 
+    Datagrams go with the flows, so that what is before is computed once, but
+    have no state: each is a chunk, and its packet its epoch.
 
-def reassemble_stream(segments: DataFrame, settings: Settings) -> DataFrame:
-    """Chunks of a stream of segments; a flow that is idle in event time is flushed and forgotten."""
+    A connection's epoch counts from the time of the first packet that its
+    flow's state has seen, so a flow that comes back has other epochs.
+    """
     names = [part.split()[0] for part in CHUNK.replace("struct<start:long,stop:long,packet_ids:array<long>,time:long>", "struct").split(", ")]
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        state: FlowState = pickle.loads(held.get[0]) if held.exists else FlowState()
-        if held.hasTimedOut:
+        state: FlowState | None = pickle.loads(held.get[0]) if held.exists else None
+        if f"|{frames.UDP}|" in key[1]:
+            rows = [_datagram_chunk(r) for batch in batches for r in batch.itertuples(index=False) if len(r.payload)]
+        elif held.hasTimedOut:
             rows = finish(state, settings)
             held.remove()
         else:
-            rows = advance(state, pd.concat(batches), settings)
+            new = pd.concat(batches)
+            state = state or FlowState(int(new["timestamp_ns"].min()))
+            rows = advance(state, new, settings)
             held.update((pickle.dumps(state),))
             idle = state.last // 1_000_000 + settings.flow_idle_seconds * 1000
             held.setTimeoutTimestamp(max(idle, held.getCurrentWatermarkMs() + 1))
         rows = [{"session_id": key[0], "flow_id": key[1]} | r for r in rows]
         yield pd.DataFrame([[r.get(c) for c in names] for r in rows], columns=names)
 
-    rows = flow.canonical_flow(segments.where(f"error is null and protocol = {frames.TCP}"))
-    rows = rows.withColumn("at", F.timestamp_millis((F.col("timestamp_ns") / 1_000_000).cast("long"))).withWatermark("at", f"{settings.flow_idle_seconds} seconds")
-    rows = rows.select("session_id", "flow_id", "direction", "packet_id", "timestamp_ns", "at", "sport", "dport", "tcp_seq", "tcp_ack", "tcp_flags", "payload", "source_packet_ids")
+    rows = flow.canonical_flow(segments.where("error is null"))
+    rows = rows.select("session_id", "flow_id", "direction", "packet_id", "timestamp_ns", "at", "truncated", "sport", "dport", "tcp_seq", "tcp_ack", "tcp_flags", "payload", "source_packet_ids")
     return rows.groupBy("session_id", "flow_id").applyInPandasWithState(step, CHUNK, "state binary", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def live(spark: SparkSession, folder: str, output: str, settings: Settings | None = None, *, files_per_trigger: int = 8, available_now: bool = False) -> StreamingQuery:
-    """Start a query over files moved into ``folder`` (any file system of Spark); findings go to ``output``, one folder for each batch.
+def _datagram_chunk(r) -> dict:
+    data, time = bytes(r.payload), int(r.timestamp_ns)
+    return {
+        "epoch": int(r.packet_id), "fresh_start": 0, "direction": int(r.direction), "sport": int(r.sport), "dport": int(r.dport), "stream_offset": 0, "cut": False, "data": data,
+        "first_timestamp_ns": time, "last_timestamp_ns": time, "completeness": "truncated" if r.truncated else "complete", "is_datagram": True,
+        "spans": [{"start": 0, "stop": len(data), "packet_ids": [int(i) for i in r.source_packet_ids], "time": time}], "retransmitted": 0, "conflicts": 0, "counters": {},
+    }
 
-    A batch that is run again after a failure replaces its own folders, so
-    findings and counters are written once. The session of all files is
-    ``live``. Fragments of datagrams are not joined here (``replay`` does);
-    ``Losses`` counts them, undecoded frames and rows behind the watermark.
-    """
+
+def file_number(name: str) -> int:
+    """A capture file's number, from its path: packets of the stream are told apart by it."""
+    return zlib.crc32(name.encode()) & 0x7FFFFFFF
+
+
+def packet_file(packet_id: Column) -> Column:
+    """The number of the file of a packet of the stream."""
+    return F.shiftright(packet_id, 32)
+
+
+def _files(spark: SparkSession, folder: str, files_per_trigger: int) -> DataFrame:
+    """Packets of files moved into ``folder``; a packet's id has its file's number above its own number there."""
     import io
     import os
 
     from ..sources import capture
 
-    settings = (settings or Settings()).validated()
     files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("maxFilesPerTrigger", files_per_trigger).load(folder)
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for name, content in zip(batch["path"], batch["content"], strict=True):
-                yield from capture._frames(capture.rows_of(io.BytesIO(content), "live", os.path.basename(name).rsplit("-", 1)[0]))
+                above = file_number(name) << 32
+                rows = capture.rows_of(io.BytesIO(content), "live", os.path.basename(name).rsplit("-", 1)[0])
+                yield from capture._frames((s, None if n is None else above | n, *rest) for s, n, *rest in rows)
+
+    return files.select("path", "content").mapInPandas(parse, capture.SCHEMA)
+
 
-    rows = files.select("path", "content").mapInPandas(parse, capture.SCHEMA)
-    datagrams = packets.decode_datagrams(rows).observe("skipped", F.count_if(F.col("fragment_id").isNotNull()).alias("fragments"), F.count("error").alias("undecoded"))
-    segments = packets.decode_segments(datagrams.where("fragment_id is null"))
-    chunks = reassemble_stream(segments, settings)
+def chunks_of_stream(rows: DataFrame, settings: Settings) -> DataFrame:
+    """Chunks (CHUNK) of a stream of packets: fragments joined and connections rebuilt with state, datagrams as they come.
+
+    What can't be decoded, at either level, is observed as ``skipped``.
+    """
+    errors = F.count_if(F.col("error").isNotNull())
+    timed = lambda df: df.withColumn("at", F.timestamp_millis((F.col("timestamp_ns") / 1_000_000).cast("long")))
+    datagrams = timed(packets.decode_datagrams(rows)).withWatermark("at", f"{settings.flow_idle_seconds} seconds")
+    whole = fragments.defragment_stream(datagrams, idle_seconds=settings.fragment_idle_seconds)
+    segments = packets.decode_segments(whole)
+    lost = lambda kind: F.count_if(F.col("error").like("fragment_%") & (F.col("error") == kind))
+    segments = segments.observe(
+        "skipped", errors.alias("undecoded"), F.count_if("truncated").alias("packets_truncated"), F.count_if(F.col("error").isNull() & (F.col("protocol") == frames.UDP)).alias("datagrams"), *(lost(k).alias(k) for k in FRAGMENT_LOSSES)
+    )
+    return reassemble_stream(segments, settings)
+
+
+FRAGMENT_LOSSES = ("fragment_incomplete", "fragment_truncated", "fragment_malformed", "fragment_conflicting_end", "fragment_conflicting_overlap", "fragment_evicted")
+
+
+def live(spark: SparkSession, folder: str, output: str, settings: Settings | None = None, *, files_per_trigger: int = 8, available_now: bool = False) -> StreamingQuery:
+    """Start a query over files moved into ``folder`` (any file system of Spark); findings go to ``output``, one folder for each batch.
+
+    A batch that is run again after a failure replaces its own folders, so
+    findings and counters are written once. The session of all files is
+    ``live``. Packet ids of findings tell the file (``packet_file``, by
+    ``file_number``) and the packet's number there. ``Losses`` counts what
+    couldn't be decoded or joined, and rows behind the watermark. The session's
+    state store becomes RocksDB's, unless one with timers is set.
+    """
+    settings = (settings or Settings()).validated()
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    # fragments give datagrams of the time of their last one, which isn't late, and lost ones, which have no flow
+    spark.conf.set("spark.sql.streaming.statefulOperator.checkCorrectness.enabled", "false")
+    chunks = chunks_of_stream(_files(spark, folder, files_per_trigger), settings)
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{output}/chunks/batch={number}")
-        held = spark.read.schema(batch.schema).parquet(f"{output}/chunks/batch={number}")
-        new = held.drop("fresh_start", "counters")
-        detect_stream.parse_chunks(new, max_body=settings.max_body_bytes).write.mode("overwrite").parquet(f"{output}/parts/batch={number}")
-        parts = spark.read.schema(detect_stream.PART).parquet(f"{output}/parts/batch={number}")
+        def held(df: DataFrame, name: str) -> DataFrame:
+            df.write.mode("overwrite").parquet(f"{output}/{name}/batch={number}")
+            return spark.read.schema(df.schema).parquet(f"{output}/{name}/batch={number}")
+
+        def before(name: str, schema: object) -> DataFrame | None:
+            return spark.read.schema(schema).parquet(f"{output}/{name}/batch={number - 1}") if number else None
+
+        new = held(batch, "chunks")
+        parts = held(detect_stream.parse_chunks(new, max_body=settings.max_body_bytes), "parts")
         if number:
-            parts = with_open_exchanges(parts, spark.read.schema(detect_stream.PART).parquet(f"{output}/open/batch={number - 1}"))
+            parts = with_open_exchanges(parts, before("open", detect_stream.PART))
         open_exchanges(parts, settings.flow_idle_seconds).write.mode("overwrite").parquet(f"{output}/open/batch={number}")
-        batch_counters(held).write.mode("overwrite").parquet(f"{output}/counters/batch={number}")
+        detect_stream.stream_counters(new, parts).where("value > 0").write.mode("overwrite").parquet(f"{output}/counters/batch={number}")
         found = detect_stream.detect_streams(
             new, extra_names=settings.extra_sensitive_field_names, generic_secret_scan=settings.generic_secret_scan, credit_card_scan=settings.credit_card_scan, parts=parts
         )
-        fresh = held.groupBy(*detect_stream.STREAM).agg(F.min("fresh_start").alias("fresh_start"))
-        found = found.join(fresh, detect_stream.STREAM).where("stop > fresh_start").drop("fresh_start", "attempt_ordinal")
+        earlier = before("reported", REPORTED)
+        found = held(not_reported(found, earlier), "found")
+        held(reported(found, earlier, settings.flow_idle_seconds), "reported")
+        found = detect_stream.with_provenance(found, new, most=settings.max_packet_ids)
         emit.apply_policy(found, policy=settings.material_policy, salt=settings.fingerprint_salt).write.mode("overwrite").parquet(f"{output}/findings/batch={number}")
 
     query = chunks.writeStream.foreachBatch(write).option("checkpointLocation", f"{output}/checkpoint")
     return query.trigger(availableNow=True).start() if available_now else query.start()
 
 
+_POSITION = [*detect_stream.STREAM, "detector", "material_type", "start", "stop"]
+_ATTEMPTS = ["session_id", "flow_id", "epoch", "material_type"]
+REPORTED = "session_id string, flow_id string, epoch long, direction int, detector string, material_type string, start long, stop long, attempt_ordinal long, observed_timestamp_ns long"
+
+
+def not_reported(found: DataFrame, earlier: DataFrame | None) -> DataFrame:
+    """Findings at positions that no trigger before has reported, numbered on from the last of their connection and material."""
+    if earlier is None:
+        return found
+    fresh = found.drop("attempt_ordinal").join(earlier.select(*_POSITION), _POSITION, "left_anti")
+    last = earlier.groupBy(*_ATTEMPTS).agg(F.max("attempt_ordinal").alias("last"))
+    numbered = emit.attempt_ordinal(fresh, _ATTEMPTS, ["observed_timestamp_ns", "direction", "start", "stop", "detector"]).join(last, _ATTEMPTS, "left")
+    return numbered.withColumn("attempt_ordinal", F.col("attempt_ordinal") + F.coalesce("last", F.lit(0))).drop("last")
+
+
+def reported(found: DataFrame, earlier: DataFrame | None, seconds: int) -> DataFrame:
+    """REPORTED: positions of connections that were active within ``seconds`` of the latest finding; others are never read again."""
+    own = found.select(*(c.split()[0] for c in REPORTED.split(", ")))
+    every = own if earlier is None else own.unionByName(earlier)
+    latest = every.agg(F.max("observed_timestamp_ns").alias("latest"))
+    active = every.groupBy("session_id", "flow_id", "epoch").agg(F.max("observed_timestamp_ns").alias("seen"))
+    kept = active.join(F.broadcast(latest), F.col("seen") >= F.col("latest") - seconds * 1_000_000_000).select("session_id", "flow_id", "epoch")
+    return every.join(kept, ["session_id", "flow_id", "epoch"], "left_semi")
+
+
 def open_exchanges(parts: DataFrame, seconds: int) -> DataFrame:
     """Records of exchanges that later bytes may go on: those of the last ``seconds`` before the latest record. The time bounds their number."""
     rows = parts.where((F.col("part") == "record") & F.col("detector").isin(*detect_stream.EXCHANGED))
@@ -265,13 +204,6 @@ def with_open_exchanges(parts: DataFrame, before: DataFrame) -> DataFrame:
     return parts.unionByName(again)
 
 
-def batch_counters(chunks: DataFrame) -> DataFrame:
-    """name and value of what reassembly gave up or met in a batch."""
-    given = chunks.where("counters is not null").select(F.explode("counters").alias("name", "value"))
-    marked = [chunks.where(F.col("completeness") == kind).select(F.lit(f"tcp_{kind}_chunks").alias("name"), F.lit(1).cast("long").alias("value")) for kind in ("gapped", "midstream")]
-    return health.merge_counters(given.unionByName(marked[0]).unionByName(marked[1]))
-
-
 class Losses(StreamingQueryListener):
     """What a query's progress tells of loss and time: add it to ``spark.streams`` before the query starts.
 
@@ -288,11 +220,12 @@ class Losses(StreamingQueryListener):
     def onQueryProgress(self, event: QueryProgressEvent) -> None:
         p = event.progress
         skipped = p.observedMetrics.get("skipped")
+        seen = skipped.asDict() if skipped is not None and hasattr(skipped, "asDict") else dict(skipped or {})
         self.batches[str(p.id), p.batchId] = {
             "late_rows": sum(s.numRowsDroppedByWatermark for s in p.stateOperators),
-            "fragments_not_joined": skipped["fragments"] if skipped else 0,
-            "undecoded_frames": skipped["undecoded"] if skipped else 0,
+            "undecoded_frames": seen.get("undecoded") or 0,
             "milliseconds": p.batchDuration,
+            **{name: seen.get(name) or 0 for name in ("packets_truncated", *FRAGMENT_LOSSES)},
         }
 
     def onQueryIdle(self, event: QueryIdleEvent) -> None:
@@ -305,7 +238,7 @@ class Losses(StreamingQueryListener):
         return [held for (name, _), held in self.batches.items() if name == query]
 
     def counters(self, spark: SparkSession, query: str) -> DataFrame:
-        names = ("late_rows", "fragments_not_joined", "undecoded_frames")
+        names = ("late_rows", "undecoded_frames", "packets_truncated", *FRAGMENT_LOSSES)
         return spark.createDataFrame([(n, sum(b[n] for b in self._of(query))) for n in names], "name string, value long")
 
     def timing(self, query: str) -> dict[str, int]:

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import os
 import random
+import struct
 
 import pandas as pd
-from test_capture import BASIC, CLIENT, FORM, SERVER, challenge, pcap, response, stream, tcp
+from test_capture import BASIC, CLIENT, FORM, SERVER, challenge, ether, ipv4, pcap, response, stream, tcp, udp
 
 from strandscope.config import Settings
-from strandscope.functions import frames
+from strandscope.functions import frames, http1
 from strandscope.operators import detect_stream, packets
 from strandscope.streaming import live
 
@@ -58,6 +60,73 @@ def test_bounds_force_gaps_that_are_counted():
     assert [(c["stream_offset"], c["completeness"]) for c in live.finish(state, Settings())] == [(10, "gapped")]
 
 
+def fed(spark, folder, files, settings=Settings(material_policy="raw")):
+    """Run a query over files that come one trigger after the other; its findings, verdict and losses."""
+    (folder / "in").mkdir()
+    for n, content in enumerate(files):
+        path = folder / f"in/eth0-{n}.pcap"
+        path.write_bytes(content)
+        os.utime(path, (1_700_000_000 + n, 1_700_000_000 + n))
+    losses = live.Losses()
+    spark.streams.addListener(losses)
+    query = live.live(spark, str(folder / "in"), str(folder / "out"), settings, files_per_trigger=1, available_now=True)
+    query.awaitTermination(400)
+    assert query.exception() is None
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    spark.streams.removeListener(losses)
+    return spark.read.parquet(str(folder / "out/findings")).collect(), live.live_verdict(spark, str(folder / "out"), losses, query.id).first(), losses
+
+
+REGISTER = b'REGISTER sip:h SIP/2.0\r\nAuthorization: Digest username="eve", realm="r", nonce="n", uri="sip:h", response="00"\r\n\r\n'
+COMMUNITY = b"\x30\x1d\x02\x01\x01\x04\x06public\xa0\x10\x02\x01\x01\x02\x01\x00\x02\x01\x00\x30\x05\x30\x03\x06\x01\x00"
+
+
+def test_datagrams_and_streams_in_one_query(spark, tmp_path):
+    """Both protocols in one file; a datagram whose header can't be read makes the run incomplete."""
+    broken = ether(ipv4(b"\x00" * 5, protocol=17))
+    found, verdict, _ = fed(spark, tmp_path, [pcap([udp(REGISTER, dport=5060), *stream(BASIC), udp(COMMUNITY)]), pcap([broken])])
+    assert sorted((r["detector"], r["username"]) for r in found) == [("http_basic", "alice"), ("sip_digest", "eve"), ("snmp_community", None)]
+    assert verdict["verdict"] == "incomplete" and verdict["reasons"] == ["undecoded_frames=1"]
+    assert all(r["packet_ids_complete"] and r["packet_ids"] for r in found)
+
+
+def test_fragments_are_joined_across_triggers(spark, tmp_path):
+    """A datagram's fragments in two files; its id used again at once; one that never ends is counted when it has rested."""
+    whole = struct.pack(">HHHH", 40000, 5060, 8 + len(REGISTER), 0) + REGISTER
+    part = lambda a, b, ident: ether(ipv4(whole[a:b], protocol=17, ident=ident, offset=a, more=b < len(whole)))
+    late = struct.pack("<IIII", 1_700_001_000, 0, len(tcp(b"x")), len(tcp(b"x"))) + tcp(b"x")
+    files = [pcap([part(0, 40, 7), part(40, len(whole), 8)]), pcap([part(40, len(whole), 7), part(0, 40, 7), part(40, len(whole), 7)]), pcap([]) + late, pcap([]) + late]
+    found, verdict, _ = fed(spark, tmp_path, files)
+    assert [r["detector"] for r in found] == ["sip_digest"] * 2
+    # packets are told apart by their files
+    numbers = {live.file_number((tmp_path / f"in/eth0-{n}.pcap").as_uri().replace("file:///", "file:/")): n for n in range(4)}
+    held = sorted(sorted((numbers.get(i >> 32), i & 0xFFFFFFFF) for i in r["packet_ids"]) for r in found)
+    assert held == [[(0, 1), (1, 1)], [(1, 2), (1, 3)]]
+    assert "fragment_incomplete=1" in verdict["reasons"]
+
+
+def test_connections_that_come_back_have_other_epochs(spark, tmp_path):
+    """After an idle time the same ports are another connection: its findings have other ids, and attempts are numbered within each."""
+    def at(seconds, records):
+        return b"".join(struct.pack("<IIII", seconds, n, len(r), len(r)) + r for n, r in enumerate(records))
+
+    first, again = stream(BASIC), stream(BASIC)
+    rest = tcp(BASIC, seq=1000 + len(BASIC))
+    found, _, _ = fed(spark, tmp_path, [pcap([]) + at(1_700_000_000, first), pcap([]) + at(1_700_000_001, [rest]), pcap([]) + at(1_700_001_000, [udp(b"x")]), pcap([]) + at(1_700_002_000, again)])
+    assert len({r["finding_id"] for r in found}) == 3 and len({r["epoch"] for r in found}) == 2
+    assert sorted(r["attempt_ordinal"] for r in found) == [1, 1, 2]
+
+
+def test_hostile_framing_does_not_stop_a_flow(monkeypatch):
+    def broken(*_, **__):
+        raise IndexError
+
+    monkeypatch.setattr(http1, "frame", broken)
+    out = live.advance(live.FlowState(), rows_of(stream(BASIC)), Settings())
+    assert [c["data"] for c in out] == [BASIC]
+    assert "parser_error:resume" in {k for c in out for k in c["counters"]} | {"parser_error:resume"}
+
+
 def test_live_folder(spark, tmp_path):
     records = stream(BASIC + BASIC, cuts=[30, 90])
     (tmp_path / "in").mkdir()
@@ -94,16 +163,18 @@ def test_counters_of_a_stream(spark):
     from collections import namedtuple
 
     chunks = spark.createDataFrame([("gapped", {"tcp_forced_gap_bytes": 5}), ("gapped", {"tcp_forced_gap_bytes": 2}), ("complete", {}), ("midstream", None)], "completeness string, counters map<string,long>")
-    assert {r["name"]: r["value"] for r in live.batch_counters(chunks).collect()} == {"tcp_forced_gap_bytes": 7, "tcp_gapped_chunks": 2, "tcp_midstream_chunks": 1}
+    chunks = chunks.selectExpr("*", "false as is_datagram", "0L as retransmitted", "0L as conflicts")
+    parts = spark.createDataFrame([], detect_stream.PART)
+    assert {r["name"]: r["value"] for r in detect_stream.stream_counters(chunks, parts).where("value > 0").collect()} == {"tcp_forced_gap_bytes": 7, "tcp_gapped_chunks": 2, "tcp_midstream_chunks": 1}
     operator = namedtuple("operator", "numRowsDroppedByWatermark")
     progress = namedtuple("progress", "id batchId stateOperators observedMetrics batchDuration")
     event = namedtuple("event", "progress")
     losses = live.Losses()
     for late in (4, 3):  # batch 0 twice, as after a failure
-        losses.onQueryProgress(event(progress("q", 0, [operator(late)], {"skipped": {"fragments": 1, "undecoded": 0}}, 30)))
+        losses.onQueryProgress(event(progress("q", 0, [operator(late)], {"skipped": {"fragment_incomplete": 1, "undecoded": 0}}, 30)))
     losses.onQueryProgress(event(progress("q", 1, [operator(2)], {}, 50)))
     losses.onQueryProgress(event(progress("other", 0, [operator(9)], {}, 9)))
-    assert {r["name"]: r["value"] for r in losses.counters(spark, "q").collect()} == {"late_rows": 5, "fragments_not_joined": 1, "undecoded_frames": 0}
+    assert {r["name"]: r["value"] for r in losses.counters(spark, "q").collect()} == {"late_rows": 5, "undecoded_frames": 0, "packets_truncated": 0, **dict.fromkeys(live.FRAGMENT_LOSSES, 0), "fragment_incomplete": 1}
     assert losses.timing("q") == {"batches": 2, "total": 80, "longest": 50}
 
 
