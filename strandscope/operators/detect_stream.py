@@ -165,7 +165,7 @@ def _text_findings(parts: DataFrame, kinds: dict[str, tuple[str, ...]], extra: I
     """Findings of the detectors named in ``kinds`` in the parts of their kinds, by one scan."""
     wanted = [d for d in detect_text.text_detectors(extra) if d.name in kinds]
     rows = parts.where(F.col("part").isin(*sorted({k for held in kinds.values() for k in held}))).select(*STREAM, "is_datagram", "completeness", "observed_timestamp_ns", "part", "base", "ends", "cut", "text")
-    found = detect_text.detect(rows, "text", detectors=wanted, ends=F.col("ends"), cut=F.coalesce("cut", F.lit(False)), where=lambda d: F.col("part").isin(*kinds[d.name]))
+    found = detect_text.detect(rows, "text", detectors=wanted, ends="ends", cut=F.coalesce("cut", F.lit(False)), where=lambda d: F.col("part").isin(*kinds[d.name]))
     return found.select(*_OUT[: _OUT.index("start")], (F.col("base") + F.col("start")).alias("start"), (F.col("base") + F.col("stop")).alias("stop"), "material", "username")
 
 

@@ -8,6 +8,7 @@ ends, a stream's end ends nothing.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field, replace
 from functools import reduce
@@ -61,7 +62,8 @@ class Detector:
     material: int = 0
     before: tuple[int, ...] = ()
     more: tuple[int, ...] = ()
-    gate: str = ""
+    literals: tuple[str, ...] = ()  # a text without any of them has no match, which a scan of its bytes tells
+    gate: str = ""  # what every text with a match has, by a pattern, which costs a hundred times as much
     unless: str = ""  # texts in which this occurs are another detector's
     accept: Callable[[Column], Column] | None = None
     columns: dict[str, Callable[[Column], Column]] = field(default_factory=dict)
@@ -102,29 +104,31 @@ def _cookie_session(m: Column) -> Column:
     return F.exists(names, lambda n: n.isin(*SESSION_COOKIES) | n.endswith("sessiontoken"))
 
 
-def _token(name: str, material_type: str, pattern: str, gate: str) -> Detector:
-    return Detector(name, "secret", "generic", material_type, "high", pattern, gate=gate)
+def _token(name: str, material_type: str, pattern: str, gate: str, literals: tuple[str, ...]) -> Detector:
+    return Detector(name, "secret", "generic", material_type, "high", pattern, literals=literals, gate=gate)
 
 
 def text_detectors(extra_names: Iterable[str] = ()) -> tuple[Detector, ...]:
     """The detectors of headers, tokens, keys, assignments, fields and cards."""
     names = sorted({n.lower() for n in (*roles.SENSITIVE_NAMES, *extra_names)})
-    named = "(?i)(?:" + "|".join(n.replace("-", "[-]") for n in names) + ")"
+    # what the two grammars of names and values need around a sensitive name: few texts have it, and only they are searched
+    named = "(?:" + "|".join(re.escape(n) for n in sorted(names, key=len, reverse=True)) + ")"
+    assigned, paired = rf"""(?i)(?:^|[\s{{,;])["']?{named}["']?\s*[:=]""", rf"(?i)(?:^|[?&;\s]){named}="
     return (
-        Detector("http_basic", "credential", "http", "http_basic_credentials", "confirmed", AUTH + r"Basic[ \t]+)([A-Za-z0-9+/=_-]{4,})[ \t]*\r?\n", 2, (1,), gate="(?i)authorization", accept=lambda m: F.contains(_credentials(m), F.lit(":")), columns={"material": _credentials, "username": lambda m: F.substring_index(_credentials(m), ":", 1)}, own_end=True),
-        Detector("http_bearer", "credential", "http", "bearer_token", "confirmed", AUTH + r"Bearer[ \t]+)([^\s,]{1,8192})[ \t]*\r?\n", 2, (1,), gate="(?i)authorization", own_end=True),
-        Detector("http_digest", "credential", "http", "http_digest_response", "confirmed", AUTH + r"Digest[ \t]+)([^\r\n]{8,8192})\r?\n", 2, (1,), gate="(?i)authorization", unless="SIP/2\\.0", accept=_digest_needs("username", "realm", "nonce", "uri", "response"), columns={"username": lambda m: F.regexp_extract(m["g2"], r'(?i)(?:^|[\s,])username\s*=\s*"([^"]*)"', 1)}, own_end=True),
-        Detector("sip_digest", "credential", "sip", "sip_digest_response", "confirmed", AUTH + r"Digest[ \t]+)([^\r\n]{8,8192})\r?\n", 2, (1,), gate="SIP/2\\.0", accept=_digest_needs("username", "realm", "nonce", "uri", "response"), columns={"username": lambda m: F.regexp_extract(m["g2"], r'(?i)(?:^|[\s,])username\s*=\s*"([^"]*)"', 1)}, own_end=True),
-        Detector("http_cookie", "cookie", "http", "cookie", "medium", r"(?mid)^((Cookie|Set-Cookie)[ \t]*:[ \t]*)([^\r\n]{1,16384})\r?\n", 3, (1,), (2,), gate="(?i)cookie", columns={"category": lambda m: F.when(_cookie_session(F.struct(m["g3"].alias("g2"))), "session").otherwise("cookie"), "material_type": lambda m: F.when(F.lower(m["g2"]) == "set-cookie", "set_cookie").otherwise("cookie")}, own_end=True),
-        Detector("jwt", "secret", "generic", "jwt", "high", TOKEN_PARTS, more=(1, 2, 3), gate="(?i)eyJ", accept=lambda m: _jwt_kind(m).isNotNull(), columns={"confidence": lambda m: F.when(_jwt_kind(m) == "unsigned", "medium").otherwise("high")}),
-        _token("aws_access_key", "cloud_access_key_id", AWS_KEY, "A[KSIRN][IPVDOC]A"),
-        _token("google_api_key", "cloud_api_key", GOOGLE_KEY, "AIza"),
-        _token("github_token", "source_control_token", GITHUB_TOKEN, "gh[pousr]_|github_pat_"),
-        _token("slack_token", "chat_token", SLACK_TOKEN, "xox"),
-        _token("stripe_secret", "payment_api_secret", STRIPE_KEY, "sk_"),
-        Detector("generic_secret_assignment", "secret", "generic", "named_secret", "medium", ASSIGNMENT, 4, (1, 2, 3), gate=named, accept=lambda m: F.lower(m["g2"]).isin(names) & ~((F.lower(m["g2"]) == "authorization") & F.lower(m["g4"]).isin(*SCHEMES)), own_end=True),
-        Detector("sensitive_field", "credential", "generic", "sensitive_field", "medium", PAIR, 3, (1,), (2,), gate=named + "=", accept=lambda m: F.lower(m["g2"]).isin(names), columns={"material": lambda m: T.url_decoded(m["g3"])}, own_end=True),
-        Detector("pem_private_key", "secret", "generic", "private_key", "confirmed", PEM, gate="-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY-----", own_end=True),
+        Detector("http_basic", "credential", "http", "http_basic_credentials", "confirmed", AUTH + r"Basic[ \t]+)([A-Za-z0-9+/=_-]{4,})[ \t]*\r?\n", 2, (1,), literals=(":",), gate="(?i)authorization", accept=lambda m: F.contains(_credentials(m), F.lit(":")), columns={"material": _credentials, "username": lambda m: F.substring_index(_credentials(m), ":", 1)}, own_end=True),
+        Detector("http_bearer", "credential", "http", "bearer_token", "confirmed", AUTH + r"Bearer[ \t]+)([^\s,]{1,8192})[ \t]*\r?\n", 2, (1,), literals=(":",), gate="(?i)authorization", own_end=True),
+        Detector("http_digest", "credential", "http", "http_digest_response", "confirmed", AUTH + r"Digest[ \t]+)([^\r\n]{8,8192})\r?\n", 2, (1,), literals=(":",), gate="(?i)authorization", unless="SIP/2\\.0", accept=_digest_needs("username", "realm", "nonce", "uri", "response"), columns={"username": lambda m: F.regexp_extract(m["g2"], r'(?i)(?:^|[\s,])username\s*=\s*"([^"]*)"', 1)}, own_end=True),
+        Detector("sip_digest", "credential", "sip", "sip_digest_response", "confirmed", AUTH + r"Digest[ \t]+)([^\r\n]{8,8192})\r?\n", 2, (1,), literals=("SIP/2.0",), gate="SIP/2\\.0", accept=_digest_needs("username", "realm", "nonce", "uri", "response"), columns={"username": lambda m: F.regexp_extract(m["g2"], r'(?i)(?:^|[\s,])username\s*=\s*"([^"]*)"', 1)}, own_end=True),
+        Detector("http_cookie", "cookie", "http", "cookie", "medium", r"(?mid)^((Cookie|Set-Cookie)[ \t]*:[ \t]*)([^\r\n]{1,16384})\r?\n", 3, (1,), (2,), literals=(":",), gate="(?i)cookie", columns={"category": lambda m: F.when(_cookie_session(F.struct(m["g3"].alias("g2"))), "session").otherwise("cookie"), "material_type": lambda m: F.when(F.lower(m["g2"]) == "set-cookie", "set_cookie").otherwise("cookie")}, own_end=True),
+        Detector("jwt", "secret", "generic", "jwt", "high", TOKEN_PARTS, more=(1, 2, 3), literals=(".",), gate="(?i)eyJ", accept=lambda m: _jwt_kind(m).isNotNull(), columns={"confidence": lambda m: F.when(_jwt_kind(m) == "unsigned", "medium").otherwise("high")}),
+        _token("aws_access_key", "cloud_access_key_id", AWS_KEY, "A[KSIRN][IPVDOC]A", ("AKIA", "ASIA", "AIDA", "AROA", "AIPA", "ANPA", "ANVA", "ASCA")),
+        _token("google_api_key", "cloud_api_key", GOOGLE_KEY, "AIza", ("AIza",)),
+        _token("github_token", "source_control_token", GITHUB_TOKEN, "gh[pousr]_|github_pat_", ("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_")),
+        _token("slack_token", "chat_token", SLACK_TOKEN, "xox", ("xox",)),
+        _token("stripe_secret", "payment_api_secret", STRIPE_KEY, "sk_", ("sk_",)),
+        Detector("generic_secret_assignment", "secret", "generic", "named_secret", "medium", ASSIGNMENT, 4, (1, 2, 3), literals=("=", ":"), gate=assigned, accept=lambda m: F.lower(m["g2"]).isin(names) & ~((F.lower(m["g2"]) == "authorization") & F.lower(m["g4"]).isin(*SCHEMES)), own_end=True),
+        Detector("sensitive_field", "credential", "generic", "sensitive_field", "medium", PAIR, 3, (1,), (2,), literals=("=",), gate=paired, accept=lambda m: F.lower(m["g2"]).isin(names), columns={"material": lambda m: T.url_decoded(m["g3"])}, own_end=True),
+        Detector("pem_private_key", "secret", "generic", "private_key", "confirmed", PEM, literals=("PRIVATE KEY-----",), gate="-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY-----", own_end=True),
         Detector("luhn_payment_card", "financial", "generic", "payment_card_candidate", "medium", CARD, gate="[0-9](?:[ -]?[0-9]){12}", accept=_card, columns={"material": lambda m: F.regexp_replace(m["whole"], "[ -]", "")}),
     )
 
@@ -171,22 +175,35 @@ def _in_context(text: Column, d: Detector, ends: Column) -> Column:
 _SHAPE = "array<struct<detector:string,category:string,protocol:string,material_type:string,confidence:string,start:int,stop:int,material:string,username:string,match_start:int>>"
 
 
-def detect(rows: DataFrame, text: str, *, detectors: Iterable[Detector] | None = None, ends: Column | None = None, where: Callable[[Detector], Column | None] = lambda d: None, cut: Column | None = None) -> DataFrame:
+#: Expressions by what they are built of. An expression names columns, so it serves any frame that has them.
+_EXPRESSIONS: dict[tuple, Column] = {}
+
+
+def _built(d: Detector, text: str, ends: str | None) -> Column:
+    """A detector's expression on the column ``text``: thousands of calls to the JVM, made once for each detector of a process."""
+    from pyspark import SparkContext
+
+    key = id(SparkContext._gateway), d.name, d.pattern, d.gate, text, ends
+    if key not in _EXPRESSIONS:
+        _EXPRESSIONS[key] = _in_context(F.col(text), d, F.lit(True) if ends is None else F.col(ends)).cast(_SHAPE)
+    return _EXPRESSIONS[key]
+
+
+def detect(rows: DataFrame, text: str, *, detectors: Iterable[Detector] | None = None, ends: Column | str | None = None, where: Callable[[Detector], Column | None] = lambda d: None, cut: Column | None = None) -> DataFrame:
     """All columns of ``rows`` but the text, and FINDING, one row for each finding of each detector.
 
-    One scan serves all detectors. ``ends`` says whether a text's end is an end
+    One scan serves all detectors. ``ends`` is, or names, a column that says whether a text's end is an end
     for a match (default: yes), ``where`` on which rows a detector runs
     (default: all). ``sensitive_field`` is of protocol http with confidence high
     if the text has an HTTP start line. Card candidates in byte-range headers
     are left out. Where ``cut`` holds, the text begins in the middle of
     something: a match at its very start isn't one, as what is before isn't seen.
     """
-    ends = F.lit(True) if ends is None else ends
     subject = F.col(text)
     found = []
     for d in tuple(text_detectors() if detectors is None else detectors):
-        runs = [c for c in (where(d), subject.rlike(d.gate) if d.gate else None, ~subject.rlike(d.unless) if d.unless else None, F.col("is_datagram") if d.datagram_only else None) if c is not None]
-        spans = _in_context(subject, d, ends).cast(_SHAPE)
+        runs = [c for c in (where(d), reduce(lambda a, b: a | b, (subject.contains(x) for x in d.literals)) if d.literals else None, subject.rlike(d.gate) if d.gate else None, ~subject.rlike(d.unless) if d.unless else None, F.col("is_datagram") if d.datagram_only else None) if c is not None]
+        spans = _in_context(subject, d, ends).cast(_SHAPE) if isinstance(ends, Column) else _built(d, text, ends)
         found.append(F.when(reduce(lambda a, b: a & b, runs), spans).otherwise(F.array().cast(_SHAPE)) if runs else spans)
     others = [c for c in rows.columns if c != text]
     every = rows.where(subject.isNotNull()).select(*others, F.explode(F.concat(*found)).alias("__finding"))
