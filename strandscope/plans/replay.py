@@ -28,7 +28,8 @@ class Replay:
     reasons: DataFrame
 
 
-def replay_packets(rows: DataFrame, settings: Settings | None = None, scratch: str | None = None) -> Replay:
+def replay_packets(rows: DataFrame, settings: Settings | None = None, scratch: str | None = None, statistics: DataFrame | None = None) -> Replay:
+    """``statistics`` are of ``capture.interface_statistics``: packets that the capture dropped make the run incomplete."""
     settings = (settings or Settings()).validated()
 
     def held(df: DataFrame, name: str) -> DataFrame:
@@ -51,6 +52,8 @@ def replay_packets(rows: DataFrame, settings: Settings | None = None, scratch: s
     errors = segments.where("error is not null").groupBy(F.concat(F.lit("decode_"), F.col("error")).alias("name")).agg(F.count("*").alias("value"))
     cut = segments.where("truncated").agg(F.count("*").alias("value")).select(F.lit("packets_truncated").alias("name"), "value")
     counters = errors.unionByName(cut).unionByName(detect_stream.stream_counters(chunks, parts)).unionByName(detect_stream.unmatched_responses(parts))
+    if statistics is not None:
+        counters = counters.unionByName(statistics.agg(F.sum("dropped").alias("value")).select(F.lit("capture_dropped_packets").alias("name"), "value"))
     counters = health.merge_counters(counters).where("value > 0")
     failing = health.error_gate(segments, ["session_id"], F.col("error").isNotNull(), least=settings.error_floor, ratio=settings.error_ratio)
     reasons = failing.select(F.concat(F.lit("decode_errors:"), F.col("session_id")).alias("reason"))
@@ -59,4 +62,4 @@ def replay_packets(rows: DataFrame, settings: Settings | None = None, scratch: s
 
 def replay(spark: SparkSession, path: str, settings: Settings | None = None, scratch: str | None = None, kept: capture.CaptureFilter = capture.ALL) -> Replay:
     """``path`` names capture files on any file system that Spark reads."""
-    return replay_packets(capture.read_captures(spark, path, kept), settings, scratch)
+    return replay_packets(capture.read_captures(spark, path, kept), settings, scratch, capture.interface_statistics(spark, path))
