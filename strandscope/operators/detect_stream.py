@@ -12,6 +12,7 @@ import bisect
 import re
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
+from dataclasses import replace
 from functools import reduce
 
 import pandas as pd
@@ -52,6 +53,7 @@ CARD_DETECTORS = ("luhn_payment_card",)
 #: Every line that a line protocol reports has one of these words; on mail ports, lines of NTLM have none.
 LINE_WORDS = re.compile(rb"(?i)user|pass|nick|log[io]n|auth")
 MAIL_PORTS = {25, 110, 143, 587}
+SIP_PORT = 5060
 #: Records that belong to exchanges which later bytes may go on.
 EXCHANGED = ("ntlm_type2_challenge", "ntlm_type3_response", "postgres_method")
 
@@ -116,7 +118,9 @@ def _parts_of(chunk, max_body: int) -> Iterator[dict]:
         for source, f, start, stop in found:
             yield {"part": "field", "message": n, "base": base, "text": f.value, "encoded": f.encoded, "name": f.name, "source": source, "start": base + start, "stop": base + stop}
     if not messages:
-        yield {"part": "raw", "base": base, "cut": cut, "text": wire.latin(data), "ends": ends}
+        if data.startswith(http1.PREFACE_2):
+            counters["http_transfer_http2_unsupported"] += 1
+        yield {"part": "raw_sip" if SIP_PORT in ports else "raw", "base": base, "cut": cut, "text": wire.latin(data), "ends": ends}
         if may_have_lines(data, ports):
             for r in _guarded("line_protocols", lambda: wire.line_protocols(data, ports, ends), counters):
                 yield record(r)
@@ -164,8 +168,11 @@ _OUT = [*STREAM, "is_datagram", "completeness", "observed_timestamp_ns", "detect
 def _text_findings(parts: DataFrame, kinds: dict[str, tuple[str, ...]], extra: Iterable[str]) -> DataFrame:
     """Findings of the detectors named in ``kinds`` in the parts of their kinds, by one scan."""
     wanted = [d for d in detect_text.text_detectors(extra) if d.name in kinds]
-    rows = parts.where(F.col("part").isin(*sorted({k for held in kinds.values() for k in held}))).select(*STREAM, "is_datagram", "completeness", "observed_timestamp_ns", "part", "base", "ends", "cut", "text")
-    found = detect_text.detect(rows, "text", detectors=wanted, ends="ends", cut=F.coalesce("cut", F.lit(False)), where=lambda d: F.col("part").isin(*kinds[d.name]))
+    # on SIP's port, a digest is SIP's without its version in the text
+    at_port = [replace(d, gate="", literals=()) for d in wanted if d.name == "sip_digest"]
+    on = lambda d: ("raw_sip",) if d in at_port else tuple(k for k in (*kinds[d.name], "raw_sip") if k != "raw_sip" or (d.name not in ("sip_digest", "http_digest") and "raw" in kinds[d.name]))
+    rows = parts.where(F.col("part").isin("raw_sip", *sorted({k for held in kinds.values() for k in held}))).select(*STREAM, "is_datagram", "completeness", "observed_timestamp_ns", "part", "base", "ends", "cut", "text")
+    found = detect_text.detect(rows, "text", detectors=[*wanted, *at_port], ends="ends", cut=F.coalesce("cut", F.lit(False)), where=lambda d: F.col("part").isin(*on(d)))
     return found.select(*_OUT[: _OUT.index("start")], (F.col("base") + F.col("start")).alias("start"), (F.col("base") + F.col("stop")).alias("stop"), "material", "username")
 
 
@@ -200,6 +207,25 @@ def _record_findings(parts: DataFrame) -> DataFrame:
     )
 
 
+def _exchanges(parts: DataFrame) -> DataFrame:
+    """Challenges and responses on the side of the peer that answers."""
+    rows = parts.where("part = 'record' and detector in ('ntlm_type2_challenge', 'ntlm_type3_response')")
+    rows = rows.withColumns({"is_challenge": F.col("detector") == "ntlm_type2_challenge", "session": F.coalesce(F.col("fields")["session"], F.lit(""))})
+    # the peer's direction, so that both stand on one side of the exchange
+    rows = rows.withColumn("side", F.when(F.col("is_challenge"), 1 - F.col("direction")).otherwise(F.col("direction")))
+    rows = rows.select(*STREAM, "is_datagram", "completeness", "observed_timestamp_ns", "start", "stop", "side", "session", "is_challenge", F.col("fields")["material"].alias("material"), F.col("fields")["username"].alias("username"), F.col("fields")["version"].alias("version"))
+    return rows
+
+
+def ambiguous_sessions(rows: DataFrame) -> DataFrame:
+    """From when on session 0 of a side of a connection is ambiguous: another challenge came before the last was answered."""
+    zero = F.col("session").rlike("^0+$")
+    order = ["observed_timestamp_ns", F.desc("is_challenge"), "start"]
+    by_order = W.partitionBy("session_id", "flow_id", "epoch", "side").orderBy(*order)
+    zeros = rows.where(zero).withColumn("open", F.lag(F.when(F.col("is_challenge"), F.col("material"))).over(by_order))
+    return zeros.where(F.col("is_challenge") & (F.col("open") != F.col("material"))).groupBy("session_id", "flow_id", "epoch", "side").agg(F.min("observed_timestamp_ns").alias("mixed_at"))
+
+
 def pair_ntlm(parts: DataFrame) -> DataFrame:
     """Responses with the challenge of the other direction that came last before them in the same connection and session.
 
@@ -208,17 +234,11 @@ def pair_ntlm(parts: DataFrame) -> DataFrame:
     0, which several log-ins may share, a second challenge before the first is
     answered makes the rest of the connection ambiguous: nothing pairs there.
     """
-    rows = parts.where("part = 'record' and detector in ('ntlm_type2_challenge', 'ntlm_type3_response')")
-    rows = rows.withColumns({"is_challenge": F.col("detector") == "ntlm_type2_challenge", "session": F.coalesce(F.col("fields")["session"], F.lit(""))})
-    # the peer's direction, so that both stand on one side of the exchange
-    rows = rows.withColumn("side", F.when(F.col("is_challenge"), 1 - F.col("direction")).otherwise(F.col("direction")))
-    rows = rows.select(*STREAM, "is_datagram", "completeness", "observed_timestamp_ns", "start", "stop", "side", "session", "is_challenge", F.col("fields")["material"].alias("material"), F.col("fields")["username"].alias("username"), F.col("fields")["version"].alias("version"))
+    rows = _exchanges(parts)
     order = ["observed_timestamp_ns", F.desc("is_challenge"), "start"]
     paired = correlate.pair_once(rows.withColumn("challenge", F.col("material")), ["session_id", "flow_id", "epoch", "side", "session"], order, F.col("is_challenge"), ~F.col("is_challenge"), ["challenge"], prefix="its_")
     zero = F.col("session").rlike("^0+$")
-    by_order = W.partitionBy("session_id", "flow_id", "epoch", "side").orderBy(*[c if isinstance(c, str) else c for c in order])
-    zeros = rows.where(zero).withColumn("open", F.lag(F.when(F.col("is_challenge"), F.col("material"))).over(by_order))
-    mixed = zeros.where(F.col("is_challenge") & (F.col("open") != F.col("material"))).groupBy("session_id", "flow_id", "epoch", "side").agg(F.min("observed_timestamp_ns").alias("mixed_at"))
+    mixed = ambiguous_sessions(rows)
     paired = paired.join(mixed, ["session_id", "flow_id", "epoch", "side"], "left").where(~zero | F.col("mixed_at").isNull() | (F.col("observed_timestamp_ns") < F.col("mixed_at")))
     found = paired.where(F.col("its_challenge").isNotNull() & F.col("version").isin("netntlmv1", "netntlmv2"))
     return found.select(*STREAM, "is_datagram", "completeness", "observed_timestamp_ns", F.lit("ntlm_challenge_response_correlation").alias("detector"), F.lit("credential").alias("category"), F.lit("ntlm").alias("protocol"), F.col("version").alias("material_type"), F.when(zero, "high").otherwise("confirmed").alias("confidence"), "start", "stop", "material", "username")
@@ -295,6 +315,20 @@ def stream_counters(chunks: DataFrame, parts: DataFrame) -> DataFrame:
     return framing.unionByName(tcp).groupBy("name").agg(F.sum("value").alias("value"))
 
 
+def coverage(parts: DataFrame) -> DataFrame:
+    """name and value of what parsers recognised and couldn't relate: responses of an unknown format or in an ambiguous session, passwords without a method."""
+    records = parts.where("part = 'record'")
+    responses = records.where("detector = 'ntlm_type3_response'")
+    odd = responses.where(F.col("fields")["version"] == "unsupported")
+    methods = records.where("detector = 'postgres_method'").select("session_id", "flow_id", "epoch")
+    unasked = records.where("detector = 'postgres_password'").join(methods, ["session_id", "flow_id", "epoch"], "left_anti")
+    zero = F.coalesce(F.col("fields")["session"], F.lit("")).rlike("^0+$")
+    shared = ambiguous_sessions(_exchanges(parts)).select("session_id", "flow_id", "epoch", "side", "mixed_at")
+    mixed = responses.where(zero).withColumn("side", F.col("direction")).join(shared, ["session_id", "flow_id", "epoch", "side"]).where("observed_timestamp_ns >= mixed_at")
+    named = (("coverage_ntlm_response_format_unsupported", odd), ("coverage_postgres_auth_method_unknown", unasked), ("coverage_ntlm_zero_session_ambiguous", mixed))
+    return reduce(DataFrame.unionByName, (rows.agg(F.count("*").alias("value")).select(F.lit(name).alias("name"), "value") for name, rows in named))
+
+
 def unmatched_responses(parts: DataFrame) -> DataFrame:
     """One counter: responses without a challenge."""
     responses = parts.where("part = 'record' and detector = 'ntlm_type3_response'").select(*STREAM, "start", "stop")

@@ -49,14 +49,15 @@ def _stream(k: int, back: bool, port: int, data: bytes, *, seq: int = 0xFFFFFF00
 
 
 def _captured(rows: DataFrame, frames_of: Callable[..., list[bytes]]) -> DataFrame:
-    """Packets (capture's schema) of each row's frames; a row (key first) is a session."""
+    """Packets (capture's schema) of each row's frames, or of (link type, frame, wire length); a row (key first) is a session."""
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for row in batch.itertuples(index=False):
-                for n, raw in enumerate(frames_of(*row)):
-                    out.append((str(row[0]), n + 1, 1_000_000 * (n + 1), "made", 1, len(raw), len(raw), raw, None))
+                for n, made in enumerate(frames_of(*row)):
+                    link, raw, wire = made if isinstance(made, tuple) else (1, made, len(made))
+                    out.append((str(row[0]), n + 1, 1_000_000 * (n + 1), "made", link, len(raw), wire, raw, None))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in capture.SCHEMA.split(", ")])
 
     return rows.mapInPandas(build, capture.SCHEMA)

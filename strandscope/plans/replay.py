@@ -51,7 +51,7 @@ def replay_packets(rows: DataFrame, settings: Settings | None = None, scratch: s
     found = emit.apply_policy(found, policy=settings.material_policy, salt=settings.fingerprint_salt)
     errors = segments.where("error is not null").groupBy(F.concat(F.lit("decode_"), F.col("error")).alias("name")).agg(F.count("*").alias("value"))
     cut = segments.where("truncated").agg(F.count("*").alias("value")).select(F.lit("packets_truncated").alias("name"), "value")
-    counters = errors.unionByName(cut).unionByName(detect_stream.stream_counters(chunks, parts)).unionByName(detect_stream.unmatched_responses(parts))
+    counters = errors.unionByName(cut).unionByName(detect_stream.stream_counters(chunks, parts)).unionByName(detect_stream.unmatched_responses(parts)).unionByName(detect_stream.coverage(parts))
     if statistics is not None:
         counters = counters.unionByName(statistics.agg(F.sum("dropped").alias("value")).select(F.lit("capture_dropped_packets").alias("name"), "value"))
     counters = health.merge_counters(counters).where("value > 0")

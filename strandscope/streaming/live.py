@@ -133,11 +133,17 @@ def live(spark: SparkSession, folder: str, output: str, settings: Settings | Non
     couldn't be decoded or joined, and rows behind the watermark. The session's
     state store becomes RocksDB's, unless one with timers is set.
     """
+    return analyse(_files(spark, folder, files_per_trigger), output, settings, available_now=available_now)
+
+
+def analyse(rows: DataFrame, output: str, settings: Settings | None = None, *, available_now: bool = False) -> StreamingQuery:
+    """As ``live``, of a stream of packets (the capture source's columns) from anywhere."""
     settings = (settings or Settings()).validated()
+    spark = rows.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     # fragments give datagrams of the time of their last one, which isn't late, and lost ones, which have no flow
     spark.conf.set("spark.sql.streaming.statefulOperator.checkCorrectness.enabled", "false")
-    chunks = chunks_of_stream(_files(spark, folder, files_per_trigger), settings)
+    chunks = chunks_of_stream(rows, settings)
 
     def write(batch: DataFrame, number: int) -> None:
         def held(df: DataFrame, name: str) -> DataFrame:

@@ -233,3 +233,39 @@ def test_redis_quotes_that_stay_open_are_counted():
     assert not list(wire.redis(b'AUTH "open\r\nAUTH x\r\n', counters)) and counters == {"coverage_cleartext_frame_boundary_lost": 1}
 
 
+
+
+# --- bodies and ports --------------------------------------------------------
+
+
+def upload(kind, body):
+    return b"PUT /f HTTP/1.1\r\nContent-Type: " + kind + b"\r\nContent-Length: %d\r\n\r\n" % len(body) + body
+
+
+@pytest.mark.parametrize(
+    ("message", "kinds", "counter"),
+    [
+        (upload(b"application/zip", b"PK\x05\x06" + bytes(18)), ["zip"], None),
+        (upload(b'multipart/form-data; boundary="a b"', b"--a b\r\nContent-Type: image/png\r\n\r\n\x89PNG\r\n\x1a\n...."), ["png"], None),
+        (upload(b"multipart/form-data; boundary=ab", b"--ab\r\n\r\n%PDF-1.4 ...."), ["pdf"], None),
+        (upload(b"multipart/form-data; boundary=ab", b"--cd\r\n\r\n%PDF-1.4 ...."), [], "http_transfer_multipart_prefix_unresolved"),
+        (upload(b"multipart/form-data; boundary=ab", b"text\r\n\r\n%PDF-1.4 ...."), [], "http_transfer_multipart_prefix_unresolved"),
+        (upload(b"multipart/form-data; boundary=ab", b"--ab\r\nX: " + b"y" * 2_100 + b"\r\n\r\n%PDF-1.4"), [], "http_transfer_multipart_prefix_unresolved"),
+        (upload(b"multipart/form-data", b"%PDF-1.4 ........"), ["pdf"], None),
+    ],
+)
+def test_parts_begin_behind_their_boundary(message, kinds, counter):
+    from strandscope.functions import http1
+
+    counters = Counter()
+    assert [t["kind"] for t in http1.transfers(http1.frame(message, Counter()), counters)] == kinds
+    assert list(counters) == ([counter] if counter else [])
+
+
+def test_digests_on_the_port_of_sip(spark, tmp_path):
+    from test_capture import udp
+
+    digest = b'Authorization: Digest username="eve", realm="r", nonce="n", uri="sip:h", response="00"\r\n\r\n'
+    (tmp_path / "a.pcap").write_bytes(pcap([udp(digest, dport=5060), udp(digest, dport=5061), udp(b"x SIP/2.0\r\n" + digest, dport=5061)]))
+    out = replay(spark, str(tmp_path / "a.pcap"), Settings(material_policy="raw"), str(tmp_path / "s"))
+    assert sorted(r["detector"] for r in out.findings.collect()) == ["http_digest", "sip_digest", "sip_digest"]
