@@ -15,6 +15,9 @@ central member to all others. Where that leaves several classes in a bucket,
 rounds follow: a small bucket proposes all pairs between classes, a larger one
 a few members to one representative of each other class, until a round joins
 next to nothing. So the pairs of a round are linear in the members of buckets.
+What then still shares a bucket across classes is compared in full, block
+against block within a task, so that no link is lost and no pair is a row but
+one link between a text and another class.
 """
 
 from __future__ import annotations
@@ -24,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,8 +44,12 @@ SMALL = 8
 MARGIN = 4.7
 #: Members of a larger bucket that are proposed to its classes in a round.
 HUBS = 3
-#: Share of the texts still compared that a round has to join for another one to follow.
+#: Share of the texts still compared that a round has to join for another one to follow; then all that is left is compared.
 WORTH = 0.005
+#: Texts, and elements of their multisets, of a block that is compared with another one in a task.
+BLOCK, BLOCK_ELEMENTS = 256, 1 << 19
+#: Elements that are counted at a time when blocks are compared.
+COUNTED = 1 << 14
 #: Stands for a null id in joins; texts are joined by id and hash, so it may be an id as well.
 _NO_ID = -(1 << 63)
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -282,6 +290,86 @@ class _Verifier:
         return links
 
 
+def _blocks(live: DataFrame, verifier: _Verifier, space: Workspace) -> tuple[DataFrame, DataFrame]:
+    """Blocks of the texts of buckets of several classes, and the pairs of blocks that hold a candidate.
+
+    A text stands with its class, if that is large, or else with the largest of
+    its buckets. Pairs of blocks have members in a common bucket, and more than
+    one class between them.
+    """
+    sizes = live.select("node", "root").distinct().groupBy("root").agg(F.count("*").alias("size"))
+    largest = live.groupBy("node").agg(F.max(F.struct("n", "bucket")).alias("most"), F.first("root").alias("root"), F.first("weight").alias("weight"))
+    homed = largest.join(sizes, "root").withColumn("home", F.when(F.col("size") > SMALL, F.xxhash64("root", F.lit(1))).otherwise(F.col("most.bucket")))
+    parts = homed.groupBy("home").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("weight") / BLOCK_ELEMENTS)).alias("parts"))
+    placed = homed.join(parts, "home").select("node", "root", "weight", F.xxhash64("home", F.pmod(F.xxhash64("node", F.lit(2)), F.col("parts"))).alias("block"))
+    placed = space.table(placed, "placed_in_blocks")
+    pure = placed.groupBy("block").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    at = live.select("bucket", "node").join(placed.select("node", "block"), "node").select("bucket", "block").distinct()
+    pairs = at.withColumnRenamed("block", "i").join(at.withColumnRenamed("block", "j"), "bucket").where("i <= j").select("i", "j").distinct()
+    side = lambda c: pure.select(F.col("block").alias(c), F.col("low").alias(f"low_{c}"), F.col("high").alias(f"high_{c}"))
+    pairs = pairs.join(side("i"), "i").join(side("j"), "j").where("low_i <> high_i or low_j <> high_j or low_i <> low_j").select("i", "j")
+    own = placed.join(verifier.sketch, "node").join(verifier.sets, "node")
+    held = F.array_sort(F.collect_list(F.struct("node", "root", "weight", "sketch", "elements")))
+    blocks = own.groupBy("block").agg(held.alias("m")).select("block", *(F.col(f"m.{c}").alias(f"{c}s") for c in ("node", "root", "weight")), F.flatten("m.sketch").alias("sketches"), F.flatten("m.elements").alias("elements"))
+    return space.table(blocks, "blocks"), space.table(pairs, "block_pairs")
+
+
+def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of every set of ``a`` with every set of ``b``, counted by COUNTED elements at a time."""
+    lengths = [len(x) for x in (*a, *b)]
+    every, place = np.unique(np.concatenate([*a, *b]), return_inverse=True)
+    owner = np.repeat(np.arange(len(lengths)), lengths)
+    order = np.argsort(place, kind="stable")
+    place, owner = place[order], owner[order]
+    out = np.zeros((len(a), len(b)))
+    for at in range(0, len(every), COUNTED):
+        lo, hi = np.searchsorted(place, [at, at + COUNTED])
+        has = np.zeros((len(lengths), min(COUNTED, len(every) - at)), np.float32)
+        has[owner[lo:hi], place[lo:hi] - at] = 1
+        out += has[: len(a)] @ has[len(a) :].T
+    return out.astype(np.int64)
+
+
+def block_links(one: dict, two: dict, similarity: float) -> list[tuple[int, int]]:
+    """Links between texts of different classes of two blocks: for each text and other class, one if there is any."""
+    sketch = [np.ascontiguousarray(x["sketches"], np.int64).view(np.uint8).reshape(-1, COMPONENTS) for x in (one, two)]
+    weight = [np.asarray(x["weights"], np.int64) for x in (one, two)]
+    low, high = np.minimum.outer(*weight), np.maximum.outer(*weight)
+    open_ = (low >= similarity * high) & np.not_equal.outer(one["roots"], two["roots"])
+    for i in np.flatnonzero(open_.any(axis=1)):
+        open_[i] &= (sketch[1] == sketch[0][i]).sum(axis=1) >= least_agreement(similarity)
+    rows, cols = np.flatnonzero(open_.any(axis=1)), np.flatnonzero(open_.any(axis=0))
+    if not len(rows):
+        return []
+    cut = [np.split(x["elements"], np.cumsum(w)[:-1]) for x, w in zip((one, two), weight, strict=True)]
+    common = overlaps([cut[0][i] for i in rows], [cut[1][j] for j in cols])
+    union = weight[0][rows][:, None] + weight[1][cols] - common
+    found = open_[np.ix_(rows, cols)] & (common >= similarity * union)
+    best: dict[tuple[int, int], tuple[int, int]] = {}
+    for i, j in zip(*np.nonzero(found), strict=True):
+        a, b = int(one["nodes"][rows[i]]), int(two["nodes"][cols[j]])
+        best.setdefault((a, int(two["roots"][cols[j]])), (a, b))
+        best.setdefault((b, int(one["roots"][rows[i]])), (a, b))
+    return sorted({(min(x), max(x)) for x in best.values()})
+
+
+def _rest(live: DataFrame, verifier: _Verifier, space: Workspace) -> DataFrame:
+    """(a, b) of links between classes that share a bucket: at least one for each text and other class that have any."""
+    blocks, pairs = _blocks(live, verifier, space)
+
+    def compare(table: pa.Table) -> pa.Table:
+        names = ("nodes", "roots", "weights", "sketches", "elements")
+        rows = [{c: table[c][k].values.to_numpy(zero_copy_only=False) for c in names} for k in range(table.num_rows)]
+        links = block_links(rows[0], rows[-1], similarity)
+        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([x for _, x in links], pa.int64())})
+
+    similarity = verifier.similarity
+    # a pair's blocks meet in one group, each block once, and groups are spread by pairs
+    ends = pairs.select("i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
+    met = ends.join(blocks, "block").groupBy("i", "j").applyInArrow(lambda t: compare(t.select(["nodes", "roots", "weights", "sketches", "elements"])), "a long, b long")
+    return space.table(met.distinct(), "rest")
+
+
 def _roots(nodes: DataFrame, texts: DataFrame, similarity: float, space: Workspace) -> DataFrame:
     """id (a node) and root of all nodes that have a link."""
     banded = nodes.select("node", "weight", F.posexplode("keys").alias("band", "key")).select("node", "weight", F.xxhash64("band", "key").alias("bucket"))
@@ -289,26 +377,34 @@ def _roots(nodes: DataFrame, texts: DataFrame, similarity: float, space: Workspa
     crowd = space.table(banded.join(shared, "bucket"), "crowd")
     verifier = _Verifier(space, nodes, crowd.select("node").distinct(), texts, similarity)
     roots = connected(verifier.links(_central_pairs(crowd)), space, "roots_0")
-    turn = 0
-    while True:
-        turn += 1
+
+    def several(roots: DataFrame, crowd: DataFrame, name: str) -> DataFrame:
+        """Members of buckets with more than one class; classes only grow, so a bucket of one is done with."""
         live = crowd.join(roots.withColumnRenamed("id", "node"), "node", "left").select("bucket", "node", "weight", "n", F.coalesce("root", "node").alias("root"))
         mixed = live.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
-        # classes only grow, so a bucket of one class is done with
-        live = space.table(live.join(mixed, "bucket", "left_semi"), f"live_{turn}")
-        links = verifier.links(_class_pairs(live, turn))
-        found = links.count()
-        if not found:
-            return roots
+        return space.table(live.join(mixed, "bucket", "left_semi"), name)
+
+    def joined(roots: DataFrame, links: DataFrame, name: str) -> DataFrame:
         of = lambda p: roots.select(F.col("id").alias(p), F.col("root").alias(f"r{p}"))
         between = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
-        moved = connected(between, space, f"moved_{turn}").select(F.col("id").alias("root"), F.col("root").alias("to"))
+        moved = connected(between, space, f"moved_{name}").select(F.col("id").alias("root"), F.col("root").alias("to"))
         fresh = links.select(F.col("a").alias("id")).union(links.select(F.col("b").alias("id"))).distinct().join(roots.select("id"), "id", "left_anti")
         ids = roots.select("id", "root").unionByName(fresh.select("id", F.col("id").alias("root")))
-        roots = space.table(ids.join(moved, "root", "left").select("id", F.coalesce("to", "root").alias("root")), f"roots_{turn}")
-        if found < WORTH * live.select("node").distinct().count():
-            return roots
-        crowd = live.select("bucket", "node", "weight", "n")
+        return space.table(ids.join(moved, "root", "left").select("id", F.coalesce("to", "root").alias("root")), f"roots_{name}")
+
+    turn = 0
+    while True:
+        turn += 1
+        live = several(roots, crowd, f"live_{turn}")
+        links = verifier.links(_class_pairs(live, turn))
+        found = links.count()
+        if found:
+            roots = joined(roots, links, str(turn))
+            crowd = live.select("bucket", "node", "weight", "n")
+        if found < max(1, WORTH * live.select("node").distinct().count()):
+            break
+    left = _rest(several(roots, crowd, "live_rest"), verifier, space)
+    return joined(roots, left, "rest") if left.count() else roots
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> list[Column]:
@@ -330,10 +426,10 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     texts. A null id comes after all others; a class without any id has a null
     ``class_id``. Other columns are not read; an empty table gives no rows.
 
-    No text of a pair of exactly 0.8 shares a bucket with the other with
-    probability 3e-6. In a bucket of more than SMALL texts a member is compared
-    with those that are proposed to it, not with every other: see the README
-    for the recall against all pairs.
+    Texts of a bucket that rounds leave in different classes are all compared,
+    so classes don't depend on the rounds, nor on partitions. No text of a pair
+    of exactly 0.8 shares a bucket with the other with probability 3e-6, and
+    sketches rule such a pair out with about 1e-6.
     """
     spark = docs.sparkSession
     space = Workspace(spark)

@@ -364,7 +364,7 @@ def test_signatures_are_unbiased():
 
 
 def test_recall_in_a_family_around_the_bound(spark):
-    """Copies of one text on both sides of 0.8: nearly all links through others than the hub are found as well."""
+    """Copies of one text on both sides of 0.8: links through others than the hub are found as well."""
     rng = random.Random(8)
     base = prose(77, 150).split()
     rows = [(0, " ".join(base))]
@@ -375,9 +375,50 @@ def test_recall_in_a_family_around_the_bound(spark):
         rows.append((i, " ".join(own)))
     got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(frame(spark, rows)).collect()}
     want = classes_by_hand(rows)
-    linked = [i for i in want if Counter(want.values())[want[i]] > 1]
-    assert sum(got[i] == want[i] for i in linked) >= 0.98 * len(linked)
-    assert all(got[i] == i for i in want if i not in linked)
+    assert got == want
+
+
+def family(seed, n, most):
+    """Copies of one text on both sides of 0.8, shuffled among texts of other families."""
+    rng = random.Random(seed)
+    base = prose(seed, 150).split()
+    rows = [(0, " ".join(base))]
+    for i in range(1, n):
+        own = list(base)
+        for _ in range(rng.randint(1, most)):
+            own[rng.randrange(len(own))] = rng.choice("abcd")
+        rows.append((i, " ".join(own)))
+    return rows
+
+
+@pytest.mark.parametrize(("n", "most", "partitions"), [(1_500, 12, "3"), (400, 9, "64")])
+def test_no_link_of_a_large_family_is_lost(spark, n, most, partitions):
+    """All classes are those of all pairs, whatever the partitions, although rounds alone would stop before."""
+    rows = family(31, n, most)
+    want = classes_by_hand(rows)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(frame(spark, rows)).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got == want
+    assert len(set(want.values())) > 20
+
+
+def test_blocks_find_the_links_of_all_pairs():
+    rng = np.random.default_rng(5)
+    texts = [t for _, t in family(9, 60, 12)]
+    doc, h, count = near_dedup.shingle_counts(texts)
+    sketch = near_dedup.sketches(near_dedup.bag_minhash(doc, h, count, len(texts)))
+    bags = [np.unique(rng.integers(0, 99, rng.integers(1, 80))) for _ in range(9)]
+    assert near_dedup.overlaps(bags[:4], bags[4:]).tolist() == [[len(np.intersect1d(x, y)) for y in bags[4:]] for x in bags[:4]]
+    elements = [np.sort(h[doc == i].view(np.int64)) for i in range(len(texts))]
+    assert all(count == 1)
+    alike = lambda i, j: len(np.intersect1d(elements[i], elements[j])) >= 0.8 * len(np.union1d(elements[i], elements[j]))
+    part = lambda ids: {"nodes": np.array(ids), "roots": np.array(ids), "weights": np.array([len(elements[i]) for i in ids]), "sketches": np.concatenate([sketch[i] for i in ids]), "elements": np.concatenate([elements[i] for i in ids])}
+    got = near_dedup.block_links(part(range(30)), part(range(30, 60)), 0.8)
+    assert got == [(i, j) for i in range(30) for j in range(30, 60) if alike(i, j)] and got
 
 
 def test_near_dedup_edges(spark):
