@@ -221,7 +221,7 @@ def leaks(text: str | None, index: Index, *, threshold: float = THRESHOLD, overl
     return list(best.values())
 
 
-_HIT = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
+_HIT = "doc_id long, text_key long, item_id long, score double, question_overlap double, answer_overlap double"
 
 
 def _items(benchmark: DataFrame, id_col: str, text_col: str, answer_col: str | None) -> DataFrame:
@@ -236,8 +236,8 @@ def _items(benchmark: DataFrame, id_col: str, text_col: str, answer_col: str | N
     return rows.mapInPandas(cut, "item long, question array<string>, answer array<string>")
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", question_col: str = "text", answer_col: str | None = None, block_items: int = BLOCK_ITEMS) -> DataFrame:
-    """doc_id, item_id, score, question_overlap, answer_overlap of every verified leak of an item into a document.
+def leaking(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", question_col: str = "text", answer_col: str | None = None, block_items: int = BLOCK_ITEMS) -> DataFrame:
+    """doc_id, text_key (hash of the text), item_id, score, question_overlap, answer_overlap of every verified leak of an item into a document.
 
     Items are read in blocks of ``block_items``, each indexed and sent out at a
     time, so what is broadcast is bounded whatever the benchmark's size; a block
@@ -251,7 +251,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id
     """
     spark = docs.sparkSession
     space = Workspace(spark)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("text is not null")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text")).where("text is not null")
     items = space.table(_items(benchmark, item_col, question_col, answer_col), "items")
     count, total = items.agg(F.count("*"), F.sum(F.size("question") + F.size("answer"))).first()
     frequency = space.table(items.select(F.explode(F.array_distinct(F.concat("question", "answer"))).alias("word")).groupBy("word").agg(F.count("*").alias("n")), "frequency")
@@ -264,8 +264,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id
 
         def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                found = [(d, *hit) for d, t in zip(batch["doc_id"], batch["text"], strict=True) for index in held.value for hit in leaks(t, index)]
-                yield pd.DataFrame(found, columns=["doc_id", "item_id", "score", "question_overlap", "answer_overlap"]).astype({"doc_id": "Int64", "item_id": "Int64", "score": float, "question_overlap": float, "answer_overlap": float})
+                found = [(d, k, *hit) for d, k, t in zip(batch["doc_id"], batch["text_key"], batch["text"], strict=True) for index in held.value for hit in leaks(t, index)]
+                yield pd.DataFrame(found, columns=[c.split()[0] for c in _HIT.split(", ")]).astype({"doc_id": "Int64", "text_key": "int64", "item_id": "Int64", "score": float, "question_overlap": float, "answer_overlap": float})
 
         return rows.mapInPandas(match, _HIT)
 
@@ -276,8 +276,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id
     return out
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", **columns: str) -> DataFrame:
-    """``docs`` without the documents (by id) in which an item was found; documents without an id stay."""
-    bad = contaminated(docs, benchmark, id_col=id_col, **columns).select(F.col("doc_id").alias("__dc_id")).distinct()
-    others = passed_through(docs, "__dc_id")
-    return docs.select(*others).join(bad, F.col(id_col) == F.col("__dc_id"), "left_anti")
+def contaminated(docs: DataFrame, benchmark: DataFrame, **given: object) -> DataFrame:
+    """``leaking`` without text_key."""
+    return leaking(docs, benchmark, **given).drop("text_key")
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **given: object) -> DataFrame:
+    """``docs`` without the rows in whose text an item was found; rows of one id are told apart by their texts, and those without an id stay."""
+    bad = leaking(docs, benchmark, id_col=id_col, text_col=text_col, **given).select(F.col("doc_id").alias("__dc_id"), F.col("text_key").alias("__dc_key")).distinct()
+    others = passed_through(docs, "__dc_id", "__dc_key")
+    return docs.select(*others).join(bad, (F.col(id_col) == F.col("__dc_id")) & (F.xxhash64(text_col) == F.col("__dc_key")), "left_anti")
