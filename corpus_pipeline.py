@@ -65,8 +65,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no benchmark item was found.
 
-    Null and empty texts and rows without an id stay. A document is its id: of
-    rows that share one, all go if an item was found in any.
+    Null and empty texts and rows without an id stay. Of rows that share an id,
+    those go in whose own text an item was found.
     """
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")).select(*docs.columns)
 

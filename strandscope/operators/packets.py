@@ -38,26 +38,25 @@ def _frame(rows: list[dict], schema: str) -> pd.DataFrame:
 def decode_datagrams(packets: DataFrame) -> DataFrame:
     """One row for each IP datagram or fragment, and one with an error for each frame that should be IP but isn't readable. Other frames are left out."""
 
+    names = _names(DATAGRAM)
+
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for p in batch.itertuples(index=False):
-                head = {"session_id": p.session_id, "packet_id": p.packet_id if p.error is None else None, "timestamp_ns": p.timestamp_ns, "interface": p.interface}
-                if p.error is not None:
-                    rows.append({"session_id": p.session_id, "interface": p.interface, "error": p.error})
+            columns = (batch[c] for c in ("session_id", "packet_id", "timestamp_ns", "interface", "datalink", "wire_length", "raw", "error"))
+            for session, number, time, interface, link, wire, raw, error in zip(*columns, strict=True):
+                if error is not None:
+                    rows.append((session, None, None, interface, *[None] * 11, error))
                     continue
                 try:
-                    d = frames.datagram(bytes(p.raw), int(p.datalink), int(p.wire_length))
+                    d = frames.datagram(raw, int(link), int(wire))
                 except frames.FrameError as problem:
-                    rows.append(head | {"error": str(problem)})
+                    rows.append((session, number, time, interface, *[None] * 11, str(problem)))
                     continue
                 if d:
-                    rows.append(
-                        head
-                        | {"ip_version": d.version, "src": d.src, "dst": d.dst, "protocol": d.protocol, "vlan_ids": list(d.vlans), "network_payload": d.payload, "truncated": d.truncated}
-                        | {"fragment_id": d.fragment_id, "fragment_offset": d.fragment_offset, "more_fragments": d.more_fragments, "source_packet_ids": [p.packet_id]}
-                    )
-            yield _frame(rows, DATAGRAM)
+                    rows.append((session, number, time, interface, d.version, d.src, d.dst, d.protocol, d.vlans, d.payload, d.truncated, d.fragment_id, d.fragment_offset, d.more_fragments, (number,), None))
+            out = pd.DataFrame(rows, columns=names)
+            yield out.astype({c: "Int64" for c in _INTS if c in names})
 
     return packets.select("session_id", "packet_id", "timestamp_ns", "interface", "datalink", "wire_length", "raw", "error").mapInPandas(decode, DATAGRAM)
 

@@ -149,3 +149,22 @@ def test_gates_and_literals_never_hide_a_match(spark):
     plain = shown(detect_text.detect(rows, "body", detectors=bare))
     assert got == plain, [(p, texts[p[0]][1]) for p in sorted(set(plain) ^ set(got))][:3]
     assert {g[1] for g in got} == {d.name for d in gated}
+
+
+def test_field_roles_of_the_documented_forms(spark):
+    """Names that frameworks give to log-in fields, variants of them, and names that only look alike."""
+    identities = ("log", "username", "j_username", "Input.Email", "Input.UserName", "pma_username", "_user", "_username", "uid", "tfUName", "credentials[user_name]", "ctl00$Main$txtUserName", "loginEmail", "userID", "e-mail.emailAddress")
+    secrets = (
+        "pwd", "password", "j_password", "Input.Password", "pass", "pma_password", "_pass", "_password", "passw", "tfUPass", "credentials[password_confirmation]", "credentials[passw]", "ctl00$Main$txtPassword", "accountPassword",
+        "PASSWORD", "old_password", "new_password1", "new_password2", "currentPassword", "confirmPassword", "password3", "auth[txtPassword]", "payrollPassword", "newpassword", "otp", "totp", "one_time_code", "mfaCode", "accessToken", "clientSecret", "csrf_token",
+    )
+    weak = ("name", "credentials[login]", "login", "a.identity")
+    neither = (
+        "bypass", "compass", "passenger", "password_policy", "password_enabled", "passwordLength", "password[metadata]", "secret[description]", "token_count", "uid_count", "username_label", "displayName", "display_name", "code", "id", "query",
+        "btnSubmit", "pwd1234", "", "$$", "__",
+    )
+    cases = dict.fromkeys(identities, "username") | dict.fromkeys(secrets, "sensitive") | dict.fromkeys(weak, "username_weak") | dict.fromkeys(neither)
+    rows = spark.createDataFrame([(k,) for k in cases], "name string").withColumn("role", fields.field_role(F.col("name"))).collect()
+    assert {r["name"]: r["role"] for r in rows} == cases
+    rows = spark.createDataFrame([("PASSWORD_POLICY",), (None,)], "name string").withColumn("role", fields.field_role(F.col("name"), ["password_policy"])).collect()
+    assert [r["role"] for r in rows] == ["sensitive", None]
