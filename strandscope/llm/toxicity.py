@@ -9,7 +9,7 @@ document gets its expected severity, the sum over k of P(grade > k).
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from itertools import chain
 from statistics import NormalDist
@@ -53,15 +53,17 @@ def sketch(text: str | None, words: int = 5) -> list[int]:
     return [int((h * np.uint64(odd)).min().view(np.int64)) for odd in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)]
 
 
-def without_copies(sketches: list[list[int]]) -> list[int]:
+def without_copies(sketches: Sequence[Sequence[int] | np.ndarray]) -> list[int]:
     """Places of the rows that share no minimum hash with an earlier one of these."""
-    seen: set[tuple[int, int]] = set()
+    seen: list[set[int]] = []
     kept = []
     for i, own in enumerate(sketches):
-        keys = set(enumerate(own))
-        if not keys & seen:
+        keys = [int(x) for x in own]
+        seen += (set() for _ in keys[len(seen) :])
+        if not any(k in held for k, held in zip(keys, seen, strict=False)):
             kept.append(i)
-            seen |= keys
+            for k, held in zip(keys, seen, strict=False):
+                held.add(k)
     return kept
 
 
@@ -83,7 +85,7 @@ class OrdinalModel:
         return _sigmoid(score[:, None] - self.thresholds[None, :])
 
 
-def fit(rows: list[list[int]], grades: list[int], *, least_documents: int = 5, chance: float = 0.01, ridge: float = 0.1, steps: int = 300, rate: float = 0.5) -> OrdinalModel:
+def fit(rows: Sequence[Sequence[int] | np.ndarray], grades: list[int], *, least_documents: int = 5, chance: float = 0.01, ridge: float = 0.1, steps: int = 300, rate: float = 0.5) -> OrdinalModel:
     """Maximum likelihood with a ridge on the weights, by Adam on the full sample.
 
     Features of fewer than ``least_documents`` sampled documents are left out,
@@ -95,7 +97,7 @@ def fit(rows: list[list[int]], grades: list[int], *, least_documents: int = 5, c
     y = np.searchsorted(order, np.asarray(grades, int))
     k = len(order) - 1
     lengths = np.array([len(r) for r in rows], int)
-    flat = np.concatenate([np.asarray(r, int) for r in rows]) if lengths.sum() else np.zeros(0, int)
+    flat = np.concatenate([np.asarray(r, np.int32) for r in rows]) if lengths.sum() else np.zeros(0, int)
     seen = np.bincount(flat, minlength=1 << BITS)
     columns = np.flatnonzero(seen >= least_documents)
     if k == 0 or not len(columns):
@@ -163,9 +165,11 @@ def train(docs: DataFrame, labels: DataFrame, *, grade_col: str = "toxic", id_co
         for b in batches:
             yield pd.DataFrame({"id": b["id"].to_numpy(), "grade": b["grade"].to_numpy(), "words": [np.array(features(t), np.int32).tobytes() for t in b["text"]], "sketch": [sketch(t) for t in b["text"]]})
 
-    got = sorted(texts.mapInPandas(marked, "id long, grade int, words binary, sketch array<long>").toLocalIterator(), key=lambda r: (r["id"], r["grade"], bytes(r["words"])))
-    got = [got[i] for i in without_copies([r["sketch"] for r in got])]
-    return fit([np.frombuffer(r["words"], np.int32).tolist() for r in got], [r["grade"] for r in got])
+    # kept as arrays of bytes: as Python's numbers, the words of a sample of long documents are hundreds of MB
+    rows = texts.mapInPandas(marked, "id long, grade int, words binary, sketch array<long>").toLocalIterator()
+    got = sorted(((r["id"], r["grade"], bytes(r["words"]), np.array(r["sketch"], np.int64)) for r in rows), key=lambda r: r[:3])
+    got = [got[i] for i in without_copies([r[3] for r in got])]
+    return fit([np.frombuffer(words, np.int32) for _, _, words, _ in got], [grade for _, grade, _, _ in got])
 
 
 def score_documents(docs: DataFrame, model: OrdinalModel, *, id_col: str = "doc_id", text_col: str = "text", at: float = 0.5) -> DataFrame:
