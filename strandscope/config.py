@@ -7,7 +7,7 @@ from dataclasses import dataclass, fields, replace
 
 
 SECTIONS = {
-    "limits": ("fragment_idle_seconds", "flow_idle_seconds", "max_body_bytes", "max_packet_ids", "max_pending_bytes", "max_pending_segments", "max_flow_bytes", "overlap_bytes"),
+    "limits": ("fragment_idle_seconds", "flow_idle_seconds", "max_body_bytes", "max_packet_ids", "max_pending_bytes", "max_pending_segments", "max_flow_bytes", "max_open_per_flow", "max_open_exchanges", "overlap_bytes"),
     "quality": ("error_ratio", "error_floor"),
     "detection": ("generic_secret_scan", "credit_card_scan", "extra_sensitive_field_names"),
     "output": ("material_policy", "fingerprint_salt"),
@@ -25,6 +25,8 @@ class Settings:
     max_pending_bytes: int = 524_288
     max_pending_segments: int = 4_096
     max_flow_bytes: int = 67_108_864
+    max_open_per_flow: int = 64
+    max_open_exchanges: int = 65_536
     overlap_bytes: int = 131_072
     error_ratio: float = 0.10
     error_floor: int = 100

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import ipaddress
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -48,3 +52,56 @@ def idle_sessions(rows: DataFrame, keys: list[str], time: str, order: list[str],
     window = W.partitionBy(*keys).orderBy(*order)
     seconds = F.unix_micros(F.col(time).cast("timestamp")) - F.unix_micros(F.lag(time).over(window).cast("timestamp"))
     return connection_epochs(rows.withColumn("__idle", seconds >= idle_seconds * 1_000_000), keys, order, F.col("__idle"), name).drop("__idle")
+
+
+def _ipv4_number(address: Column) -> Column:
+    """An IPv4 address as a number; null for any other text."""
+    parts = F.when(address.rlike(r"^[0-9]{1,3}(?:\.[0-9]{1,3}){3}$"), F.split(address, r"\."))
+    return F.aggregate(parts, F.lit(0).cast("long"), lambda n, p: n * 256 + p.cast("long"))
+
+
+@dataclass(frozen=True)
+class PacketFilter:
+    """Which segments and datagrams to look at: all that are named have to hold; of several values, one has to.
+
+    A host, net (of IPv4, or a whole IPv6 address) or port holds for either
+    end; ``without`` turns what it holds around. Everything is an expression on
+    decoded columns, so Spark evaluates it before anything is exchanged.
+    """
+
+    hosts: frozenset[str] = frozenset()
+    nets: frozenset[str] = frozenset()
+    ports: frozenset[int] = frozenset()
+    protocols: frozenset[int] = frozenset()
+    vlans: frozenset[int] = frozenset()
+    without: PacketFilter | None = None
+
+    def column(self) -> Column:
+        """Never null: a packet of which something asked for isn't known doesn't hold."""
+        either = lambda test, a, b: F.coalesce(test(F.col(a)), F.lit(False)) | F.coalesce(test(F.col(b)), F.lit(False))
+        held = F.lit(True)
+        if self.hosts:
+            own = sorted(str(ipaddress.ip_address(h)) for h in self.hosts)
+            held = held & either(lambda c: c.isin(own), "src", "dst")
+        if self.nets:
+            held = held & either(self._in_nets(), "src", "dst")
+        if self.ports:
+            held = held & either(lambda c: c.isin(sorted(self.ports)), "sport", "dport")
+        if self.protocols:
+            held = held & F.coalesce(F.col("protocol").isin(sorted(self.protocols)), F.lit(False))
+        if self.vlans:
+            held = held & F.coalesce(F.arrays_overlap("vlan_ids", F.array(*(F.lit(v) for v in sorted(self.vlans)))), F.lit(False))
+        return held & ~self.without.column() if self.without else held
+
+    def _in_nets(self) -> Callable[[Column], Column]:
+        nets = [ipaddress.ip_network(n) for n in sorted(self.nets)]
+        if any(n.version == 6 and n.prefixlen < 128 for n in nets):
+            raise ValueError("nets of IPv6 aren't supported, only whole addresses")
+
+        def test(address: Column) -> Column:
+            inside = F.lit(False)
+            for n in nets:
+                inside = inside | (_ipv4_number(address).between(int(n.network_address), int(n.broadcast_address)) if n.version == 4 else address == str(n.network_address))
+            return inside
+
+        return test

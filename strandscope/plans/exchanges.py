@@ -13,7 +13,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..config import Settings
 from ..operators import detect_stream, health, packets
+from ..operators.flow import PacketFilter
 from ..sources import capture
 from ..streaming import live
 from .captures import _KINDS, _ber, _captured, _ipv4, _login, _ntlm_answer, _stream, _tcp, _udp
@@ -71,6 +73,15 @@ def decoded_links(spark, sf_dir):
     return found.select(F.col("session_id").cast("long").alias("c_custkey"), "src", "sport", vlans.alias("vlans"), F.md5("payload").alias("payload_md5"))
 
 
+@query("""WITH c AS (SELECT CAST(c_custkey AS BIGINT) AS c_custkey, CAST(1024 + c_custkey % 60000 AS INTEGER) AS sport, c_custkey % 8 AS kind FROM customer)
+    SELECT c_custkey, sport FROM c WHERE kind < 5 AND c_custkey & 255 BETWEEN 64 AND 127 AND c_custkey >> 8 = 0 AND sport NOT IN (1100, 1101) OR c_custkey = 5""")
+def filtered_packets(spark, sf_dir):
+    """Packets of a net of IPv4 or an address of IPv6, but for two ports."""
+    wanted = PacketFilter(nets=frozenset({"10.0.0.64/26", "2001:db8::5/128"}), protocols=frozenset({17}), without=PacketFilter(ports=frozenset({1100, 1101})))
+    found = packets.decode_segments(packets.decode_datagrams(_captured(_customers(spark, sf_dir), _linked))).where(wanted.column())
+    return found.select(F.col("session_id").cast("long").alias("c_custkey"), "sport")
+
+
 # --- files -------------------------------------------------------------------
 
 
@@ -378,10 +389,15 @@ def live_findings(spark, sf_dir):
     for n, half in enumerate((F.col("packet_id") <= 3, F.col("packet_id") > 3)):
         made.where(half).coalesce(1).write.mode("append").parquet(f"{folder}/in/{n}")
     rows = spark.readStream.schema(made.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{folder}/in")
-    from ..config import Settings
-
-    running = live.analyse(rows, f"{folder}/out", Settings(material_policy="raw"), available_now=True)
-    running.awaitTermination()
+    # a state store for each core is enough for these tables, whatever the session's exchanges are
+    partitions = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(partitions)
+    spark.conf.set(partitions, str(min(int(before), max(4, spark.sparkContext.defaultParallelism))))
+    try:
+        running = live.analyse(rows, f"{folder}/out", Settings(material_policy="raw"), available_now=True)
+        running.awaitTermination()
+    finally:
+        spark.conf.set(partitions, before)
     if running.exception():
         raise running.exception()
     found = spark.read.parquet(f"{folder}/out/findings")

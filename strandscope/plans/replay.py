@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import Settings
 from ..operators import detect_stream, emit, health, packets
+from ..operators.flow import PacketFilter
 from ..sources import capture
 
 
@@ -28,8 +29,12 @@ class Replay:
     reasons: DataFrame
 
 
-def replay_packets(rows: DataFrame, settings: Settings | None = None, scratch: str | None = None, statistics: DataFrame | None = None) -> Replay:
-    """``statistics`` are of ``capture.interface_statistics``: packets that the capture dropped make the run incomplete."""
+def replay_packets(rows: DataFrame, settings: Settings | None = None, scratch: str | None = None, statistics: DataFrame | None = None, wanted: PacketFilter | None = None) -> Replay:
+    """``statistics`` are of ``capture.interface_statistics``: packets that the capture dropped make the run incomplete.
+
+    ``wanted`` is asked of joined datagrams, so fragments don't get lost by it;
+    what can't be decoded is counted whatever it says.
+    """
     settings = (settings or Settings()).validated()
 
     def held(df: DataFrame, name: str) -> DataFrame:
@@ -39,7 +44,8 @@ def replay_packets(rows: DataFrame, settings: Settings | None = None, scratch: s
         return df.sparkSession.read.schema(df.schema).parquet(f"{scratch}/{name}")
 
     whole = packets.defragment(packets.decode_datagrams(rows), idle_seconds=settings.fragment_idle_seconds)
-    segments = held(packets.decode_segments(whole), "segments")
+    segments = packets.decode_segments(whole)
+    segments = held(segments if wanted is None else segments.where(F.col("error").isNotNull() | wanted.column()), "segments")
     large = None
     if scratch is not None:
         large = held(packets.large_flows(segments, settings.max_flow_bytes), "large_flows")
@@ -60,6 +66,6 @@ def replay_packets(rows: DataFrame, settings: Settings | None = None, scratch: s
     return Replay(found, counters, health.verdict(counters, reasons), chunks, reasons)
 
 
-def replay(spark: SparkSession, path: str, settings: Settings | None = None, scratch: str | None = None, kept: capture.CaptureFilter = capture.ALL) -> Replay:
+def replay(spark: SparkSession, path: str, settings: Settings | None = None, scratch: str | None = None, kept: capture.CaptureFilter = capture.ALL, wanted: PacketFilter | None = None) -> Replay:
     """``path`` names capture files on any file system that Spark reads."""
-    return replay_packets(capture.read_captures(spark, path, kept), settings, scratch, capture.interface_statistics(spark, path))
+    return replay_packets(capture.read_captures(spark, path, kept), settings, scratch, capture.interface_statistics(spark, path), wanted)

@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.listener import QueryIdleEvent, QueryProgressEvent, QueryStartedEvent, QueryTerminatedEvent, StreamingQueryListener
 from pyspark.sql.streaming.query import StreamingQuery
@@ -157,8 +158,8 @@ def analyse(rows: DataFrame, output: str, settings: Settings | None = None, *, a
         parts = held(detect_stream.parse_chunks(new, max_body=settings.max_body_bytes), "parts")
         if number:
             parts = with_open_exchanges(parts, before("open", detect_stream.PART))
-        open_exchanges(parts, settings.flow_idle_seconds).write.mode("overwrite").parquet(f"{output}/open/batch={number}")
-        detect_stream.stream_counters(new, parts).where("value > 0").write.mode("overwrite").parquet(f"{output}/counters/batch={number}")
+        kept = held(open_exchanges(parts, settings.flow_idle_seconds, per_flow=settings.max_open_per_flow, total=settings.max_open_exchanges), "open")
+        detect_stream.stream_counters(new, parts).unionByName(given_up(parts, kept)).where("value > 0").write.mode("overwrite").parquet(f"{output}/counters/batch={number}")
         found = detect_stream.detect_streams(
             new, extra_names=settings.extra_sensitive_field_names, generic_secret_scan=settings.generic_secret_scan, credit_card_scan=settings.credit_card_scan, parts=parts
         )
@@ -197,11 +198,28 @@ def reported(found: DataFrame, earlier: DataFrame | None, seconds: int) -> DataF
     return every.join(kept, ["session_id", "flow_id", "epoch"], "left_semi")
 
 
-def open_exchanges(parts: DataFrame, seconds: int) -> DataFrame:
-    """Records of exchanges that later bytes may go on: those of the last ``seconds`` before the latest record. The time bounds their number."""
+def open_exchanges(parts: DataFrame, seconds: int, *, per_flow: int = 64, total: int = 65_536) -> DataFrame:
+    """Records of exchanges that later bytes may go on: those of the last ``seconds`` before the latest record.
+
+    Of a connection the latest ``per_flow`` stay, of all the latest ``total``:
+    what came first goes first.
+    """
     rows = parts.where((F.col("part") == "record") & F.col("detector").isin(*detect_stream.EXCHANGED))
     latest = parts.agg(F.max("observed_timestamp_ns")).first()[0] or 0
-    return rows.where(F.col("observed_timestamp_ns") >= latest - seconds * 1_000_000_000)
+    recent = rows.where(F.col("observed_timestamp_ns") >= latest - seconds * 1_000_000_000)
+    order = [F.desc("observed_timestamp_ns"), F.desc("start"), "direction"]
+    last = F.row_number().over(W.partitionBy("session_id", "flow_id", "epoch").orderBy(*order))
+    return recent.withColumn("__nth", last).where(F.col("__nth") <= per_flow).drop("__nth").orderBy(*order, "session_id", "flow_id", "epoch").limit(total)
+
+
+def given_up(parts: DataFrame, kept: DataFrame) -> DataFrame:
+    """One counter: challenges and responses that no trigger will see again, as they aren't ``kept``, and that had no counterpart so far."""
+    rows = parts.where("part = 'record' and detector in ('ntlm_type2_challenge', 'ntlm_type3_response')").select(*detect_stream.STREAM, "detector", "start", "stop")
+    key = [*detect_stream.STREAM, "detector", "start", "stop"]
+    gone = rows.join(kept.select(*key), key, "left_anti")
+    sides = lambda detector: rows.where(F.col("detector") == detector).select("session_id", "flow_id", "epoch").distinct()
+    alone = [gone.where(F.col("detector") == one).join(sides(other), ["session_id", "flow_id", "epoch"], "left_anti") for one, other in (("ntlm_type2_challenge", "ntlm_type3_response"), ("ntlm_type3_response", "ntlm_type2_challenge"))]
+    return alone[0].unionByName(alone[1]).agg(F.count("*").alias("value")).select(F.lit("coverage_ntlm_unmatched_at_eviction").alias("name"), "value")
 
 
 def with_open_exchanges(parts: DataFrame, before: DataFrame) -> DataFrame:

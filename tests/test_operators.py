@@ -168,3 +168,38 @@ def test_field_roles_of_the_documented_forms(spark):
     assert {r["name"]: r["role"] for r in rows} == cases
     rows = spark.createDataFrame([("PASSWORD_POLICY",), (None,)], "name string").withColumn("role", fields.field_role(F.col("name"), ["password_policy"])).collect()
     assert [r["role"] for r in rows] == ["sensitive", None]
+
+
+def test_packet_filters(spark):
+    """Filters against plain tests of every row, with nulls, other kinds of addresses and texts that aren't any."""
+    import ipaddress
+
+    from strandscope.operators.flow import PacketFilter
+
+    rng = random.Random(7)
+    ends = ["10.0.0.1", "10.0.0.200", "10.1.0.1", "192.168.1.9", "2001:db8::5", "2001:db8::6", None, "no address"]
+    rows = [(n, rng.choice(ends), rng.choice(ends), rng.choice([53, 80, 443, None]), rng.choice([53, 80, 5000]), rng.choice([6, 17, None]), rng.choice([[], [5], [5, 7], None])) for n in range(400)]
+    df = spark.createDataFrame(rows, "n long, src string, dst string, sport int, dport int, protocol int, vlan_ids array<int>")
+
+    def inside(address, net):
+        try:
+            return ipaddress.ip_address(address) in ipaddress.ip_network(net)
+        except ValueError:
+            return False
+
+    def holds(f, r):
+        _, src, dst, sport, dport, protocol, vlans = r
+        return bool(
+            (not f.hosts or {src, dst} & f.hosts) and (not f.nets or any(inside(a, n) for a in (src, dst) if a for n in f.nets)) and (not f.ports or {sport, dport} & f.ports)
+            and (not f.protocols or protocol in f.protocols) and (not f.vlans or set(vlans or []) & f.vlans) and not (f.without and holds(f.without, r))
+        )
+
+    some = lambda values: frozenset(rng.sample(values, rng.randint(0, 2)))
+    for _ in range(12):
+        make = lambda without=None: PacketFilter(some(["10.0.0.1", "2001:db8::6"]), some(["10.0.0.0/25", "10.0.0.0/8", "2001:db8::5/128"]), some([53, 443]), some([6, 17]), some([5, 7]), without)
+        f = make(make() if rng.random() < 0.5 else None)
+        if f.without == PacketFilter():
+            continue
+        assert sorted(r["n"] for r in df.where(f.column()).collect()) == [r[0] for r in rows if holds(f, r)], f
+    with pytest.raises(ValueError, match="IPv6"):
+        df.where(PacketFilter(nets=frozenset({"2001:db8::/32"})).column())

@@ -188,3 +188,20 @@ def test_exchanges_are_open_for_a_time(spark):
     assert live.open_exchanges(parts, 5).count() == 2 and live.open_exchanges(rows(), 5).count() == 0
     both = live.with_open_exchanges(parts, rows((5_000_000_000, "postgres_method", 9), (4_000_000_000, "postgres_method", 7)))
     assert sorted(r["stop"] for r in both.collect()) == [7, 8, 9, 10]
+
+
+def test_open_exchanges_are_bounded_and_what_goes_is_counted(spark):
+    """Of many challenges of one connection the latest stay; those that go without a response are counted."""
+    names = [c.split()[0] for c in detect_stream.PART.split(", ")]
+    from pyspark.sql import functions as F
+
+    every = spark.range(100_000).select(F.lit("s").alias("session_id"), F.lit("f").alias("flow_id"), F.lit(0).cast("long").alias("epoch"), F.lit(1).alias("direction"), F.lit("record").alias("part"), F.lit("ntlm_type2_challenge").alias("detector"), "id")
+    every = every.select("*", (F.lit(10**9) + F.col("id")).alias("observed_timestamp_ns"), F.col("id").alias("start"), (F.col("id") + 8).alias("stop"))
+    parts = spark.createDataFrame([], detect_stream.PART).unionByName(every.drop("id"), allowMissingColumns=True).select(*names)
+    kept = live.open_exchanges(parts, 300)
+    assert sorted(r["start"] for r in kept.collect()) == list(range(100_000 - 64, 100_000))
+    assert live.open_exchanges(parts, 300, per_flow=10**6, total=100).count() == 100
+    assert [(r["name"], r["value"]) for r in live.given_up(parts, kept).collect()] == [("coverage_ntlm_unmatched_at_eviction", 100_000 - 64)]
+    answer = every.where("id = 5").withColumns({"detector": F.lit("ntlm_type3_response"), "direction": F.lit(0)})
+    both = parts.unionByName(answer.drop("id"), allowMissingColumns=True).select(*names)
+    assert live.given_up(both, live.open_exchanges(both, 300)).first()["value"] == 0
