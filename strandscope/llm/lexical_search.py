@@ -36,7 +36,7 @@ from .workspace import Workspace
 #: Documents of a posting block.
 BLOCK = 64
 #: Terms, and documents, after which a segment is closed.
-SEGMENT_TERMS, SEGMENT_DOCS = 2_000_000, 1 << 16
+SEGMENT_TERMS, SEGMENT_DOCS = 1_000_000, 1 << 16
 #: Distinct terms of the queries that are sent to the executors at a time; more queries take more passes over the index.
 QUERY_TERMS = 100_000
 #: Stretches of a segment whose documents are looked at before the threshold is taken anew.

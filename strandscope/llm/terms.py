@@ -19,7 +19,7 @@ def fold(term: str) -> str:
     return term.translate(_LOWER)
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of ``batch`` whose texts have at most ``most`` bytes, or are a single text."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(batch[column]), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     at = 0
