@@ -156,14 +156,18 @@ def defragment(datagrams: DataFrame, *, idle_seconds: int = 30) -> DataFrame:
         key = held = vlans = None
         for batch in batches:
             rows = []
-            for r in batch.itertuples(index=False):
-                own = tuple(getattr(r, k) for k in KEYS)
+            keys = zip(*(batch[k].tolist() for k in KEYS), strict=True)
+            values = zip(*(batch[c].tolist() for c in ("vlan_ids", "packet_id", "timestamp_ns", "fragment_offset", "network_payload", "more_fragments", "truncated", "source_packet_ids")), strict=True)
+            for own, (tags, number, time, offset, payload, more, truncated, numbers) in zip(keys, values, strict=True):
                 if own != key:
                     if held is not None:
                         rows.append(_row(key, vlans, held.lost()))
-                    key, held, vlans = own, None, list(r.vlan_ids)
-                held, done = step(held, _fragment(r), idle_ns)
+                    key, held, vlans = own, None, list(tags)
+                held, done = step(held, Fragment(number, time, offset, bytes(payload), more, truncated, tuple(numbers)), idle_ns)
                 rows += [_row(key, vlans, o) for o in done]
+                if len(rows) >= packets._ROWS:
+                    yield _frame(rows)
+                    rows = []
             yield _frame(rows)
         if held is not None:
             yield _frame([_row(key, vlans, held.lost())])

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -25,6 +25,9 @@ def _names(schema: str) -> list[str]:
     return [part.split()[0] for part in schema.split(", ")]
 
 
+#: Rows and bytes after which a task hands on what it has made, so that its memory doesn't grow with what a batch becomes.
+_ROWS, _BYTES = 2_048, 16 << 20
+
 _INTS = ("packet_id", "timestamp_ns", "ip_version", "protocol", "fragment_id", "fragment_offset", "sport", "dport", "tcp_seq", "tcp_ack", "tcp_flags")
 
 
@@ -35,13 +38,17 @@ def _frame(rows: list[dict], schema: str) -> pd.DataFrame:
     return out.astype({c: "Int64" for c in _INTS if c in out.columns})
 
 
+def _pieces(batch: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    return (batch.iloc[a : a + _ROWS] for a in range(0, len(batch), _ROWS))
+
+
 def decode_datagrams(packets: DataFrame) -> DataFrame:
     """One row for each IP datagram or fragment, and one with an error for each frame that should be IP but isn't readable. Other frames are left out."""
 
     names = _names(DATAGRAM)
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in _pieces(whole)):
             rows = []
             columns = (batch[c] for c in ("session_id", "packet_id", "timestamp_ns", "interface", "datalink", "wire_length", "raw", "error"))
             for session, number, time, interface, link, wire, raw, error in zip(*columns, strict=True):
@@ -175,8 +182,16 @@ class Direction:
         return out
 
 
+_FIELDS = ("direction", "timestamp_ns", "sport", "dport", "tcp_seq", "tcp_ack", "tcp_flags", "payload", "source_packet_ids")
+
+
 def reassemble_flow(group: pd.DataFrame, idle_seconds: int | None = None) -> list[dict]:
-    """Chunks of all connections of one flow from its segments.
+    """Chunks of all connections of one flow from its segments."""
+    return connections(zip(*(group.sort_values("packet_id")[c].tolist() for c in _FIELDS), strict=True), idle_seconds)
+
+
+def connections(segments: Iterable[tuple], idle_seconds: int | None = None) -> list[dict]:
+    """Chunks of all connections of one flow from its segments (values of _FIELDS), which are in order of packets.
 
     A SYN with another sequence number, or after a close, opens a new epoch, and
     so does a segment after ``idle_seconds`` of rest.
@@ -195,15 +210,14 @@ def reassemble_flow(group: pd.DataFrame, idle_seconds: int | None = None) -> lis
         epochs.append({"sides": sides, "ports": [(None, None), (None, None)]})
 
     begin()
-    for r in group.sort_values("packet_id").itertuples(index=False):
-        d, flags, seq, time = int(r.direction), int(r.tcp_flags), int(r.tcp_seq), int(r.timestamp_ns)
+    for d, time, sport, dport, seq, ack, flags, payload, numbers in segments:
         if idle_seconds and latest is not None and time - latest >= idle_seconds * 1_000_000_000:
             begin()
         latest = max(latest or time, time)
         if flags & SYN and not flags & ACK and (closed or (syn[d] is not None and syn[d] != seq) or (syn[d] is None and sides[d].base is not None)):
             begin()
-        epochs[-1]["ports"][d] = (int(r.sport), int(r.dport))
-        data = bytes(r.payload)
+        epochs[-1]["ports"][d] = (sport, dport)
+        data = bytes(payload)
         if flags & SYN:
             if syn[d] is None:
                 syn[d] = seq
@@ -211,11 +225,11 @@ def reassemble_flow(group: pd.DataFrame, idle_seconds: int | None = None) -> lis
             seq = (seq + 1) & 0xFFFFFFFF
         side, peer = sides[d], sides[1 - d]
         if flags & ACK and peer.base is not None:
-            peer.acked = max(peer.acked, peer.unwrap(int(r.tcp_ack)) - peer.base)
+            peer.acked = max(peer.acked, peer.unwrap(ack) - peer.base)
         probe = len(data) == 1 and flags & ACK and not flags & (SYN | FIN | RST) and side.base is not None
         keep_alive = probe and side.unwrap(seq) - side.base == side.reached - 1 >= 0 and side.acked >= side.reached
         if data and not keep_alive:
-            side.add(seq, data, list(r.source_packet_ids), int(r.timestamp_ns))
+            side.add(seq, data, list(numbers), time)
         closed = closed or bool(flags & RST) or (bool(flags & FIN) and (side.fin or peer.fin))
         side.fin = side.fin or bool(flags & FIN)
     rows = []
@@ -291,50 +305,72 @@ def reassemble_large(tcp: DataFrame, settings: Settings, piece: int = 4 << 20) -
     return _in_order(tcp).mapInPandas(build, CHUNK + ", counters map<string,long>")
 
 
-def reassemble(segments: DataFrame, *, idle_seconds: int | None = None, large: DataFrame | None = None, settings: Settings | None = None) -> DataFrame:
+def reassemble(segments: DataFrame, *, idle_seconds: int | None = None, large: DataFrame | None = None, settings: Settings | None = None, written: bool = False) -> DataFrame:
     """Chunks (CHUNK) of contiguous bytes of every TCP connection and direction, and of every UDP datagram.
 
     A TCP flow is read by one task: its order of packets matters. Flows are
-    spread by hash, many to a task, and datagrams, which need no order, don't
-    move. A flow is held whole, but for those that ``large`` (of
+    spread by hash, many to a task, and datagrams singly with them, so that
+    packets are decoded once; where segments are a ``written`` table, which is
+    cheap to read twice, datagrams, which need no order, don't move. A flow is held whole, but for those that ``large`` (of
     ``large_flows``) names, which come in several chunks of bounded size.
     ``counters`` are what the bounds gave up.
     """
     rows = flow.canonical_flow(segments.where("error is null"))
-    tcp = rows.where(F.col("protocol") == frames.TCP)
+    is_tcp = F.col("protocol") == frames.TCP
+    tcp = rows.where(is_tcp)
 
     names = [*_names(CHUNK.split(", spans")[0]), "spans", "retransmitted", "conflicts"]
 
-    def chunks_of(held: list[pd.DataFrame]) -> pd.DataFrame:
-        rows = []
-        for (session, name), group in pd.concat(held, ignore_index=True).groupby(["session_id", "flow_id"], sort=False):
-            rows += [{"session_id": session, "flow_id": name} | r for r in reassemble_flow(group, idle_seconds)]
-        return pd.DataFrame([[r[c] for c in names] for r in rows], columns=names)
+    def datagram(session: str, name: str, number: int, truncated: bool, d: int, time: int, sport: int, dport: int, seq: None, ack: None, flags: None, payload: bytes, numbers: list[int]) -> list:
+        span = {"start": 0, "stop": len(payload), "packet_ids": list(numbers), "time": time}
+        return [session, name, number, d, sport, dport, 0, False, payload, time, time, "truncated" if truncated else "complete", True, [span], 0, 0]
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Flows come one after the other, many in a batch; the last one of a batch may go on in the next."""
-        held: list[pd.DataFrame] = []
+        key, held, out, size = None, [], [], 0
+
+        def flush() -> pd.DataFrame:
+            nonlocal out, size
+            done, out, size = pd.DataFrame(out, columns=names), [], 0
+            return done
+
+        def close() -> None:
+            nonlocal held, size
+            for r in connections(held, idle_seconds):
+                out.append([*key, *(r[c] for c in names[2:])])
+                size += len(r["data"])
+            held = []
+
         for batch in batches:
-            if not len(batch):
-                continue
-            last = batch["flow_id"].iloc[-1], batch["session_id"].iloc[-1]
-            going_on = ((batch["flow_id"] == last[0]) & (batch["session_id"] == last[1])).to_numpy()
-            cut = len(batch) if not going_on.any() else int(going_on.argmax())
-            if cut or (held and (held[-1]["flow_id"].iloc[-1], held[-1]["session_id"].iloc[-1]) != last):
-                whole = [*held, batch.iloc[:cut]]
-                held = []
-                yield chunks_of([b for b in whole if len(b)])
-            held.append(batch.iloc[cut:])
-        if held:
-            yield chunks_of(held)
+            for protocol, truncated, number, session, name, *segment in zip(*(batch[c].tolist() for c in ("protocol", "truncated", "packet_id", "session_id", "flow_id", *_FIELDS)), strict=True):
+                if protocol == frames.UDP:
+                    out.append(datagram(session, name, number, truncated, *segment))
+                    size += len(segment[_FIELDS.index("payload")])
+                    if len(out) >= _ROWS or size >= _BYTES:
+                        yield flush()
+                    continue
+                if (session, name) != key:
+                    if key:
+                        close()
+                    key = session, name
+                    if len(out) >= _ROWS or size >= _BYTES:
+                        yield flush()
+                held.append(segment)
+        if key:
+            close()
+        yield flush()
 
     keys = ["session_id", "flow_id"]
-    small = tcp if large is None else tcp.join(large.select(*keys), keys, "left_anti")
+    moved = tcp if written else rows.where(is_tcp | ((F.col("protocol") == frames.UDP) & (F.length("payload") > 0)))
+    small = moved if large is None else moved.join(large.select(*keys), keys, "left_anti")
     no_counters = F.lit(None).cast("map<string,long>").alias("counters")
-    streams = _in_order(small).mapInPandas(build, CHUNK).select("*", no_counters)
+    # missing numbers would make pandas read a column's others as floats
+    needed = [F.coalesce(c, F.lit(0)).alias(c) if c.startswith("tcp_") else c for c in ("protocol", "truncated", *_NEEDED)]
+    alone = F.when(F.col("protocol") == frames.UDP, F.col("packet_id"))
+    streams = small.select(*needed).repartition(*keys, alone).sortWithinPartitions(*keys, "packet_id").mapInPandas(build, CHUNK).select("*", no_counters)
     if large is not None:
         streams = streams.unionByName(reassemble_large(tcp.join(large.select(*keys), keys, "left_semi"), settings or Settings()))
-    return streams.unionByName(datagram_chunks(rows).select("*", no_counters))
+    return streams.unionByName(datagram_chunks(rows).select("*", no_counters)) if written else streams
 
 
 def datagram_chunks(rows: DataFrame) -> DataFrame:

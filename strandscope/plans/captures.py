@@ -52,13 +52,16 @@ def _captured(rows: DataFrame, frames_of: Callable[..., list[bytes]]) -> DataFra
     """Packets (capture's schema) of each row's frames, or of (link type, frame, wire length); a row (key first) is a session."""
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns, out = [c.split()[0] for c in capture.SCHEMA.split(", ")], []
         for batch in batches:
-            out = []
-            for row in batch.itertuples(index=False):
+            for row in batch.itertuples(index=False, name=None):
                 for n, made in enumerate(frames_of(*row)):
                     link, raw, wire = made if isinstance(made, tuple) else (1, made, len(made))
                     out.append((str(row[0]), n + 1, 1_000_000 * (n + 1), "made", link, len(raw), wire, raw, None))
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in capture.SCHEMA.split(", ")])
+                if len(out) >= 2_048:
+                    yield pd.DataFrame(out, columns=columns)
+                    out = []
+        yield pd.DataFrame(out, columns=columns)
 
     return rows.mapInPandas(build, capture.SCHEMA)
 

@@ -50,7 +50,7 @@ def replay_packets(rows: DataFrame, settings: Settings | None = None, scratch: s
     if scratch is not None:
         large = held(packets.large_flows(segments, settings.max_flow_bytes), "large_flows")
         large = None if large.isEmpty() else large
-    chunks = held(packets.reassemble(segments, idle_seconds=settings.flow_idle_seconds, large=large, settings=settings), "chunks")
+    chunks = held(packets.reassemble(segments, idle_seconds=settings.flow_idle_seconds, large=large, settings=settings, written=scratch is not None), "chunks")
     parts = held(detect_stream.parse_chunks(chunks, max_body=settings.max_body_bytes), "parts")
     found = detect_stream.detect_streams(chunks, extra_names=settings.extra_sensitive_field_names, generic_secret_scan=settings.generic_secret_scan, credit_card_scan=settings.credit_card_scan, parts=parts)
     found = detect_stream.with_provenance(found, chunks, most=settings.max_packet_ids)
