@@ -63,7 +63,10 @@ def _captured(rows: DataFrame, frames_of: Callable[..., list[bytes]]) -> DataFra
                     out = []
         yield pd.DataFrame(out, columns=columns)
 
-    return rows.mapInPandas(build, capture.SCHEMA)
+    # a table of few bytes is read by few tasks, however many packets its rows become
+    spark = rows.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return rows.repartition(tasks, rows.columns[0]).mapInPandas(build, capture.SCHEMA)
 
 
 @query("""SELECT c_custkey, 40 + octet_length(encode(c_name)) AS ip_bytes, concat('10.', (c_custkey >> 16) & 127, '.', (c_custkey >> 8) & 255, '.', c_custkey & 255) AS src,
