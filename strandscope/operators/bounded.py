@@ -146,7 +146,12 @@ def _emit(state: FlowState, d: int, fresh: list[tuple[int, bytes, list[int], int
 
 
 def advance(state: FlowState, rows: pd.DataFrame, settings: Settings) -> list[dict]:
-    """Chunks of the flow's new segments: one for each direction, unless a gap or a new connection parts them.
+    """As ``proceed``, of a frame of one flow's segments in any order."""
+    return proceed(state, rows.sort_values(["timestamp_ns", "packet_id"]).itertuples(index=False), settings)
+
+
+def proceed(state: FlowState, segments: Iterable, settings: Settings) -> list[dict]:
+    """Chunks of the flow's new segments, which are in order: one for each direction, unless a gap or a new connection parts them.
 
     A SYN with another sequence number, one after a close, and a segment after
     ``flow_idle_seconds`` of rest open a new connection.
@@ -159,7 +164,7 @@ def advance(state: FlowState, rows: pd.DataFrame, settings: Settings) -> list[di
         out.extend(_emit(state, d, fresh[d], counters, settings.overlap_bytes))
         fresh[d].clear()
 
-    for r in rows.sort_values(["timestamp_ns", "packet_id"]).itertuples(index=False):
+    for r in segments:
         d, flags, seq, data = int(r.direction), int(r.tcp_flags), int(r.tcp_seq), bytes(r.payload)
         rests = state.last and int(r.timestamp_ns) - state.last >= settings.flow_idle_seconds * 1_000_000_000
         state.last = max(state.last, int(r.timestamp_ns))

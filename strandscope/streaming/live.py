@@ -26,9 +26,13 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..config import Settings
 from ..functions import frames
 from ..operators import detect_stream, emit, flow, fragments, health, packets
-from ..operators.bounded import FlowState, Side, advance, finish  # noqa: F401  a flow's state is the batch's too
+from ..operators.bounded import FlowState, Side, advance, finish, proceed  # noqa: F401  a flow's state is the batch's too
 
 CHUNK = packets.CHUNK.replace("epoch long", "epoch long, fresh_start long") + ", counters map<string,long>"
+#: Completeness of rows that tell which connections are over.
+OVER = "over"
+#: States that flows share; a checkpoint is bound to it.
+SHARDS = 2_048
 #: State with timers, which the joining of fragments needs.
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -36,34 +40,75 @@ STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreP
 def reassemble_stream(segments: DataFrame, settings: Settings) -> DataFrame:
     """Chunks of a stream of segments and datagrams whose packets have a watermark; a flow that is idle in event time is flushed and forgotten.
 
-    Datagrams go with the flows, so that what is before is computed once, but
-    have no state: each is a chunk, and its packet its epoch.
+    Flows share states, SHARDS in all, as a state of its own costs a flow more
+    than its reassembly; each is held apart there and only touched by its own
+    segments and its own timeout. Datagrams go with the flows, so that what is
+    before is computed once, but have no state: each is a chunk, and its packet
+    its epoch.
 
     A connection's epoch counts from the time of the first packet that its
-    flow's state has seen, so a flow that comes back has other epochs.
+    flow's state has seen, so a flow that comes back has other epochs. Where
+    connections of a flow are over, a row without bytes says so: its
+    completeness is OVER and its epoch the first that may go on.
     """
     names = [part.split()[0] for part in CHUNK.replace("struct<start:long,stop:long,packet_ids:array<long>,time:long>", "struct").split(", ")]
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        state: FlowState | None = pickle.loads(held.get[0]) if held.exists else None
-        if f"|{frames.UDP}|" in key[1]:
-            rows = [_datagram_chunk(r) for batch in batches for r in batch.itertuples(index=False) if len(r.payload)]
-        elif held.hasTimedOut:
-            rows = finish(state, settings)
+    def step(_: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        kept = pickle.loads(held.get[0]) if held.exists else {}
+        watermark, out, size = held.getCurrentWatermarkMs(), [], 0
+        for key, chunk in advance_flows(iter(()) if held.hasTimedOut else batches, kept, watermark, settings):
+            row = {"session_id": key[0], "flow_id": key[1]} | chunk
+            out.append([row.get(c) for c in names])
+            size += len(row["data"])
+            if len(out) >= packets._ROWS or size >= packets._BYTES:
+                yield pd.DataFrame(out, columns=names)
+                out, size = [], 0
+        if kept:
+            held.update((pickle.dumps(kept),))
+            held.setTimeoutTimestamp(max(min(end for end, _ in kept.values()), watermark + 1))
+        elif held.exists:
             held.remove()
-        else:
-            new = pd.concat(batches)
-            state = state or FlowState(int(new["timestamp_ns"].min()))
-            rows = advance(state, new, settings)
-            held.update((pickle.dumps(state),))
-            idle = state.last // 1_000_000 + settings.flow_idle_seconds * 1000
-            held.setTimeoutTimestamp(max(idle, held.getCurrentWatermarkMs() + 1))
-        rows = [{"session_id": key[0], "flow_id": key[1]} | r for r in rows]
-        yield pd.DataFrame([[r.get(c) for c in names] for r in rows], columns=names)
+        yield pd.DataFrame(out, columns=names)
 
     rows = flow.canonical_flow(segments.where("error is null"))
-    rows = rows.select("session_id", "flow_id", "direction", "packet_id", "timestamp_ns", "at", "truncated", "sport", "dport", "tcp_seq", "tcp_ack", "tcp_flags", "payload", "source_packet_ids")
-    return rows.groupBy("session_id", "flow_id").applyInPandasWithState(step, CHUNK, "state binary", "append", GroupStateTimeout.EventTimeTimeout)
+    # missing numbers would make pandas read a column's others as floats
+    tcp = [F.coalesce(c, F.lit(0)).alias(c) for c in ("tcp_seq", "tcp_ack", "tcp_flags")]
+    rows = rows.select("session_id", "flow_id", "protocol", "direction", "packet_id", "timestamp_ns", "at", "truncated", "sport", "dport", *tcp, "payload", "source_packet_ids", F.pmod(F.hash("session_id", "flow_id"), F.lit(SHARDS)).alias("shard"))
+    return rows.groupBy("shard").applyInPandasWithState(step, CHUNK, "state binary", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def advance_flows(batches: Iterator[pd.DataFrame], kept: dict[tuple, tuple[int, bytes]], watermark: int, settings: Settings) -> Iterator[tuple[tuple, dict]]:
+    """Flow (session_id, flow_id) and chunk of what is new in flows that share a state.
+
+    ``kept`` is brought up to date: by flow, when its rest ends, in
+    milliseconds, and its own state. Of flows without new segments, those whose
+    rest ended before the watermark are flushed and forgotten.
+    """
+    new: dict[tuple, list] = {}
+    for batch in batches:
+        for r in batch.itertuples(index=False):
+            if r.protocol != frames.UDP:
+                new.setdefault((r.session_id, r.flow_id), []).append(r)
+            elif len(r.payload):
+                yield (r.session_id, r.flow_id), _datagram_chunk(r)
+    for key, rows in new.items():
+        rows.sort(key=lambda r: (r.timestamp_ns, r.packet_id))
+        state: FlowState = pickle.loads(kept[key][1]) if key in kept else FlowState(int(rows[0].timestamp_ns))
+        before = state.epoch
+        for chunk in proceed(state, rows, settings):
+            yield key, chunk
+        if state.epoch != before:
+            yield key, _over(state.epoch)
+        kept[key] = state.last // 1_000_000 + settings.flow_idle_seconds * 1000, pickle.dumps(state)
+    for key in [k for k, (end, _) in kept.items() if end < watermark and k not in new]:
+        state = pickle.loads(kept.pop(key)[1])
+        for chunk in finish(state, settings):
+            yield key, chunk
+        yield key, _over(state.epoch + 1)
+
+
+def _over(epoch: int) -> dict:
+    return {"epoch": epoch, "completeness": OVER, "is_datagram": False, "data": b"", "spans": [], "retransmitted": 0, "conflicts": 0, "counters": {}}
 
 
 def _datagram_chunk(r) -> dict:
@@ -154,7 +199,7 @@ def analyse(rows: DataFrame, output: str, settings: Settings | None = None, *, a
         def before(name: str, schema: object) -> DataFrame | None:
             return spark.read.schema(schema).parquet(f"{output}/{name}/batch={number - 1}") if number else None
 
-        new = held(batch, "chunks")
+        new = held(batch.where(F.col("completeness") != OVER), "chunks")
         parts = held(detect_stream.parse_chunks(new, max_body=settings.max_body_bytes), "parts")
         if number:
             parts = with_open_exchanges(parts, before("open", detect_stream.PART))
