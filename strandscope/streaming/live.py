@@ -6,7 +6,7 @@ never dropped silently. A trigger's chunks start with the bytes that a detector
 may still need, and only findings that end in new bytes are kept, so each
 position is reported once however the capture is cut into files. Exchanges that
 a trigger leaves open, such as a challenge without its response, are carried to
-the next one for as long as a flow may rest.
+the next one for as long as their connection's state is, however many they are.
 """
 
 from __future__ import annotations
@@ -199,18 +199,21 @@ def analyse(rows: DataFrame, output: str, settings: Settings | None = None, *, a
         def before(name: str, schema: object) -> DataFrame | None:
             return spark.read.schema(schema).parquet(f"{output}/{name}/batch={number - 1}") if number else None
 
-        new = held(batch.where(F.col("completeness") != OVER), "chunks")
+        rows = held(batch, "chunks")
+        new, over = rows.where(F.col("completeness") != OVER), rows.where(F.col("completeness") == OVER)
         parts = held(detect_stream.parse_chunks(new, max_body=settings.max_body_bytes), "parts")
-        if number:
-            parts = with_open_exchanges(parts, before("open", detect_stream.PART))
-        kept = held(open_exchanges(parts, settings.flow_idle_seconds, per_flow=settings.max_open_per_flow, total=settings.max_open_exchanges), "open")
-        detect_stream.stream_counters(new, parts).unionByName(given_up(parts, kept)).where("value > 0").write.mode("overwrite").parquet(f"{output}/counters/batch={number}")
+        opened = before("open", detect_stream.PART)
+        every = parts if opened is None else with_open_exchanges(parts, opened)
+        kept = held(carried(every, over), "open")
+        detect_stream.stream_counters(new, parts).unionByName(given_up(every, kept)).where("value > 0").write.mode("overwrite").parquet(f"{output}/counters/batch={number}")
+        if opened is not None:
+            parts = parts.unionByName(held(taken_up(parts, opened), "taken_up"))
         found = detect_stream.detect_streams(
             new, extra_names=settings.extra_sensitive_field_names, generic_secret_scan=settings.generic_secret_scan, credit_card_scan=settings.credit_card_scan, parts=parts
         )
         earlier = before("reported", REPORTED)
         found = held(not_reported(found, earlier), "found")
-        held(reported(found, earlier, settings.flow_idle_seconds), "reported")
+        held(reported(found, earlier, over), "reported")
         found = detect_stream.with_provenance(found, new, most=settings.max_packet_ids)
         emit.apply_policy(found, policy=settings.material_policy, salt=settings.fingerprint_salt).write.mode("overwrite").parquet(f"{output}/findings/batch={number}")
 
@@ -233,21 +236,35 @@ def not_reported(found: DataFrame, earlier: DataFrame | None) -> DataFrame:
     return numbered.withColumn("attempt_ordinal", F.col("attempt_ordinal") + F.coalesce("last", F.lit(0))).drop("last")
 
 
-def reported(found: DataFrame, earlier: DataFrame | None, seconds: int) -> DataFrame:
-    """REPORTED: positions of connections that were active within ``seconds`` of the latest finding; others are never read again."""
-    own = found.select(*(c.split()[0] for c in REPORTED.split(", ")))
-    every = own if earlier is None else own.unionByName(earlier)
-    latest = every.agg(F.max("observed_timestamp_ns").alias("latest"))
-    active = every.groupBy("session_id", "flow_id", "epoch").agg(F.max("observed_timestamp_ns").alias("seen"))
-    kept = active.join(F.broadcast(latest), F.col("seen") >= F.col("latest") - seconds * 1_000_000_000).select("session_id", "flow_id", "epoch")
-    return every.join(kept, ["session_id", "flow_id", "epoch"], "left_semi")
+def reported(found: DataFrame, earlier: DataFrame | None, over: DataFrame) -> DataFrame:
+    """REPORTED: positions of connections that go on; others, and datagrams, are never read again."""
+    own = found.where(~F.col("is_datagram")).select(*(c.split()[0] for c in REPORTED.split(", ")))
+    return going_on(own if earlier is None else own.unionByName(earlier), over)
+
+
+def going_on(rows: DataFrame, over: DataFrame) -> DataFrame:
+    """``rows`` of connections that ``over`` (session_id, flow_id and, as epoch, the first that may go on) doesn't end."""
+    first = over.groupBy("session_id", "flow_id").agg(F.max("epoch").alias("__first"))
+    return rows.join(first, ["session_id", "flow_id"], "left").where(F.col("__first").isNull() | (F.col("epoch") >= F.col("__first"))).select(*rows.columns)
+
+
+def carried(parts: DataFrame, over: DataFrame) -> DataFrame:
+    """All records of exchanges that later bytes may go on: those of connections that aren't ``over``. A datagram's end with it."""
+    return going_on(parts.where((F.col("part") == "record") & F.col("detector").isin(*detect_stream.EXCHANGED) & ~F.col("is_datagram")), over)
+
+
+def taken_up(parts: DataFrame, before: DataFrame) -> DataFrame:
+    """Of the records carried to ``parts``, those of connections that have new ones, to which alone they can be related; without those that are there again."""
+    connection = ["session_id", "flow_id", "epoch"]
+    return _not_again(parts, before).join(parts.where("part = 'record'").select(*connection).distinct(), connection, "left_semi").select(*before.columns)
 
 
 def open_exchanges(parts: DataFrame, seconds: int, *, per_flow: int = 64, total: int = 65_536) -> DataFrame:
-    """Records of exchanges that later bytes may go on: those of the last ``seconds`` before the latest record.
+    """A bounded look at exchanges that may be open: records of the last ``seconds`` before the latest record.
 
     Of a connection the latest ``per_flow`` stay, of all the latest ``total``:
-    what came first goes first.
+    what came first goes first. No query works on it: the stream carries all
+    (``carried``).
     """
     rows = parts.where((F.col("part") == "record") & F.col("detector").isin(*detect_stream.EXCHANGED))
     latest = parts.agg(F.max("observed_timestamp_ns")).first()[0] or 0
@@ -267,10 +284,14 @@ def given_up(parts: DataFrame, kept: DataFrame) -> DataFrame:
     return alone[0].unionByName(alone[1]).agg(F.count("*").alias("value")).select(F.lit("coverage_ntlm_unmatched_at_eviction").alias("name"), "value")
 
 
+def _not_again(parts: DataFrame, before: DataFrame) -> DataFrame:
+    key = [*detect_stream.STREAM, "detector", "start", "stop"]
+    return before.join(parts.where("part = 'record'").select(*key), key, "left_anti")
+
+
 def with_open_exchanges(parts: DataFrame, before: DataFrame) -> DataFrame:
     """``parts`` and the records carried to them; a record in bytes that are read again is taken once."""
-    again = before.join(parts.where("part = 'record'").select(*detect_stream.STREAM, "detector", "start", "stop"), [*detect_stream.STREAM, "detector", "start", "stop"], "left_anti")
-    return parts.unionByName(again)
+    return parts.unionByName(_not_again(parts, before))
 
 
 class Losses(StreamingQueryListener):
