@@ -9,16 +9,26 @@ from __future__ import annotations
 
 import base64
 import struct
+import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import detect_stream, packets
 from ..sources import capture
 from .catalog import query, table
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder below the session's checkpoint folder; a local session without one gets a temporary one."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir is not set: executors need a folder that they share")
+    return f"{(root or 'file://' + tempfile.gettempdir()).rstrip('/')}/strandscope-{uuid.uuid4().hex}"
+
+
 _SERVER = bytes([10, 255, 0, 20])
 
 
@@ -188,7 +198,15 @@ _KINDS = (
 )
 def login_findings(spark, sf_dir):
     """All findings in a log-in of each customer, and whether all packets that they came in are known."""
+    folder = scratch(spark)
+
+    def held(df: DataFrame, name: str) -> DataFrame:
+        # as in a run with a scratch folder; one plan of all would have the packets' part a dozen times, with its tasks
+        df.write.parquet(f"{folder}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+
     rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long"))
-    chunks = packets.reassemble(packets.decode_segments(packets.defragment(packets.decode_datagrams(_captured(rows, _login)))))
-    found = detect_stream.with_provenance(detect_stream.detect_streams(chunks), chunks)
+    chunks = held(packets.reassemble(packets.decode_segments(packets.defragment(packets.decode_datagrams(_captured(rows, _login))))), "chunks")
+    parts = held(detect_stream.parse_chunks(chunks), "parts")
+    found = detect_stream.with_provenance(held(detect_stream.detect_streams(chunks, parts=parts), "found"), chunks)
     return found.select(F.col("session_id").cast("long").alias("c_custkey"), "detector", F.coalesce("username", F.lit("")).alias("username"), F.md5("material").alias("material_md5"), F.col("packet_ids_complete").cast("int").alias("whole"))

@@ -5,8 +5,6 @@ from __future__ import annotations
 import base64
 import io
 import struct
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -18,19 +16,11 @@ from ..operators import detect_stream, health, packets
 from ..operators.flow import PacketFilter
 from ..sources import capture
 from ..streaming import live
-from .captures import _KINDS, _ber, _captured, _ipv4, _login, _ntlm_answer, _stream, _tcp, _udp
+from .captures import _KINDS, _ber, _captured, _ipv4, _login, _ntlm_answer, _stream, _tcp, _udp, scratch
 from .catalog import query, table
 from .replay import replay_packets
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder below the session's checkpoint folder; a local session without one gets a temporary one."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root and not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir is not set: executors need a folder that they share")
-    return f"{(root or 'file://' + tempfile.gettempdir()).rstrip('/')}/strandscope-{uuid.uuid4().hex}"
-
-
 def _customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long"), "c_name")
 
