@@ -186,8 +186,9 @@ _FIELDS = ("direction", "timestamp_ns", "sport", "dport", "tcp_seq", "tcp_ack",
 
 
 def reassemble_flow(group: pd.DataFrame, idle_seconds: int | None = None) -> list[dict]:
-    """Chunks of all connections of one flow from its segments."""
-    return connections(zip(*(group.sort_values("packet_id")[c].tolist() for c in _FIELDS), strict=True), idle_seconds)
+    """Chunks of all connections of one flow from its segments; without acknowledgements' numbers, nothing is acknowledged."""
+    known = group if "tcp_ack" in group else group.assign(tcp_ack=0, tcp_flags=group["tcp_flags"] & ~ACK)
+    return connections(zip(*(known.sort_values("packet_id")[c].tolist() for c in _FIELDS), strict=True), idle_seconds)
 
 
 def connections(segments: Iterable[tuple], idle_seconds: int | None = None) -> list[dict]:
